@@ -6,7 +6,7 @@ import importlib
 
 from tidewell.queries import Query
 
-MODULES = ("stream",)
+MODULES = ("stream", "patterns")
 
 
 def _registries() -> list:
