@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.geo import Ring
 from tidewell.functions.predicates import Scope
-from tidewell.operators.skew import positions
+from tidewell.operators.ordered import last_known
+from tidewell.operators.skew import largest_key, overlapped, positions
 from tidewell.plans.pattern import REGISTER_TESTS, TRUE, Atom, Bool, Compiler, Op, Spec, atoms, calls, parse, reads, rewrite, test_column
 
 
@@ -40,6 +41,9 @@ class Stream:
     kind: str = "event_type"
     regions: dict[str, Ring] = field(default_factory=dict)
     groups: dict[str, list[str]] = field(default_factory=dict)
+    #: seconds of one block of a hot key; rows of a key above which a plan splits keys (0: always)
+    block_seconds: int = 86_400
+    hot_rows: int = 2_000_000
 
     def scope(self, at=F.col, bound: dict | None = None) -> Scope:  # noqa: ANN001
         return Scope(frozenset(self.df.columns), at, bound or {}, self.regions, self.groups)
@@ -49,6 +53,22 @@ class Stream:
         kind = dict(self.df.dtypes)[self.time]
         return F.unix_micros(c.cast("timestamp")) / 1e6 if kind.startswith("timestamp") else c.cast("double")
 
+    def axis(self) -> Column:
+        """Time as a whole number (microseconds, or the column's own unit)."""
+        kind = dict(self.df.dtypes)[self.time]
+        return F.unix_micros(F.col(self.time).cast("timestamp")) if kind.startswith("timestamp") else F.col(self.time).cast("long")
+
+    def width(self) -> int:
+        kind = dict(self.df.dtypes)[self.time]
+        return self.block_seconds * (1_000_000 if kind.startswith("timestamp") else 1)
+
+    def block(self) -> Column:
+        return F.floor(self.axis() / F.lit(self.width()))
+
+    def hot(self, keys: list[str]) -> bool:
+        """Does a key hold more rows than one task should scan?"""
+        return self.hot_rows == 0 or largest_key(self.df, keys) > self.hot_rows
+
     def partition(self, spec: Spec) -> list[str]:
         return [] if spec.partition in (None, "$") else [self.scope().column(spec.partition)]
 
@@ -93,14 +113,15 @@ def chain(s: Stream, spec: Spec) -> DataFrame:
     """Strict sequence of single events: keys, id_1..id_n, start and end time. All matches."""
     steps = _steps(spec)[1]
     keys, cols = s.partition(spec), s.df.columns
-    w = Window.partitionBy(*keys).orderBy(s.time, s.id)
-    wanted = {c for a in steps for c in cols}
-    named = {}
-    out = s.df
+    out, parts = s.df, keys
+    if len(steps) > 1 and s.hot(keys):
+        out = overlapped(out.withColumn("__key", _key(keys)), "__key", [s.time, s.id], s.block(), len(steps) - 1)
+        parts = ["__bucket", "__chunk", "__key"]
+    w = Window.partitionBy(*parts).orderBy(s.time, s.id)
     for k in range(1, len(steps)):
-        used = [c for c in cols if c in wanted]
-        out = out.withColumn(f"__{k}", F.lead(F.struct(*used), k).over(w))
-        named[k] = k
+        out = out.withColumn(f"__{k}", F.lead(F.struct(*cols), k).over(w))
+    if parts is not keys:
+        out = out.filter("__own")
 
     def at(k: int):  # noqa: ANN202
         return (lambda c: F.col(c)) if k == 0 else (lambda c: F.col(f"__{k}")[c])
@@ -122,15 +143,19 @@ def skip_next(s: Stream, spec: Spec) -> DataFrame:
     keys = s.partition(spec)
     if any(reads(a) for a in steps):
         return skip_any(s, spec, nearest=True)
-    # later events come first, so "the next event with" is "the last one seen with": one linear pass
-    after = Window.partitionBy(*keys).orderBy(F.desc(s.time), F.desc(s.id)).rowsBetween(Window.unboundedPreceding, -1)
-    here = F.struct(F.row_number().over(Window.partitionBy(*keys).orderBy(s.time, s.id)).alias("n"), F.col(s.time).alias("t"), F.col(s.id).alias("i"))
-    d = s.df.withColumn("__e", here)
-    d = d.withColumn("__p", F.array(F.col("__e")))
+    count = spec.window and spec.window_type == "count"
+    d = s.df
+    if count:
+        buckets = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        d = positions(d.withColumn("__key", _key(keys)), "__key", [s.time, s.id], s.block(), buckets)
+    here = F.struct((F.col("__pos") if count else F.lit(0)).alias("n"), F.col(s.time).alias("t"), F.col(s.id).alias("i"))
+    # time runs backwards here, so "the next event with" is "the last one known with": one linear scan
+    d = d.withColumns({"__e": here, "__back": -s.axis(), "__bid": -F.col(s.id)}).withColumn("__p", F.array(F.col("__e")))
     for a in reversed(steps[1:]):
         # the path that starts with the first later event passing this step, if it can be completed
-        ok = test_column(a.test, s.scope())
-        d = d.withColumn("__f", F.last(F.when(ok, F.col("__p")), ignorenulls=True).over(after)).withColumn("__p", F.when(F.col("__f").isNotNull(), F.concat(F.array("__e"), F.col("__f"))))
+        d = d.withColumn("__ok", F.when(test_column(a.test, s.scope()), F.col("__p")))
+        d = last_known(d, keys, ["__back", "__bid"], "__ok", "__f", s.width())
+        d = d.withColumn("__p", F.when(F.col("__f").isNotNull(), F.concat(F.array("__e"), F.col("__f"))))
     # a step's own path may be incomplete (null) and then the first later event passing it is skipped
     # only if no path follows it; as paths end at the end of the stream, later ones cannot be complete
     n = len(steps)
@@ -149,10 +174,13 @@ def skip_any(s: Stream, spec: Spec, nearest: bool = False) -> DataFrame:
     if not spec.window:
         raise ValueError("skip till any needs a window")
     steps, keys = _steps(spec)[1], s.partition(spec)
-    order = Window.partitionBy(*keys).orderBy(s.time, s.id)
-    d = s.df.withColumn("__n", F.row_number().over(order)).withColumn("__t", s.stamp())
-    axis = F.col("__n") if spec.window_type == "count" else F.col("__t")
-    d = d.withColumn("__b", F.floor(axis / F.lit(spec.window)).cast("long"))
+    if spec.window_type == "count":
+        buckets = int(s.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        d = positions(s.df.withColumn("__key", _key(keys)), "__key", [s.time, s.id], s.block(), buckets)
+        d = d.withColumn("__n", F.struct(F.col("__pos").alias("a"), F.lit(0).alias("b"))).withColumn("__t", F.col("__pos"))
+    else:
+        d = s.df.withColumn("__n", F.struct(F.col(s.time).alias("a"), F.col(s.id).alias("b"))).withColumn("__t", s.stamp())
+    d = d.withColumn("__b", F.floor(F.col("__t") / F.lit(spec.window)).cast("long"))
     out, bound = None, {}
     for k, a in enumerate(steps):
         free = not reads(a)
@@ -162,7 +190,7 @@ def skip_any(s: Stream, spec: Spec, nearest: bool = False) -> DataFrame:
             out = side.withColumn("__b", F.explode(F.array(F.col("__b0"), F.col("__b0") + 1)))
         else:
             p, q, o = F.col(f"__{k - 1}"), F.col(f"__{k}"), F.col("__0")
-            cond = (F.col("__b") == F.col(f"__b{k}")) & (p["__n"] < q["__n"]) & _within(spec, o["__n"], q["__n"], o["__t"], q["__t"])
+            cond = (F.col("__b") == F.col(f"__b{k}")) & (p["__n"] < q["__n"]) & _within(spec, o["__t"], q["__t"], o["__t"], q["__t"])
             right = side
             for c in keys:
                 right = right.withColumnRenamed(f"__k_{c}", f"__r_{c}")
@@ -186,10 +214,11 @@ def _key(keys: list[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]) if keys else F.lit("")
 
 
-def automaton(s: Stream, spec: Spec, *, overlap: bool = False, chunk: int = 50_000, block: int = 200_000) -> DataFrame:
+def automaton(s: Stream, spec: Spec, *, overlap: bool = False, chunk: int = 50_000, states_too: bool = False) -> DataFrame:
     """Detections of any pattern without registers: keys, event id and time of each match's end.
 
-    ``s.id`` must be a whole number that rises with time. Three steps: every chunk's transition
+    ``states_too``: every event instead, with ``state`` before it, ``next_state`` after it and
+    ``detected``. Three steps: every chunk's transition
     function (the end state for each start state) is computed by itself; the functions of a key are
     composed in order, which gives each chunk's start state; each chunk is run once from there.
     """
@@ -197,9 +226,9 @@ def automaton(s: Stream, spec: Spec, *, overlap: bool = False, chunk: int = 50_0
     table, finals = comp.dfa(overlap)
     t, fin = np.array(table, np.int32), np.array([q in finals for q in range(len(table))])
     states, keys = len(table), s.partition(spec)
-    d = s.df.select(_key(keys).alias("__key"), F.col(s.id).cast("long").alias("__id"), comp.mask_column(s.scope()).alias("__mask"), F.struct(*keys, s.time, s.id).alias("__row"))
+    d = s.df.select(_key(keys).alias("__key"), F.col(s.time).alias("__at"), F.col(s.id).alias("__id"), s.block().alias("__blk"), comp.mask_column(s.scope()).alias("__mask"), F.struct(*keys, s.time, s.id).alias("__row"))
     buckets = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = positions(d, "__key", "__id", F.floor(F.col("__id") / F.lit(block)), buckets).withColumn("__chunk", F.floor(F.col("__pos") / F.lit(chunk)))
+    placed = positions(d, "__key", ["__at", "__id"], F.col("__blk"), buckets).drop("__at", "__id", "__blk").withColumn("__chunk", F.floor(F.col("__pos") / F.lit(chunk)))
 
     def parts(x: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         k = x.column("__key").combine_chunks().dictionary_encode().indices.to_numpy(False)
@@ -231,20 +260,22 @@ def automaton(s: Stream, spec: Spec, *, overlap: bool = False, chunk: int = 50_0
         heads, mask = parts(x)
         names = x.column("__key").combine_chunks().take(pa.array(heads)).to_pylist()
         begin = dict(told.column("__starts")[0].as_py()) if told.num_rows else {}
-        hit = np.zeros(len(mask), bool)
+        to = np.zeros(len(mask), np.int32)
+        was = np.zeros(len(mask), np.int32)
         for name, a, b in zip(names, heads, np.append(heads[1:], len(mask)), strict=True):
             q = begin.get(name, 0)
             for i in range(a, b):
-                q = table[q][mask[i]]
-                hit[i] = fin[q]
-        return x.filter(pa.array(hit)).select(["__row"])
+                was[i] = q
+                q = to[i] = table[q][mask[i]]
+        out = x.select(["__row"]).append_column("state", pa.array(was)).append_column("next_state", pa.array(to)).append_column("detected", pa.array(fin[to]))
+        return out if states_too else out.filter(pa.array(fin[to]))
 
     row = dict(d.dtypes)["__row"]
-    found = placed.groupBy("__bucket", "__chunk").cogroup(late.groupBy("__bucket", "__chunk")).applyInArrow(run, f"__row {row}")
-    return found.select("__row.*")
+    found = placed.groupBy("__bucket", "__chunk").cogroup(late.groupBy("__bucket", "__chunk")).applyInArrow(run, f"__row {row}, state int, next_state int, detected boolean")
+    return found.select("__row.*", *(["state", "next_state", "detected"] if states_too else []))
 
 
-def runs(s: Stream, spec: Spec, *, chunk: int = 20_000, block: int = 200_000) -> DataFrame:
+def runs(s: Stream, spec: Spec, *, chunk: int = 20_000) -> DataFrame:
     """All matches of any pattern with a count window, with their events: keys, ``ids`` in order and
     the end time. Registers may be read inside iterations.
 
@@ -258,11 +289,11 @@ def runs(s: Stream, spec: Spec, *, chunk: int = 20_000, block: int = 200_000) ->
     compared = sorted({c.args[0] for a in steps for c in _reading(a)})
     compared = [(n, s.scope().column(n)) for n in compared]
     d = s.df.select(
-        _key(keys).alias("__key"), F.col(s.id).cast("long").alias("__id"), F.struct(*keys, F.col(s.time).alias("end_ts")).alias("__row"),
+        _key(keys).alias("__key"), F.col(s.time).alias("__at"), F.col(s.id).cast("long").alias("__id"), s.block().alias("__blk"), F.struct(*keys, F.col(s.time).alias("end_ts")).alias("__row"),
         F.array(*[test_column(a.test, s.scope()) for a in plain], F.lit(True)).alias("__t"), F.array(*[F.col(c).cast("string") for _, c in compared], F.lit(None).cast("string")).alias("__v"),
     )
     buckets = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = positions(d, "__key", "__id", F.floor(F.col("__id") / F.lit(block)), buckets)
+    placed = positions(d, "__key", ["__at", "__id"], F.col("__blk"), buckets).drop("__at", "__blk")
     own = F.floor(F.col("__pos") / F.lit(chunk))
     into = F.explode(F.array_distinct(F.array(own, F.floor((F.col("__pos") + (w - 1)) / F.lit(chunk)))))
     placed = placed.withColumn("__chunk", into)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions(rows: DataFrame, key: str, order: str, block: Column, buckets: int) -> DataFrame:
+def positions(rows: DataFrame, key: str, order: str | list[str], block: Column, buckets: int) -> DataFrame:
     """Adds ``__bucket`` and ``__pos``, the row's exact 0-based position in (key, order) among the
     keys of its bucket. ``block`` is the input partition: it must not fall as ``order`` rises."""
     rows = rows.withColumn("__block", block)
@@ -25,11 +25,30 @@ def positions(rows: DataFrame, key: str, order: str, block: Column, buckets: int
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     before = Window.partitionBy("__bucket").orderBy(key, "__block").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("__bucket", bucket).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__block", key, "__bucket", "__base")
-    numbered = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__block", key).orderBy(order)))
+    numbered = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__block", key).orderBy(*([order] if isinstance(order, str) else order))))
     joined = numbered.join(base.hint("shuffle_merge"), ["__block", key])
     return joined.withColumn("__pos", F.col("__base") + F.col("__i") - 1).drop("__base", "__i", "__block")
 
 
+def overlapped(rows: DataFrame, key: str, order: str | list[str], block: Column, after: int, chunk: int = 100_000) -> DataFrame:
+    """Rows in chunks of equal size, each with the first ``after`` rows of what follows it in its
+    bucket: a window over (``__bucket``, ``__chunk``, key) sees for every row with ``__own`` the next
+    ``after`` rows of its key."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if after > chunk:
+        raise ValueError("the overlap is larger than a chunk")
+    d = positions(rows, key, order, block, buckets)
+    own = F.floor(F.col("__pos") / F.lit(chunk))
+    also = F.floor((F.col("__pos") - after) / F.lit(chunk))
+    return d.withColumn("__o", own).withColumn("__chunk", F.explode(F.array_distinct(F.array(F.col("__o"), F.greatest(also, F.lit(0)))))).withColumn("__own", F.col("__chunk") == F.col("__o")).drop("__o")
+
+
+def largest_key(rows: DataFrame, keys: list[str]) -> int:
+    """Rows of the key that has most; one aggregation with a map-side combine over the keys alone."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] if keys else rows.count()
+    return int(n or 0)
+
+
 def chunked(rows: DataFrame, key: str, order: str, block: Column, process: Callable[[pa.Table], pa.Table], state: str, *, chunk: int = 20_000, buckets: int | None = None) -> DataFrame:
     """Run ``process`` on equal-sized chunks: it gets a chunk's rows sorted by (key, order) and
     gives one state row per key. Returns ``__bucket``, ``__chunk`` and the columns of ``state``."""

@@ -6,7 +6,7 @@ import importlib
 
 from tidewell.queries import Query
 
-MODULES = ("stream", "patterns")
+MODULES = ("stream", "patterns", "intervals")
 
 
 def _registries() -> list:
