@@ -6,7 +6,7 @@ import importlib
 
 from tidewell.queries import Query
 
-MODULES = ("stream", "patterns", "intervals")
+MODULES = ("stream", "patterns", "intervals", "forecast")
 
 
 def _registries() -> list:
