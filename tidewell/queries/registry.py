@@ -6,7 +6,7 @@ import importlib
 
 from tidewell.queries import Query
 
-MODULES = ("stream", "patterns", "intervals", "forecast")
+MODULES = ("stream", "patterns", "intervals", "forecast", "adapt", "series", "dataflow")
 
 
 def _registries() -> list:
