@@ -43,7 +43,11 @@ def a25_choice(spark: SparkSession, sf: str) -> DataFrame:
     return detect(_events(spark, sf), p).select("user_id", "event_id")
 
 
-@R.add("a26_iter", f"""SELECT user_id, event_id FROM (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE event_type = 'click' AND before = 'view'""")
+# between a view and the click stand errors only; a match uses up the click, so overlap makes no difference
+A26 = f"""SELECT user_id, event_id FROM (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE event_type = 'click' AND before = 'view'"""
+
+
+@R.add("a26_iter", A26)
 def a26_iter(spark: SparkSession, sf: str) -> DataFrame:
     """view, any number of errors, click: ends of matches."""
     return detect(_events(spark, sf), f';({_t("view")},*({_t("error")}),{_t("click")}){{partitionBy:userId}}').select("user_id", "event_id")
@@ -73,7 +77,7 @@ def a30_next(spark: SparkSession, sf: str) -> DataFrame:
     return detect(_events(spark, sf), p).select("user_id", "id_1", "id_2", "id_3")
 
 
-@R.add("a37_nonoverlap")
+@R.add("a37_nonoverlap", A26)
 def a37_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
     """view, any errors, click without overlap: after a match the search starts anew."""
     return detect(_events(spark, sf), f';({_t("view")},*({_t("error")}),{_t("click")}){{partitionBy:userId}}', overlap=False).select("user_id", "event_id")

@@ -6,7 +6,7 @@ import importlib
 
 from tidewell.queries import Query
 
-MODULES = ("stream", "patterns", "intervals", "forecast", "adapt", "series", "dataflow", "packs")
+MODULES = ("stream", "patterns", "intervals", "forecast", "adapt", "series", "dataflow", "packs", "io")
 
 
 def _registries() -> list:
