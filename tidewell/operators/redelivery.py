@@ -41,14 +41,15 @@ class Manifest:
 class MessageStore:
     """See the module. ``path`` must be on storage that all executors share.
 
-    number, order, period: columns of the rows. Of rows with one number the smallest order wins;
-    rows alike in order are told apart by all other columns in turn, and wholly equal rows are
-    copies of which one is kept. Rows without number are messages of their own and always kept;
-    control rows (number -1) are left out. A null period is a partition of its own.
+    Rows may have any columns that can be ordered. Of rows with one number the smallest order wins, a
+    null order loses; rows alike in order are told apart by all columns in turn, and wholly equal rows
+    are copies of which one is kept. Rows without number are messages of their own and always kept;
+    control rows (number -1) are left out. A null period is a partition of its own. An empty load
+    commits and changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, order: str = "delivery_id", index_parts: int = 16) -> None:
-        self.spark, self.path, self.order, self.index_parts = spark, path.rstrip("/"), order, index_parts
+    def __init__(self, spark: SparkSession, path: str, *, order: str = "delivery_id") -> None:
+        self.spark, self.path, self.order = spark, path.rstrip("/"), order
 
     # -- manifest ------------------------------------------------------------------------------
 
@@ -94,7 +95,7 @@ class MessageStore:
 
     @staticmethod
     def _schema(m: Manifest) -> T.StructType:
-        return T.StructType.fromJson(json.loads(m.schema))
+        return T.StructType().add("n", "long").add("p", "string").add("row", T.StructType.fromJson(json.loads(m.schema)))
 
     def current(self, parts: list[str] | None = None) -> DataFrame:
         """The stored messages, or those of some partitions."""
@@ -102,11 +103,11 @@ class MessageStore:
         if not m.schema:
             raise ValueError("nothing has been loaded")
         paths = [x for k, v in m.versions.items() if parts is None or k in parts for x in v]
-        return self._read(paths, self._schema(m)).drop("__number", "__part")
+        return self._read(paths, self._schema(m)).select("row.*")
 
     def superseded(self) -> DataFrame:
         """Every row that isn't the winner of its number: ``number`` and ``order``."""
-        return self._read(self.manifest().log, f"number long, {self.order} long")
+        return self._read(self.manifest().log, f"number long, `{self.order}` long")
 
     # -- loading -------------------------------------------------------------------------------
 
@@ -114,62 +115,61 @@ class MessageStore:
         """Merge incoming rows into the store and commit; returns the new manifest.
 
         The winner per number comes from an aggregation with a map-side combine, so a number that
-        holds a third of all rows is reduced before the shuffle. Partitions are written from tasks
-        that split a hot period by number.
+        holds a third of all rows is reduced before the shuffle. Rows are written through a
+        rebalancing exchange, which splits a hot period over many tasks and joins small ones.
         """
         spark, m = self.spark, self.manifest()
         load = m.load + 1
         at = f"{self.path}/load-{load:08d}"
-        rows = incoming.withColumns({"__number": number.cast("long"), "__part": F.coalesce(period.cast("string"), F.lit("none"))})
-        rows = rows.filter(F.col("__number").isNull() | (F.col("__number") != CONTROL))
-        key = F.col("__number")
-        fields = [c for c in incoming.columns if c != self.order]
-        rank = F.struct(F.coalesce(F.col(self.order).cast("long"), F.lit(LAST)).alias("o"), F.struct(*[F.col(f"`{c}`") for c in (self.order, *fields)]).alias("r"), F.col("__part").alias("p"))
+        row = F.struct(*[F.col(f"`{c}`") for c in incoming.columns])
+        new = incoming.select(number.cast("long").alias("n"), F.coalesce(period.cast("string"), F.lit("none")).alias("p"), row.alias("row"))
+        new = new.filter(F.col("n").isNull() | (F.col("n") != CONTROL))
+        order = F.coalesce(F.col(f"row.`{self.order}`").cast("long"), F.lit(LAST))
 
+        affected: list[str] = []
+        both = new.withColumn("old", F.lit(False))
         if m.index:
             known = self._read(m.index, "number long, part string")
-            asked = rows.filter(key.isNotNull()).select(key.alias("number")).distinct()
-            hits = known.join(asked, "number", "left_semi")
-            hits.write.parquet(f"{at}/hits")
-            hits = spark.read.schema("number long, part string").parquet(f"{at}/hits")
+            asked = new.filter("n IS NOT NULL").select(F.col("n").alias("number")).distinct()
             # partition names are metadata: as many as there are periods, not rows
-            affected = sorted(r[0] for r in hits.select("part").distinct().collect())
-            history = self._read([x for p in affected for x in m.versions[p]], self._schema(m)) if affected else None
-        else:
-            hits, affected, history = None, [], None
-
-        cols = ["__number", "__part", *incoming.columns]
-        old = history.select(*cols, F.lit(True).alias("__old")) if history is not None else None
-        new = rows.select(*cols, F.lit(False).alias("__old"))
-        both = new if old is None else old.unionByName(new)
-        own = F.when(key.isNull(), F.monotonically_increasing_id())
-        # a stored number keeps its partition: of its rows, the stored one names it
-        best = both.withColumn("__own", own).groupBy("__number", "__own").agg(
-            F.min(rank).alias("__best"), F.count("*").alias("__n"), F.min(F.when(F.col("__old"), F.col("__part"))).alias("__home")
+            affected = sorted(r[0] for r in known.join(asked, "number", "left_semi").select("part").distinct().collect())
+            if affected:
+                history = self._read([x for p in affected for x in m.versions[p]], self._schema(m))
+                both = history.withColumn("old", F.lit(True)).unionByName(both)
+
+        own = F.when(F.col("n").isNull(), F.monotonically_increasing_id())
+        best = both.withColumn("own", own).groupBy("n", "own").agg(
+            F.min(F.struct(order.alias("o"), "row", "p")).alias("best"),
+            F.count("*").alias("copies"),
+            F.min(F.when(F.col("old"), F.col("p"))).alias("home"),  # a stored number keeps its partition
         )
-        winners = best.select("__number", F.coalesce("__home", "__best.p").alias("__part"), *[F.col(f"__best.r.`{c}`").alias(c) for c in incoming.columns], F.col("__home").isNull().alias("__fresh"), (F.col("__n") > 1).alias("__copies"))
-        salt = F.pmod(F.xxhash64("__number", self.order), F.lit(8))
-        winners.repartition("__part", salt).sortWithinPartitions("__part", self.order).withColumn("part", F.col("__part")).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/rows")
-        stored = spark.read.option("basePath", f"{at}/rows").parquet(f"{at}/rows")
+        winners = best.select("n", F.coalesce("home", "best.p").alias("p"), F.col("best.row").alias("row"), F.col("home").isNull().alias("fresh"), "copies")
+        spread = spark.sql("SELECT /*+ REBALANCE(p) */ * FROM {winners}", winners=winners)
+        spread.sortWithinPartitions("p", f"row.`{self.order}`").withColumn("part", F.col("p")).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/rows")
         touched = self._parts(f"{at}/rows")
+        stored = self._read(list(touched.values()), self._schema(m if m.schema else Manifest(schema=incoming.schema.json())).add("fresh", "boolean").add("copies", "long"))
 
-        fresh = stored.filter(F.col("__fresh") & key.isNotNull()).select(key.alias("number"), F.col("__part").alias("part"))
+        fresh = stored.filter("fresh AND n IS NOT NULL").select(F.col("n").alias("number"), F.col("p").alias("part"))
         fresh.sortWithinPartitions("number").write.option("compression", "zstd").parquet(f"{at}/index")
 
-        copies = stored.filter(F.col("__copies") & key.isNotNull()).select("__number", F.struct(F.coalesce(F.col(self.order).cast("long"), F.lit(LAST)).alias("o")).alias("__win"))
-        seen = both.filter(key.isNotNull()).select("__number", F.col(self.order).cast("long").alias(self.order))
-        # rows that aren't the winner; copies alike in order too are counted, less the one kept
-        lost = seen.join(copies, "__number").withColumn("__tie", F.coalesce(F.col(self.order), F.lit(LAST)) == F.col("__win.o"))
-        beaten = lost.filter(~F.col("__tie")).select(F.col("__number").alias("number"), self.order)
-        ties = lost.filter("__tie").groupBy("__number").agg(F.count("*").alias("__k"), F.min(self.order).alias(self.order)).filter("__k > 1").select(F.col("__number").alias("number"), F.col(self.order), F.explode(F.sequence(F.lit(2), F.col("__k"))).alias("__i")).drop("__i")
+        # rows that aren't the winner; of those alike with it in order, all but the one kept
+        won = stored.filter("copies > 1 AND n IS NOT NULL").select(F.col("n").alias("number"), order.alias("__win"))
+        seen = both.filter("n IS NOT NULL").select(F.col("n").alias("number"), F.col(f"row.`{self.order}`").cast("long").alias("__is"))
+        lost = seen.join(won, "number").withColumn("__tie", F.coalesce("__is", F.lit(LAST)) == F.col("__win"))
+        beaten = lost.filter("NOT __tie").select("number", F.col("__is").alias(self.order))
+        ties = lost.filter("__tie").groupBy("number").agg(F.count("*").alias("__k"), F.min("__is").alias("__is")).filter("__k > 1")
+        ties = ties.select("number", F.col("__is").alias(self.order), F.explode(F.sequence(F.lit(2), F.col("__k"))).alias("__i")).drop("__i")
         beaten.unionByName(ties).write.option("compression", "zstd").parquet(f"{at}/log")
 
         # affected partitions are replaced; others that got new numbers only are added to
-        versions = dict(m.versions) | {p: [*([] if p in affected else m.versions.get(p, [])), f"{at}/rows/part={p}"] for p in touched}
-        m = Manifest(load, rows.schema.json(), versions, [*m.index, f"{at}/index"], [*m.log, f"{at}/log"])
+        versions = dict(m.versions) | {p: [*([] if p in affected else m.versions.get(p, [])), d] for p, d in touched.items()}
+        m = Manifest(load, incoming.schema.json(), versions, [*m.index, f"{at}/index"], [*m.log, f"{at}/log"])
         self._commit(m)
         return m
 
-    def _parts(self, where: str) -> list[str]:
+    def _parts(self, where: str) -> dict[str, str]:
+        """Partition → folder."""
         fs, path = self._fs()
-        return sorted(s.getPath().getName().removeprefix("part=") for s in fs.listStatus(path(where)) if s.getPath().getName().startswith("part="))
+        plain = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        names = [s.getPath().getName() for s in fs.listStatus(path(where))]
+        return {plain(n.removeprefix("part=")): f"{where}/{n}" for n in sorted(names) if n.startswith("part=")}
