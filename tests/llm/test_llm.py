@@ -147,9 +147,18 @@ def test_bm25_scores_match_the_formula():
 SENTENCE = "The gate keeper of Naël wrote that the river fell twelve metres within a day"
 
 
+def grams(text, n):
+    w = words(text or "")
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
 def brute_leaks(items, docs, n):
-    grams = {i: {tuple(words(t)[k : k + n]) for k in range(len(words(t or "")) - n + 1)} for i, t in items if t is not None}
-    return {(i, d) for d, t in docs if t for i, g in grams.items() if g & {tuple(words(t)[k : k + n]) for k in range(len(words(t)) - n + 1)}}
+    held = {i: grams(t, n) for i, t in items}
+    out = set()
+    for d, t in docs:
+        g = grams(t, n)
+        out |= {(i, d) for i, h in held.items() if h & g}
+    return out
 
 
 def test_leaks_in_any_dress(spark):
