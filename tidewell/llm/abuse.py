@@ -315,7 +315,16 @@ def readable(text: str) -> str:
     if any(c in text for c in PRE_LEAK):
         text = re.sub("[À-ÿ][-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]+", _recode, text)
     text = unicodedata.normalize("NFKC", text) if not text.isascii() else text
-    return re.sub(r"(?<![^\W_])[^\W\d_]([ .\-_])(?:[^\W\d_]\1)+[^\W\d_](?![^\W_])", lambda m: m.group().replace(m.group(1), ""), text)
+    return re.sub(r"(?<![^\W_])[^\W\d_]([ .\-_])(?:[^\W\d_]\1)+[^\W\d_](?![^\W_])", _joined, text)
+
+
+def _joined(m: re.Match) -> str:
+    """Spaced-out letters as one word; a letter at either end may be a word of its own."""
+    s = m.group().replace(m.group(1), "")
+    for a, b in ((0, len(s)), (1, len(s)), (0, len(s) - 1), (1, len(s) - 1)):
+        if b - a > 2 and _without_accents(s[a:b].lower()) in WORDS.classes:
+            return f"{s[:a]} {s[a:b]} {s[b:]}"
+    return s
 
 
 def _recode(m: re.Match) -> str:
