@@ -203,10 +203,10 @@ def entity_features(events: DataFrame, entity: str, code: str, flag: str, value:
 def widened(features: DataFrame, codes: list[int], flags: tuple[int, ...] = (0, 1)) -> DataFrame:
     """The same rows with the columns ``n_<code>_<flag>``, ``total_<code>_<flag>`` and
     ``since_<code>_<flag>`` for each asked pair; absent pairs have 0, 0.0 and null."""
-    out = features.withColumn("__m", F.map_from_entries(F.transform(F.filter("features", lambda x: x["flag"].isNotNull()), lambda x: F.struct(F.struct(x["code"], x["flag"]), x))))
+    out = features.withColumn("__m", F.map_from_entries(F.transform(F.filter("features", lambda x: x["flag"].isNotNull()), lambda x: F.struct(x["code"] * 2 + x["flag"], x))))
     cols = []
     for c in codes:
         for f in flags:
-            x = F.try_element_at(F.col("__m"), F.struct(F.lit(c).cast("long"), F.lit(f).cast("long")))
+            x = F.try_element_at(F.col("__m"), F.lit(2 * c + f).cast("long"))
             cols += [F.coalesce(x["n"], F.lit(0)).alias(f"n_{c}_{f}"), F.coalesce(x["total"], F.lit(0.0)).alias(f"total_{c}_{f}"), x["since_ms"].alias(f"since_{c}_{f}")]
     return out.select(*[k for k in features.columns if k != "features"], *cols)

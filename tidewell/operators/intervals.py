@@ -40,45 +40,46 @@ def from_points(points: DataFrame, keys: list[str], t: str = "t", initiates: str
     Both take effect at the next point. Where both fall together the termination wins. A repeated
     initiation changes nothing; without a later termination the interval stays open.
     """
-    p = points.filter(F.col(t).isNotNull() & F.col(initiates).isNotNull()).select(*keys, next_point(F.col(t).cast("long"), step).alias("t"), F.col(initiates).alias("i"))
-    p = p.groupBy(*keys, "t").agg(F.min(F.col("i").cast("int")).alias("state"))
-    p = last_known(p, keys, ["t"], "state", "was", width).withColumn("was", F.coalesce("was", F.lit(0))).filter("state <> was")
-    return _paired(p.withColumn("up", F.col("state") == 1), keys, width)
+    p = points.filter(F.col(t).isNotNull() & F.col(initiates).isNotNull()).select(*keys, next_point(F.col(t).cast("long"), step).alias("__t"), F.col(initiates).alias("__i"))
+    p = p.groupBy(*keys, "__t").agg(F.min(F.col("__i").cast("int")).alias("__state"))
+    p = last_known(p, keys, ["__t"], "__state", "__was", width).filter(F.col("__state") != F.coalesce("__was", F.lit(0)))
+    return _paired(p.withColumn("__up", F.col("__state") == 1), keys, width)
 
 
 def _paired(changes: DataFrame, keys: list[str], width: int | None) -> DataFrame:
-    """Alternating starts (``up``) and ends at ``t`` → intervals: the k-th start meets the k-th end."""
-    c = running_sum(changes.withColumn("__u", F.col("up").cast("int")), keys, "t", "__u", "k", width)
-    out = c.groupBy(*keys, "k").agg(F.max(F.when(F.col("up"), F.col("t"))).alias("start"), F.max(F.when(~F.col("up"), F.col("t"))).alias("end"))
+    """Alternating starts (``__up``) and ends at ``__t`` → intervals: the k-th start meets the k-th end."""
+    c = running_sum(changes.withColumn("__u", F.col("__up").cast("int")), keys, "__t", "__u", "__k", width)
+    out = c.groupBy(*keys, "__k").agg(F.max(F.when(F.col("__up"), F.col("__t"))).alias("start"), F.max(F.when(~F.col("__up"), F.col("__t"))).alias("end"))
     return out.select(*keys, "start", F.coalesce("end", F.lit(INF)).alias("end")).filter("start IS NOT NULL AND start < end")
 
 
 def _sweep(parts: list[tuple[str, DataFrame]], keys: list[str], rule: Column, width: int | None) -> DataFrame:
-    """Count the intervals open at each point, by name, and keep where the rule on the counts holds."""
+    """Count the intervals open at each point, by name (``__c_<name>``), and keep where the rule on the
+    counts holds."""
     names = sorted({n for n, _ in parts})
     deltas = None
     for name, x in parts:
         x = _clean(x, keys)
-        ends = x.select(*keys, F.inline(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))))
-        ends = ends.filter(F.col("t") != INF).select(*keys, "t", *[(F.col("d") if n == name else F.lit(0)).alias(f"d_{n}") for n in names])
+        ends = x.select(*keys, F.inline(F.array(F.struct(F.col("start").alias("__t"), F.lit(1).alias("__d")), F.struct(F.col("end").alias("__t"), F.lit(-1).alias("__d")))))
+        ends = ends.filter(F.col("__t") != INF).select(*keys, "__t", *[(F.col("__d") if n == name else F.lit(0)).alias(f"__d_{n}") for n in names])
         deltas = ends if deltas is None else deltas.unionByName(ends)
-    net = deltas.groupBy(*keys, "t").agg(*[F.sum(f"d_{n}").alias(f"d_{n}") for n in names])
+    net = deltas.groupBy(*keys, "__t").agg(*[F.sum(f"__d_{n}").alias(f"__d_{n}") for n in names])
     for n in names:
-        net = running_sum(net, keys, "t", f"d_{n}", f"c_{n}", width)
-    net = net.withColumn("now", rule)
-    was = net.withColumns({f"c_{n}": F.col(f"c_{n}") - F.col(f"d_{n}") for n in names}).withColumn("was", rule)
-    return _paired(was.filter("now <> was").withColumn("up", F.col("now")), keys, width)
+        net = running_sum(net, keys, "__t", f"__d_{n}", f"__c_{n}", width)
+    net = net.withColumn("__now", rule)
+    was = net.withColumns({f"__c_{n}": F.col(f"__c_{n}") - F.col(f"__d_{n}") for n in names}).withColumn("__was", rule)
+    return _paired(was.filter("__now <> __was").withColumn("__up", F.col("__now")), keys, width)
 
 
 def union_all(parts: list[DataFrame], keys: list[str], width: int | None = None) -> DataFrame:
     """Where at least one part holds; touching intervals become one."""
-    return _sweep([("a", p) for p in parts], keys, F.col("c_a") >= 1, width)
+    return _sweep([("a", p) for p in parts], keys, F.col("__c_a") >= 1, width)
 
 
 def intersect_all(parts: list[DataFrame], keys: list[str], width: int | None = None) -> DataFrame:
     """Where every part holds. Each part's own list is made maximal first."""
     named = [(f"p{i}", p) for i, p in enumerate(parts)]
-    rule = reduce(lambda x, y: x & y, [F.col(f"c_{n}") >= 1 for n, _ in named])
+    rule = reduce(lambda x, y: x & y, [F.col(f"__c_{n}") >= 1 for n, _ in named])
     return _sweep(named, keys, rule, width)
 
 
@@ -86,7 +87,7 @@ def relative_complement_all(base: DataFrame, parts: list[DataFrame], keys: list[
     """Where the base holds and no part does."""
     if not parts:
         return union_all([base], keys, width)
-    return _sweep([("a", base), *[("b", p) for p in parts]], keys, (F.col("c_a") >= 1) & (F.col("c_b") == 0), width)
+    return _sweep([("a", base), *[("b", p) for p in parts]], keys, (F.col("__c_a") >= 1) & (F.col("__c_b") == 0), width)
 
 
 def complement_all(parts: list[DataFrame], keys: list[str], begin: int, width: int | None = None) -> DataFrame:

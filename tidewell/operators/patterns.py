@@ -295,7 +295,7 @@ def runs(s: Stream, spec: Spec, *, chunk: int = 20_000) -> DataFrame:
     buckets = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = positions(d, "__key", ["__at", "__id"], F.col("__blk"), buckets).drop("__at", "__blk")
     own = F.floor(F.col("__pos") / F.lit(chunk))
-    into = F.explode(F.array_distinct(F.array(own, F.floor((F.col("__pos") + (w - 1)) / F.lit(chunk)))))
+    into = F.explode(F.sequence(own, F.floor((F.col("__pos") + (w - 1)) / F.lit(chunk))))
     placed = placed.withColumn("__chunk", into)
 
     def enumerate_(pdf: pd.DataFrame) -> pd.DataFrame:
