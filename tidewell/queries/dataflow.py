@@ -20,7 +20,10 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 def _network(spark: SparkSession, sf: str) -> tuple[pl.Workflow, pl.Network]:
     """Nations as sites, linked inside their region and in a ring over the regions."""
-    rows = [(r[0], r[1]) for r in table(spark, sf, "nation").select("n_nationkey", "n_regionkey").sort("n_nationkey").limit(1000).collect()]
+    sites = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    if sites.count() > 1000:
+        raise ValueError("placement is a search on the driver, for networks of up to 1,000 sites")
+    rows = sorted((r[0], r[1]) for r in sites.collect())
     links = [(f"s{a}", f"s{b}", 1.0 + (a * 7 + b * 3) % 5) for a, ra in rows for b, rb in rows if a < b and ra == rb]
     heads = sorted({r: a for a, r in reversed(rows)}.items())
     links += [(f"s{a[1]}", f"s{b[1]}", 10.0) for a, b in zip(heads, heads[1:] + heads[:1], strict=True)]
