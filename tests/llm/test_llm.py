@@ -47,7 +47,7 @@ def test_sample(spark, monkeypatch):
     r = random.Random(1)
     rows = [(r.choice([None, *range(300)]), r.choice([None, "", " Fire", "flood", "FIRE ", "none", "none", "none"]), r.choice([None, "en", "EN-x", "es_MX", "de", " "]), r.choice([None, "t"])) for _ in range(900)]
     d = spark.createDataFrame(rows, "tweet_id long, event string, tweet_language string, tweet_text string").withColumns({"rank": F.lit(1), "__count": F.lit(1), "available": F.lit(2)})
-    targets = spark.createDataFrame([(1, "fire", "en", 0.5, 60, 2), (1, "none", "es", 0.3, 60, 2), (1, "none", "xx", 0.2, 60, 2), (2, "none", "en", 1.0, 10**6, 0), (3, "fire", "de", None, None, None)], "request_id long, event string, tweet_language string, target_share double, sample_rows long, min_rows long")
+    targets = spark.createDataFrame([(1, "fire", "en", 0.5, 60, 2), (1, "none", "es", 0.3, 60, 2), (1, "none", "xx", 0.2, 60, 2), (2, "none", "en", 1.0, 10**6, 0), (3, "fire", "de", None, None, None)], "request_id long, event string, tweet_language string, target_share double, sample_rows long, min_rows long").withColumns({"available": F.lit("x"), "selected": F.lit("y")})
     cand = sampling.candidates(d, "tweet_id", {"event": sampling.clean_label("event"), "tweet_language": sampling.clean_language("tweet_language")})
     sample, report = sampling.stratified_sample(cand, targets, "tweet_id", ["event", "tweet_language"])
     have = defaultdict(set)
@@ -76,7 +76,7 @@ def test_sample(spark, monkeypatch):
 
 def test_candidates_keep_the_smallest_payload(spark):
     d = spark.createDataFrame([(1, "a", "z"), (1, "a", "b"), (1, "a", "b"), (2, None, "q"), (None, "a", "q")], "id long, s string, text string")
-    assert [tuple(x) for x in sampling.candidates(d, "id", {"s": F.col("s")}, ["text"]).collect()] == [("a", 1, "b")]
+    assert [tuple(x) for x in sampling.candidates(d, "id", {"s": F.col("s")}, ["text", "s"]).collect()] == [("a", 1, "b")]
 
 
 # -- packing -------------------------------------------------------------------------------------
@@ -231,6 +231,7 @@ def test_scores_and_rates(spark):
     r = {x["source"]: (x["documents"], x["flagged"]) for x in abuse.rates(s).collect()}
     assert r == {"a": (3, 2), None: (1, 0), "b": (1, 1)}
     assert abuse.scored(d.limit(0)).count() == 0
+    assert abuse.scored(d, keep=["score"]).filter("doc_id = 4").first()["score_given"] == 1
 
 
 def test_machine_against_backtracking():

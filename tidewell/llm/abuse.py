@@ -372,11 +372,12 @@ def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: list[
     (score at or above THRESHOLD) and that ``clause``; with the columns ``keep``.
 
     Whole texts are read. Null and empty texts score 0. Rows are scored one by one, so repeated ids
-    give repeated rows.
+    give repeated rows. A kept column named like one of the result's is called ``<name>_given``.
     """
-    keep = keep or []
-    rows = docs.select(F.col(text).cast("string").alias("__text"), F.col(doc), *[F.col(k) for k in keep])
-    names = [doc, *keep]
+    own = {"score", *CATEGORIES, "flagged", "clause"}
+    names = {c: f"{c}_given" if c in own else c for c in [doc, *(keep or [])]}
+    rows = docs.select(F.col(text).cast("string").alias("__text"), *[F.col(c).alias(n) for c, n in names.items()])
+    names = list(names.values())
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,8 +69,9 @@ def seats(available: np.ndarray, share: np.ndarray, floor: np.ndarray, rows: int
 
 def candidates(rows: DataFrame, key: str, strata: dict[str, Column], payload: list[str] | None = None) -> DataFrame:
     """One row per (strata, key); rows with a null key or a null stratum are left out. Of several
-    rows alike in these the one smallest in the payload is kept."""
-    payload = payload or []
+    rows alike in these the one smallest in the payload is kept. All other columns of the input are
+    ignored; a payload column named like a stratum gives way to the stratum."""
+    payload = [p for p in payload or [] if p not in strata]
     r = rows.select(*[c.alias(n) for n, c in strata.items()], F.col(key), *[F.col(p) for p in payload if p != key])
     r = r.filter(F.col(key).isNotNull())
     for s in strata:
@@ -88,8 +89,10 @@ def allocation(counts: DataFrame, targets: DataFrame, strata: list[str]) -> Data
 
     targets: request_id, the strata as cleaned, target_share, sample_rows, min_rows. Lines of a
     request that name one category are taken together for the seats: the shares add up, the largest
-    floor counts. Null shares, sizes and floors count as 0. A request is as small as its lines.
+    floor counts. Null shares, sizes and floors count as 0. Other columns of the targets are kept,
+    but for those named like the report's own. A request is as small as its lines.
     """
+    targets = targets.drop("available", "asked", "selected", "shortfall", "__count")
     t = targets.join(counts, strata, "left").withColumn("available", F.coalesce(F.col("__count"), F.lit(0)).cast("long")).drop("__count")
     wanted = F.greatest(F.coalesce("min_rows", F.lit(0)), F.round(F.coalesce("target_share", F.lit(0.0)) * F.coalesce("sample_rows", F.lit(0))).cast("long"))
     t = t.withColumn("asked", wanted)
