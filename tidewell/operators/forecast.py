@@ -61,16 +61,17 @@ def waiting_times(m: np.ndarray, finals: set[int], horizon: int) -> dict[int, np
     return {i: out[i] for i in range(n) if out[i].any()}
 
 
-def mean_remaining(steps: DataFrame, order: str, keys: list[str], state: str = "state", detected: str = "detected") -> DataFrame:
+def mean_remaining(steps: DataFrame, order: str, keys: list[str], state: str = "state", detected: str = "detected", width: int | None = None) -> DataFrame:
     """Per state: mean and standard deviation of the steps until the next detection.
 
     The next detection's position is looked up backwards in order; events after the last detection
-    of their key have none and are left out. ``order`` is the position inside the key.
+    of their key have none and are left out. ``order`` is the position inside the key; ``width`` splits
+    hot keys, see ``ordered``.
     """
     from tidewell.operators.ordered import last_known
 
     d = steps.withColumn("__hit", F.when(F.col(detected), F.col(order))).withColumn("__back", -F.col(order))
-    d = last_known(d, keys, ["__back"], "__hit", "__next", width=1_000_000, include=True).filter("__next IS NOT NULL")
+    d = last_known(d, keys, ["__back"], "__hit", "__next", width, include=True).filter("__next IS NOT NULL")
     left = (F.col("__next") - F.col(order) + 1).cast("double")
     return d.groupBy(state).agg(F.avg(left).alias("mean"), F.stddev_samp(left).alias("std"), F.count("*").alias("n"))
 
@@ -320,14 +321,14 @@ def classification_metrics(counts: DataFrame) -> DataFrame:
     })
 
 
-def forecast_hits(forecasts: DataFrame, detections: DataFrame, keys: list[str], position: str = "pos") -> DataFrame:
+def forecast_hits(forecasts: DataFrame, detections: DataFrame, keys: list[str], position: str = "pos", width: int | None = None) -> DataFrame:
     """Adds ``hit``: a detection of the same key lies in [from_pos, to_pos]; and ``next_pos``, the
     first detection at or after from_pos. One ordered scan, backwards, instead of a range join."""
     from tidewell.operators.ordered import last_known
 
     f = forecasts.select(*keys, (-F.col("from_pos")).alias("__t"), F.lit(1).alias("__o"), F.struct(*forecasts.columns).alias("__f"))
     d = detections.select(*keys, (-F.col(position)).alias("__t"), F.lit(0).alias("__o"), F.col(position).alias("__d"))
-    both = last_known(f.unionByName(d, allowMissingColumns=True), keys, ["__t", "__o"], "__d", "next_pos", width=1_000_000).filter("__f IS NOT NULL")
+    both = last_known(f.unionByName(d, allowMissingColumns=True), keys, ["__t", "__o"], "__d", "next_pos", width).filter("__f IS NOT NULL")
     return both.select("__f.*", "next_pos").withColumn("hit", F.coalesce(F.col("next_pos") <= F.col("to_pos"), F.lit(False)))
 
 

@@ -2,16 +2,27 @@
 
 With ``width`` a key's axis is cut into blocks of that width: a scan runs inside each (key, block),
 and what a block needs from earlier ones (a sum, a last value) comes from a scan over one small row
-per block. Without ``width`` it is a plain window. The axis is a whole number.
+per block. Without ``width`` it is a plain window, which shares its partitioning with the scans
+before and after it. ``width_if_hot`` chooses by the rows of the largest key. The axis is a whole
+number. A blocked scan reads its input twice, so the input is persisted (its lineage stays, a lost
+executor costs a recomputation only); ``spark.catalog.clearCache()`` lets it go.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.skew import largest_key
+
+
+def width_if_hot(df: DataFrame, keys: list[str], width: int, hot_rows: int = 2_000_000) -> int | None:
+    """The width if a key of ``df`` holds more rows than one task should scan, else None."""
+    return width if largest_key(df, keys) > hot_rows else None
+
 
 def _block(t: str, width: int) -> Column:
     return F.floor(F.col(t) / F.lit(width)).cast("long")
@@ -33,7 +44,7 @@ def running_sum(df: DataFrame, keys: list[str], t: str, value: str, out: str, wi
     if width is None:
         w = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
-    d = df.withColumn("__blk", _block(t, width))
+    d = df.withColumn("__blk", _block(t, width)).persist(StorageLevel.MEMORY_AND_DISK)
     inside = Window.partitionBy(*keys, "__blk").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = d.groupBy(*keys, "__blk").agg(F.sum(value).alias("__s")).withColumn("__c", F.sum("__s").over(before)).drop("__s")
@@ -48,7 +59,7 @@ def last_known(df: DataFrame, keys: list[str], t: list[str], value: str, out: st
     if width is None:
         w = Window.partitionBy(*keys).orderBy(*t).rowsBetween(Window.unboundedPreceding, upto)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    d = df.withColumn("__blk", _block(t[0], width))
+    d = df.withColumn("__blk", _block(t[0], width)).persist(StorageLevel.MEMORY_AND_DISK)
     inside = Window.partitionBy(*keys, "__blk").orderBy(*t).rowsBetween(Window.unboundedPreceding, upto)
     before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     ends = d.groupBy(*keys, "__blk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*t))).alias("__l"))

@@ -149,12 +149,13 @@ def skip_next(s: Stream, spec: Spec) -> DataFrame:
         buckets = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         d = positions(d.withColumn("__key", _key(keys)), "__key", [s.time, s.id], s.block(), buckets)
     here = F.struct((F.col("__pos") if count else F.lit(0)).alias("n"), F.col(s.time).alias("t"), F.col(s.id).alias("i"))
+    width = s.width() if s.hot(keys) else None
     # time runs backwards here, so "the next event with" is "the last one known with": one linear scan
     d = d.withColumns({"__e": here, "__back": -s.axis(), "__bid": -F.col(s.id)}).withColumn("__p", F.array(F.col("__e")))
     for a in reversed(steps[1:]):
         # the path that starts with the first later event passing this step, if it can be completed
         d = d.withColumn("__ok", F.when(test_column(a.test, s.scope()), F.col("__p")))
-        d = last_known(d, keys, ["__back", "__bid"], "__ok", "__f", s.width())
+        d = last_known(d, keys, ["__back", "__bid"], "__ok", "__f", width)
         d = d.withColumn("__p", F.when(F.col("__f").isNotNull(), F.concat(F.array("__e"), F.col("__f"))))
     # a step's own path may be incomplete (null) and then the first later event passing it is skipped
     # only if no path follows it; as paths end at the end of the stream, later ones cannot be complete

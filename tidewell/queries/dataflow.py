@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import dataflow as df_
 from tidewell.operators import placement as pl
+from tidewell.operators.ordered import width_if_hot
 from tidewell.queries import Registry
 from tidewell.session import table
 
@@ -77,7 +78,7 @@ x AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER
 SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN ta IS NOT NULL AND tb IS NOT NULL THEN va + (vb - va) * (t - ta) / (tb - ta) ELSE coalesce(va, vb) END, 4) AS value FROM x""")
 def f06_interpolate(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).select("user_id", "event_id", (F.col("t") * 1000000 + F.col("event_id") % 1000000).alias("t"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
-    return df_.interpolate(e, ["user_id"], "t", "value", width=10 * 86400 * 1000000).select("event_id", F.round("value", 4).alias("value"))
+    return df_.interpolate(e, ["user_id"], "t", "value", width=width_if_hot(e, ["user_id"], 10 * 86400 * 1000000)).select("event_id", F.round("value", 4).alias("value"))
 
 
 @R.add("f10_moving", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 9 PRECEDING), 6) AS moving_average FROM events")

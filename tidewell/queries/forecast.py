@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import forecast as fc
+from tidewell.operators.ordered import width_if_hot
 from tidewell.operators.patterns import Stream, automaton
 from tidewell.plans.pattern import Compiler, Spec, parse, rewrite
 from tidewell.queries import Registry
@@ -34,6 +35,11 @@ def _positioned(spark: SparkSession, sf: str) -> DataFrame:
     return _steps(spark, sf).withColumn("pos", F.col("event_id"))
 
 
+def _w(spark: SparkSession, sf: str) -> int | None:
+    """Blocks of a million positions if a user has too many events for one task."""
+    return width_if_hot(table(spark, sf, "events"), ["user_id"], 1_000_000)
+
+
 # the automaton of the pattern as a rule: state 0 nothing, 1 a view is open, 2 just matched
 KNOWN = """st AS (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 s2 AS (SELECT *, CASE WHEN event_type = 'view' THEN 'open' WHEN event_type = 'click' AND b = 'view' THEN 'match' WHEN event_type = 'error' AND b = 'view' THEN 'open' ELSE 'none' END AS nxt FROM st),
@@ -124,7 +130,7 @@ def a48_tree_waiting(spark: SparkSession, sf: str) -> DataFrame:
 SELECT was AS state, round(avg(left_), 4) AS mean, round(stddev_samp(left_), 4) AS std, count(*) AS n FROM h WHERE left_ IS NOT NULL GROUP BY 1""")
 def a50_remaining(spark: SparkSession, sf: str) -> DataFrame:
     s = _positioned(spark, sf).withColumn("state", _name("state"))
-    return fc.mean_remaining(s, "pos", ["user_id"]).select("state", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
+    return fc.mean_remaining(s, "pos", ["user_id"], width=_w(spark, sf)).select("state", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
 @R.add("a52_forecasts")
@@ -156,14 +162,14 @@ def _forecasts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def a61_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Forecasts at run time (A-59) against later detections (A-61): counts and measures (A-60)."""
     f, d = _forecasts(spark, sf)
-    hits = fc.forecast_hits(f, d, ["user_id"])
+    hits = fc.forecast_hits(f, d, ["user_id"], width=_w(spark, sf))
     return fc.classification_metrics(fc.confusion(hits, F.col("f_positive"), F.col("hit")))
 
 
 @R.add("a62_regression")
 def a62_regression(spark: SparkSession, sf: str) -> DataFrame:
     f, d = _forecasts(spark, sf)
-    return fc.regression_metrics(fc.forecast_hits(f, d, ["user_id"]), 0.3, ["next_state"])
+    return fc.regression_metrics(fc.forecast_hits(f, d, ["user_id"], width=_w(spark, sf)), 0.3, ["next_state"])
 
 
 METRICS = """round(CASE WHEN tp+fp > 0 THEN tp/(tp+fp) ELSE -1 END, 6) AS precision, round(CASE WHEN tp+fn > 0 THEN tp/(tp+fn) ELSE -1 END, 6) AS recall,
@@ -204,6 +210,6 @@ def a66_baselines(spark: SparkSession, sf: str) -> DataFrame:
     nxt = f.withColumns({"from_pos": F.col("pos") + 1, "to_pos": F.col("pos") + 1, "f_positive": F.lit(True)})
     out = None
     for name, x in (("random", rnd), ("next", nxt)):
-        m = fc.classification_metrics(fc.confusion(fc.forecast_hits(x, d, ["user_id"]), F.col("f_positive"), F.col("hit"))).withColumn("baseline", F.lit(name))
+        m = fc.classification_metrics(fc.confusion(fc.forecast_hits(x, d, ["user_id"], width=_w(spark, sf)), F.col("f_positive"), F.col("hit"))).withColumn("baseline", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out

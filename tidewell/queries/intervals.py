@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import fluents
 from tidewell.operators import intervals as iv
+from tidewell.operators.ordered import width_if_hot
 from tidewell.queries import Registry
 from tidewell.session import table
 
@@ -44,9 +45,14 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("user_id", "event_type", "value", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("t"), "event_id")
 
 
-def _of(spark: SparkSession, sf: str, up: str, down: str, width: int | None = WIDTH) -> DataFrame:
+def _w(spark: SparkSession, sf: str) -> int | None:
+    """Blocks of 30 days if a user has too many events for one task."""
+    return width_if_hot(table(spark, sf, "events"), K, WIDTH)
+
+
+def _of(spark: SparkSession, sf: str, up: str, down: str, width: int | None = None) -> DataFrame:
     e = _events(spark, sf).filter(F.col("event_type").isin(up, down)).withColumn("initiates", F.col("event_type") == up)
-    return iv.from_points(e, K, width=width)
+    return iv.from_points(e, K, width=width or _w(spark, sf))
 
 
 def _a(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,23 +71,23 @@ def b07_inertia(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("b20_union", _sweep_sql("ca >= 1 OR cb >= 1"))
 def b20_union(spark: SparkSession, sf: str) -> DataFrame:
-    return iv.union_all([_a(spark, sf), _b(spark, sf)], K, WIDTH)
+    return iv.union_all([_a(spark, sf), _b(spark, sf)], K, _w(spark, sf))
 
 
 @R.add("b21_intersect", _sweep_sql("ca >= 1 AND cb >= 1"))
 def b21_intersect(spark: SparkSession, sf: str) -> DataFrame:
-    return iv.intersect_all([_a(spark, sf), _b(spark, sf)], K, WIDTH)
+    return iv.intersect_all([_a(spark, sf), _b(spark, sf)], K, _w(spark, sf))
 
 
 @R.add("b22_relative_complement", _sweep_sql("ca >= 1 AND cb = 0"))
 def b22_relative_complement(spark: SparkSession, sf: str) -> DataFrame:
-    return iv.relative_complement_all(_a(spark, sf), [_b(spark, sf)], K, WIDTH)
+    return iv.relative_complement_all(_a(spark, sf), [_b(spark, sf)], K, _w(spark, sf))
 
 
 @R.add("b23_complement", f"""{AB}, e AS (SELECT user_id, 1704067200 AS t FROM (SELECT DISTINCT user_id FROM a) UNION ALL SELECT user_id, "end" FROM a WHERE "end" < {iv.INF}),
 n AS (SELECT user_id, t AS "start", (SELECT coalesce(min(a."start"), {iv.INF}) FROM a WHERE a.user_id = e.user_id AND a."start" >= e.t) AS "end" FROM e) SELECT * FROM n WHERE "start" < "end" """)
 def b23_complement(spark: SparkSession, sf: str) -> DataFrame:
-    return iv.complement_all([_a(spark, sf)], K, 1704067200, WIDTH)
+    return iv.complement_all([_a(spark, sf)], K, 1704067200, _w(spark, sf))
 
 
 @R.add("b09_boundaries", f"""{AB} SELECT user_id, 'start' AS event, "start" - 1 AS t, "start" AS at FROM a UNION ALL SELECT user_id, 'end', "end" - 1, "end" FROM a WHERE "end" < {iv.INF}""")
@@ -94,13 +100,13 @@ def b09_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("b13_holds_at", f"""{AB} SELECT event_id FROM ev WHERE event_type = 'signup' AND EXISTS (SELECT 1 FROM a WHERE a.user_id = ev.user_id AND a."start" <= ev.t AND ev.t < a."end")""")
 def b13_holds_at(spark: SparkSession, sf: str) -> DataFrame:
     p = _events(spark, sf).filter("event_type = 'signup'").select("user_id", "event_id", "t")
-    return iv.holds_at(p, _a(spark, sf), K, width=WIDTH).select("event_id")
+    return iv.holds_at(p, _a(spark, sf), K, width=_w(spark, sf)).select("event_id")
 
 
 @R.add("b14_not_holds_at", f"""{AB} SELECT event_id FROM ev WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = ev.user_id AND a."start" <= ev.t AND ev.t < a."end")""")
 def b14_not_holds_at(spark: SparkSession, sf: str) -> DataFrame:
     p = _events(spark, sf).filter("event_type = 'signup'").select("user_id", "event_id", "t")
-    return iv.holds_at(p, _a(spark, sf), K, negated=True, width=WIDTH).select("event_id")
+    return iv.holds_at(p, _a(spark, sf), K, negated=True, width=_w(spark, sf)).select("event_id")
 
 
 ISLES = f"""WITH {BASE}, p AS (SELECT DISTINCT user_id, t FROM ev WHERE event_type = 'view'), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= {{gap}} THEN 0 ELSE 1 END AS n FROM p),
@@ -109,19 +115,19 @@ i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY t) AS isle FROM g)"""
 
 @R.add("b17_extendable", ISLES.format(gap=86400) + " SELECT user_id, max(t) + 86400 AS t FROM i GROUP BY user_id, isle")
 def b17_extendable(spark: SparkSession, sf: str) -> DataFrame:
-    return iv.extendable_deadlines(_events(spark, sf).filter("event_type = 'view'"), K, 86400, width=WIDTH)
+    return iv.extendable_deadlines(_events(spark, sf).filter("event_type = 'view'"), K, 86400, width=_w(spark, sf))
 
 
 @R.add("b19_samples", ISLES.format(gap=3600) + ' SELECT user_id, min(t) AS "start", max(t) // 3600 * 3600 + 3600 AS "end" FROM i GROUP BY user_id, isle')
 def b19_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return iv.from_samples(_events(spark, sf).filter("event_type = 'view'"), K, step=3600, width=WIDTH)
+    return iv.from_samples(_events(spark, sf).filter("event_type = 'view'"), K, step=3600, width=_w(spark, sf))
 
 
 @R.add("b16_fixed_deadline")
 def b16_fixed_deadline(spark: SparkSession, sf: str) -> DataFrame:
     """A view starts a state that ends by itself after a day, unless a purchase ends it first."""
     e = _events(spark, sf)
-    return iv.fixed_deadlines(e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'"), K, 86400, width=WIDTH)
+    return iv.fixed_deadlines(e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'"), K, 86400, width=_w(spark, sf))
 
 
 @R.add("b25_durations", f"""{AB}, q AS (SELECT max(t) AS q FROM ev) SELECT 'longer' AS kind, user_id, "start", "end" FROM a, q WHERE least("end", q) - "start" > 200000 UNION ALL SELECT 'shorter', user_id, "start", "end" FROM a WHERE "end" < {iv.INF} AND "end" - "start" < 50000""")
@@ -147,7 +153,7 @@ def _allen_query(relation: str) -> None:
 
     @R.add(f"b{n}_{relation}", f"""{AB} SELECT a.user_id, a."start" AS start_1, a."end" AS end_1, b."start" AS start_2, b."end" AS end_2 FROM a JOIN b ON a.user_id = b.user_id AND {ALLEN_ON[relation]}""")
     def q(spark: SparkSession, sf: str) -> DataFrame:
-        return iv.allen(_a(spark, sf), _b(spark, sf), relation, K, WIDTH)
+        return iv.allen(_a(spark, sf), _b(spark, sf), relation, K, _w(spark, sf))
 
 
 for _r in ALLEN_ON:
@@ -160,7 +166,7 @@ SELECT * FROM (SELECT 'source' AS mode, user_id, s1 AS "start", e1 AS "end" FROM
 def b37_allen_modes(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for mode in ("source", "target"):
-        d = iv.allen_intervals(_a(spark, sf), _b(spark, sf), "overlaps", K, mode, WIDTH).withColumn("mode", F.lit(mode))
+        d = iv.allen_intervals(_a(spark, sf), _b(spark, sf), "overlaps", K, mode, _w(spark, sf)).withColumn("mode", F.lit(mode))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -183,7 +189,7 @@ def b43_clip(spark: SparkSession, sf: str) -> DataFrame:
 def b01_program(spark: SparkSession, sf: str) -> DataFrame:
     """A program: events, a derived event, two simple fluents, a tree (B-01, B-02, B-11, B-12, B-18, B-44, B-45)."""
     e = _events(spark, sf)
-    p = fluents.Program(K, width=WIDTH)
+    p = fluents.Program(K, width=_w(spark, sf))
     for kind in ("view", "click", "purchase", "error"):
         p.event(kind, e.filter(F.col("event_type") == kind))
     p.derived("big", ["purchase"], lambda x: x["purchase"].filter("value > 50").select("user_id", "t"))
@@ -200,7 +206,7 @@ SELECT 'view' AS value, * FROM v UNION ALL SELECT 'click', * FROM c""")
 def b05_values(spark: SparkSession, sf: str) -> DataFrame:
     """Two values of one fluent: starting one ends the other (B-05)."""
     e = _events(spark, sf)
-    p = fluents.Program(K, width=WIDTH)
+    p = fluents.Program(K, width=_w(spark, sf))
     for kind in ("view", "click", "error"):
         p.event(kind, e.filter(F.col("event_type") == kind))
     p.simple("v", ["view"], ["error"], values=["click"])
@@ -255,5 +261,5 @@ def b27_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
 def b28_findall(spark: SparkSession, sf: str) -> DataFrame:
     """All clicks inside an interval, as a list."""
     clicks = _events(spark, sf).filter("event_type = 'click'")
-    inside = iv.lookup(clicks, _a(spark, sf), K, width=WIDTH).filter("t < hold_end")
+    inside = iv.lookup(clicks, _a(spark, sf), K, width=_w(spark, sf)).filter("t < hold_end")
     return inside.groupBy("user_id", F.col("hold_start").alias("start")).agg(F.count("*").alias("clicks"), F.array_join(F.sort_array(F.collect_list("event_id")), ",").alias("ids"))
