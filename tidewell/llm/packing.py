@@ -1,11 +1,15 @@
 """Filling containers of fixed capacity with texts, by lexical retrieval.
 
-Documents are spread over shards of bounded size. Each shard holds a BM25 inverted index of its
-documents, with document frequencies counted over the whole corpus. A container starts with the
-largest unused document; its words are looked up in the index and the unused neighbours fill the
-container in order of their score as long as they fit; what is left is filled with the largest
+The index is spread over shards of bounded size, each a BM25 inverted index of its documents with
+document frequencies counted over the whole corpus. A container starts with the largest unused
+document; its words are looked up in every shard and the unused neighbours of the whole corpus fill
+the container in order of their score as long as they fit; what is left is filled with the largest
 unused pieces that fit. A text is split only if it is larger than the capacity: its full pieces
 take containers of their own and the rest is packed like a text.
+
+Seeds are looked up in rounds: one Spark job scores the next seeds of every packing job against all
+shards, the driver then fills the containers in the order of the seeds. A list of neighbours ends
+where a shard may hold a better one; a container that needs more is looked up again.
 """
 
 from __future__ import annotations
@@ -129,17 +133,255 @@ def corpus_statistics(docs: DataFrame, text: str = "text") -> tuple[int, float,
     return count, words / max(count, 1), np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
 
 
+#: Seeds of a packing job that are looked up at once, words of a shard that are scored as a matrix.
+SEEDS, DENSE = 4_096, 384
+INDEX_DDL = "shard int, ids binary, size binary, slot binary, n binary, doc binary, weight binary"
+INDEX_TYPES = {"ids": np.int64, "size": np.int64, "slot": np.int32, "n": np.int32, "doc": np.int32, "weight": np.float32}
+HITS = pa.schema([("g", pa.int32()), ("q", pa.int32()), ("pos", pa.int64()), ("score", pa.float32()), ("more", pa.bool_())])
+HITS_DDL = "g int, q int, pos long, score float, more boolean"
+
+
+def left_of(size: np.ndarray, capacity: int) -> np.ndarray:
+    """What is packed like a text: all of a text, or what its full pieces leave."""
+    return np.where(size > capacity, size % capacity, size)
+
+
+def merged(q: np.ndarray, pos: np.ndarray, score: np.ndarray, more: np.ndarray, most: int | None) -> tuple[np.ndarray, ...]:
+    """Lists of several shards as one per seed, best first. ``more`` marks a list's last entry if
+    worse ones were left out; nothing below such an entry is certain, so the joint list ends there."""
+    o = np.lexsort((pos, -score, q))
+    q, pos, score, more = q[o], pos[o], score[o], more[o]
+    first = np.searchsorted(q, q, "left")
+    before = np.cumsum(more) - more
+    keep = before == before[first] if len(q) else np.zeros(0, bool)
+    if most is not None:
+        rank = np.arange(len(q)) - first
+        cut = keep & (rank == most - 1) & np.append((q[1:] == q[:-1]), False)[: len(q)]
+        more = more | cut
+        keep &= rank < most
+    return q[keep], pos[keep], score[keep], more[keep]
+
+
+def neighbours(shard: dict[str, np.ndarray], base: int, group: dict) -> tuple[np.ndarray, ...]:
+    """The best unused documents of one shard that fit, for every seed of a group."""
+    size, doc, room = shard["size"], shard["doc"], group["room"]
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, bool))
+    left = left_of(size, group["capacity"])
+    cols = np.flatnonzero(group["free"][base : base + len(size)] & (left <= room.max()))
+    m = len(cols)
+    if not m:
+        return none
+    new = np.full(len(size), -1)
+    new[cols] = np.arange(m)
+    k = np.repeat(np.arange(len(shard["slot"])), shard["n"])
+    keep = new[doc] >= 0
+    k, d, w = k[keep], new[doc[keep]], shard["weight"][keep]
+    n = np.bincount(k, minlength=len(shard["slot"]))
+    begin = np.cumsum(n) - n
+    wide = np.full(len(n), -1)
+    common = np.argsort(-n, kind="stable")[:DENSE]
+    wide[common] = np.arange(len(common))
+    at = wide[k] >= 0
+    dense = np.zeros((len(common), m), np.float32)
+    dense[wide[k[at]], d[at]] = w[at]
+    word = np.searchsorted(shard["slot"], group["slots"])
+    word[word == len(n)] = 0
+    known = shard["slot"][word] == group["slots"] if len(n) else np.zeros(len(word), bool)
+    seed = np.repeat(np.arange(len(room)), np.diff(group["ptr"]))[known]
+    word = word[known]
+    # equal scores are told apart by seed, so that copies do not all ask for the same copies
+    noise = 1 + 1e-5 * np.random.default_rng(1).random(2 * m, np.float32)
+    most = min(m, group["each"])
+    out = []
+    step = max(1, 2_000_000 // m)
+    for i in range(0, len(room), step):
+        c = min(step, len(room) - i)
+        a, b = np.searchsorted(seed, [i, i + c])
+        row, v = seed[a:b] - i, word[a:b]
+        is_wide = wide[v] >= 0
+        ask = np.zeros((c, len(common)), np.float32)
+        ask[row[is_wide], wide[v[is_wide]]] = 1
+        s = ask @ dense
+        row, v = row[~is_wide], v[~is_wide]
+        many = n[v]
+        at = np.repeat(begin[v] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        s += np.bincount(np.repeat(row, many) * m + d[at], w[at], c * m).reshape(c, m)
+        s *= left[cols] <= room[i : i + c, None]
+        for r in range(c):
+            turn = int(group["seeds"][i + r]) * 7919 % m
+            s[r] *= noise[turn : turn + m]
+        top = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < m else np.tile(np.arange(m), (c, 1))
+        score = np.take_along_axis(s, top, 1)
+        last = score.argmin(1)
+        more = np.zeros(score.shape, bool)
+        more[np.arange(c), last] = most < m
+        ok = score > 0
+        out.append((np.repeat(np.arange(i, i + c, dtype=np.int32), most)[ok.ravel()], cols[top[ok]] + base, score[ok], more[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
+
+
+class Filling:
+    """The state of one packing job on the driver."""
+
+    def __init__(self, job: int, capacity: int, size: np.ndarray) -> None:
+        self.job, self.capacity, self.left = job, capacity, left_of(size, capacity)
+        self.free = ~((size > capacity) & (self.left == 0))
+        self.box = np.full(len(size), -1, np.int32)
+        self.home: list[int] = []  # the seed of each container
+        self.order = np.argsort(-self.left, kind="stable")
+        self.negative = -self.left[self.order]
+        self.skip = np.arange(len(size) + 1)
+        self.open: list[tuple[int, int, int]] = []  # container, room, times looked up
+
+    def unused(self, i: int) -> int:
+        """The first place in the order of sizes, from i on, that is unused."""
+        j = i
+        while j < len(self.order) and not self.free[self.order[j]]:
+            j = self.skip[j] if self.skip[j] > j else j + 1
+        while i < j:
+            self.skip[i], i = j, max(self.skip[i], i + 1)
+        return j
+
+    def largest(self, room: int) -> int:
+        i = self.unused(int(np.searchsorted(self.negative, -room)))
+        return int(self.order[i]) if i < len(self.order) else -1
+
+    def seeds(self) -> np.ndarray:
+        """The next seeds: the largest unused documents, for half of the containers still to come."""
+        todo = self.order[self.free[self.order]]
+        need = int(self.left[todo].sum()) // self.capacity
+        return todo[: min(SEEDS, max(64, need // 2))]
+
+    def fill(self, box: int, room: int, times: int, near: list[int], whole: bool) -> None:
+        free, left = self.free, self.left
+        for d in near:
+            if free[d] and left[d] <= room:
+                free[d], self.box[d] = False, box
+                room -= int(left[d])
+        while (d := self.largest(room)) >= 0:
+            if not whole and left[d] > 0:
+                self.open.append((box, room, times + 1))
+                return
+            free[d], self.box[d] = False, box
+            room -= int(left[d])
+
+    def start(self, seed: int, near: list[int], whole: bool) -> None:
+        if self.free[seed]:
+            self.free[seed], self.box[seed] = False, len(self.home)
+            self.home.append(seed)
+            self.fill(len(self.home) - 1, self.capacity - int(self.left[seed]), 0, near, whole)
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    for b in batches:
+        for r in b.to_pylist():
+            yield r["shard"], {c: np.frombuffer(r[c], t) for c, t in INDEX_TYPES.items()}
+
+
+def _words_of(index: DataFrame, base: np.ndarray, wanted: np.ndarray) -> dict[int, np.ndarray]:
+    """The word slots of some documents, by position."""
+    shared = index.sparkSession.sparkContext.broadcast(np.sort(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, x in _arrays(batches):
+            ask = np.zeros(len(x["size"]), bool)
+            mine = shared.value - base[shard]
+            ask[mine[(mine >= 0) & (mine < len(ask))]] = True
+            keep = ask[x["doc"]]
+            d, v = x["doc"][keep], np.repeat(x["slot"], x["n"])[keep]
+            o = np.argsort(d, kind="stable")
+            who, at = np.unique(d[o], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(who + base[shard], pa.int64()), pa.array([y.tobytes() for y in np.split(v[o], at[1:])] if len(who) else [], pa.binary())], names=["pos", "slots"])
+
+    got = index.mapInArrow(run, "pos long, slots binary").toArrow()
+    shared.unpersist()
+    return {p: np.frombuffer(s, np.int32) for p, s in zip(got.column("pos").to_pylist(), got.column("slots").to_pylist(), strict=True)}
+
+
+def _looked_up(index: DataFrame, base: np.ndarray, groups: list[dict]) -> tuple[np.ndarray, ...]:
+    shared = index.sparkSession.sparkContext.broadcast(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[tuple]] = [[] for _ in shared.value]
+        for shard, x in _arrays(batches):
+            for g, group in enumerate(shared.value):
+                parts[g].append(neighbours(x, int(base[shard]), group))
+        for g, group in enumerate(shared.value):
+            if parts[g]:
+                q, pos, score, more = merged(*(np.concatenate(x) for x in zip(*parts[g], strict=True)), group["most"])
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip([np.full(len(q), g), q, pos, score, more], HITS, strict=True)], schema=HITS)
+
+    got = index.mapInArrow(run, HITS_DDL).toArrow()
+    shared.unpersist()
+    return tuple(got.column(c).to_numpy() for c in HITS.names)
+
+
+def fill_all(index: DataFrame, base: np.ndarray, fillings: list[Filling]) -> None:
+    """Rounds until every document of every job has its container."""
+    empty = np.zeros(0, np.int32)
+    words: dict[int, np.ndarray] = {}
+    shards = max(len(base), 1)
+    while True:
+        plans = []  # (filling, seeds, containers looked up again or None)
+        for f in fillings:
+            again, f.open = f.open, []
+            fresh = f.seeds()
+            for times in sorted({x[2] for x in again}):
+                some = [x for x in again if x[2] == times]
+                plans.append((f, np.array([f.home[x[0]] for x in some]), some))
+            if len(fresh):
+                plans.append((f, fresh, None))
+        if not plans:
+            return
+        missing = np.array(sorted({int(d) for _, s, _ in plans for d in s} - words.keys()), np.int64)
+        if len(missing):
+            words |= dict.fromkeys(missing.tolist(), empty) | _words_of(index, base, missing)
+        groups, asked = [], []
+        for g, (f, seeds, some) in enumerate(plans):
+            room = np.array([x[1] for x in some]) if some else f.capacity - f.left[seeds]
+            left = f.left[f.free & (f.left > 0)]
+            ask = np.flatnonzero(room >= (left.min() if len(left) else f.capacity + 1))
+            if not len(ask):
+                continue
+            slots = [words[int(d)] for d in seeds[ask]]
+            fits = left[left <= room.max()]
+            most = (8 + math.ceil(3 * float(room[ask].max()) / max(float(fits.mean()), 1.0))) << (some[0][2] if some else 0)
+            most = min(most, len(f.left) + 1)
+            groups.append({"capacity": f.capacity, "free": f.free.copy(), "room": room[ask], "seeds": seeds[ask], "slots": np.concatenate(slots), "ptr": np.cumsum([0, *map(len, slots)]), "most": most, "each": 4 + math.ceil(4 * most / shards)})
+            asked.append((g, ask))
+        hits: dict[tuple[int, int], tuple[list[int], bool]] = {}
+        if groups:
+            g, q, pos, score, more = _looked_up(index, base, groups)
+            for k, (plan, ask) in enumerate(asked):
+                mine = g == k
+                qs, ps, _, ms = merged(q[mine], pos[mine], score[mine], more[mine], None)
+                who, at = np.unique(qs, return_index=True)
+                for i, a, b in zip(who.tolist(), at.tolist(), np.append(at, len(qs))[1:].tolist(), strict=True):
+                    hits[plan, int(ask[i])] = (ps[a:b].tolist(), not ms[b - 1])
+        for g, (f, seeds, some) in enumerate(plans):
+            for i, seed in enumerate(seeds.tolist()):
+                near, whole = hits.get((g, i), ([], True))
+                if some:
+                    f.fill(*some[i], near, whole)
+                else:
+                    f.start(seed, near, whole)
+        live = {f.home[x[0]] for f in fillings for x in f.open}
+        words = {d: s for d, s in words.items() if d in live or any(f.free[d] for f in fillings)}
+
+
 def packed(docs: DataFrame, jobs: DataFrame, doc: str = "doc_id", text: str = "text", job: str = "job_id", capacity: str = "capacity", shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Every document of every job in containers: job_id, shard, container (numbered inside job and
-    shard), doc_id, piece, start and tokens of the piece.
+    """Every document of every job in containers: job_id, shard, container (numbered inside the
+    job), doc_id, piece, start and tokens of the piece.
 
     A size is the number of tokens of the public byte-level tokenizer, one per UTF-8 byte; starts
     count in the same tokens. Null texts and ids are left out; an empty text takes no room but is
     put somewhere. Rows that repeat an id are packed one by one. Jobs with a null or non-positive
     capacity are left out. Jobs are few (they are a configuration table); more than 10,000 raise.
 
-    Shards take rows by a hash of id and position in the input, so neither a source nor a group of
-    copies nor a repeated row can make one larger; a task holds one shard.
+    Index shards take rows by a hash of id and position in the input, so neither a source nor a group
+    of copies nor a repeated row can make one larger. Every seed meets the unused documents of all
+    shards; ``shard`` is that of the container's seed. The work grows with containers times
+    documents; the driver holds some 40 bytes per document and job.
     """
     todo = [(r[0], r[1]) for r in jobs.select(F.col(job).cast("long"), F.col(capacity).cast("long")).filter((F.col(capacity) > 0) & F.col(job).isNotNull()).distinct().limit(10_001).collect()]
     if len(todo) > 10_000:
@@ -147,22 +389,50 @@ def packed(docs: DataFrame, jobs: DataFrame, doc: str = "doc_id", text: str = "t
     todo.sort()
     count, mean, idf = corpus_statistics(docs, text)
     shards = max(1, math.ceil(count / shard_docs))
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(idf)
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     spread = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards))
     rows = rows.withColumn("shard", spread.cast("int"))
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+    def build(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids, texts = t.column("doc_id").to_numpy(), t.column("text").to_pylist()
-        size = np.array([len(x.encode()) for x in texts], np.int64)
-        index = Index([slots_of(x) for x in texts], shared.value, mean)
-        parts = []
-        for j, cap in todo:
-            got = np.array(pack(size, cap, index), np.int64).reshape(-1, 5)
-            n = len(got)
-            cols = [np.full(n, j), np.full(n, key[0].as_py()), got[:, 0], ids[got[:, 1]], got[:, 2], got[:, 3], got[:, 4]]
-            parts.append(pa.table([pa.array(c).cast(f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA))
-        return pa.concat_tables(parts) if parts else SCHEMA.empty_table()
-
-    return rows.groupBy("shard").applyInArrow(run, DDL)
+        texts = t.column("text").to_pylist()
+        x = Index([slots_of(y) for y in texts], shared.value, mean)
+        n = x.end - x.begin
+        cols = {"ids": t.column("doc_id").to_numpy(), "size": np.array([len(y.encode()) for y in texts]), "slot": x.slot, "n": n, "doc": x.posting, "weight": x.weight * np.repeat(shared.value[x.slot], n)}
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32())} | {c: pa.array([cols[c].astype(d).tobytes()], pa.binary()) for c, d in INDEX_TYPES.items()})
+
+    tasks = min(shards, 4 * context.defaultParallelism)
+    index = rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(build, INDEX_DDL).persist()
+    got = index.select("shard", "size").toArrow().sort_by("shard").to_pydict()
+    sizes = dict(zip(got["shard"], (np.frombuffer(x, np.int64) for x in got["size"]), strict=True))
+    size = np.concatenate([np.zeros(0, np.int64), *sizes.values()])
+    base = np.cumsum([0, *(len(sizes.get(k, ())) for k in range(shards))])[:-1]
+    fillings = [Filling(j, cap, size) for j, cap in todo]
+    fill_all(index, base, fillings)
+    results = []
+    for f in fillings:
+        large = np.flatnonzero(size > f.capacity)
+        full = size[large] // f.capacity
+        home = np.searchsorted(base, np.array(f.home, np.int64), "right") - 1
+        results.append((f.job, f.capacity, f.box, home, large, len(f.home) + np.cumsum(full) - full))
+    del fillings
+    placed = context.broadcast(results)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, x in _arrays(batches):
+            a, n = int(base[shard]), len(x["ids"])
+            for j, cap, box, home, large, first in placed.value:
+                box = box[a : a + n]
+                whole = np.where(x["size"] > cap, x["size"] // cap, 0)
+                d = np.flatnonzero(box >= 0)
+                big = np.flatnonzero(whole)
+                many = whole[big]
+                piece = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                own = np.repeat(first[np.searchsorted(large, big + a)], many) + piece
+                e = np.repeat(big, many)
+                cols = [np.full(len(d) + len(e), j), np.append(home[box[d]], np.full(len(e), shard)), np.append(box[d], own), x["ids"][np.append(d, e)], np.append(whole[d], piece), np.append(whole[d], piece) * cap, np.append(left_of(x["size"], cap)[d], np.full(len(e), cap))]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
+
+    return index.mapInArrow(emit, DDL)
