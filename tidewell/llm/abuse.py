@@ -3,7 +3,7 @@
 Three machines are composed. The first maps a token, in whatever spelling, to classes of words. The
 second matches clauses - insults with a target, threats, wishes of harm, dehumanised or excluded
 groups, sexual offers and demands - and gives each a weight. The third reads what stands before a
-match: negation and reported speech take weight away. Words alone score nothing.
+match, and for negation in and after it: negation and reported speech take weight away. Words alone score nothing.
 """
 
 from __future__ import annotations
@@ -111,73 +111,73 @@ RULES = [
     ("abusive", 1.0, "everybody|everyone knows YOU"),
     ("abusive", 1.0, "lacht|lachen|laughs|laughing uber|at dich|YOU"),
     # threats
-    ("abusive", 1.0, "ME will|ll|would|gonna|shall|going to? _{0,2} KILL YOU|YOUR"),
-    ("abusive", 1.0, "ME will|ll|gonna|shall _{0,3} KILL YOUR? _{0,2} BODY _{0,2} in|off|out"),
-    ("abusive", 1.0, "KILL YOUR _{0,2} BODY|THINGS"),
-    ("abusive", 1.0, "set YOUR THINGS on fire"),
-    ("abusive", 1.0, "make YOU pay|regret|bleed|suffer|sorry"),
-    ("abusive", 1.0, "come|coming|show round|over|for|up|to _{0,2} with a|my bat|knife|gun|axe|hammer|club|crowbar"),
-    ("abusive", 1.0, "keep talking _{0,2} and? ME will|ll"),
-    ("abusive", 1.0, "YOUR THINGS _{0,4} is|are|will _{0,2} next _{0,2} burn|drown|flood|go"),
-    ("abusive", 1.0, "te|os|et|us KILL la|las|el|los|les|els|l BODY"),
-    ("abusive", 1.0, "te|os|et|us KILL _{0,3} si|como"),
-    ("abusive", 1.0, "si te|os|et|us veo|pillo|encuentro|cojo|trobo|enxampo|veig _{0,5} te|os|et|us KILL"),
-    ("abusive", 1.0, "ich|wir KILL dir|dich|euch|deine"),
-    ("abusive", 1.0, "wo du|ihr _{0,4} wohnst|wohnt _{0,3} komme|kriege|finde"),
-    ("abusive", 1.0, "ich komme|komm mit dem|der|einem|einer knuppel|messer|baseballschlager|hammer|axt|waffe"),
-    ("abusive", 1.0, "ik KILL je|jou|jullie _{0,3}"),
-    ("abusive", 1.0, "KILL je|jou BODY"),
-    ("abusive", 1.0, "know where you live _{0,4} come|coming|find"),
+    ("abusive", 1.4, "ME will|ll|would|gonna|shall|going to? _{0,2} KILL YOU|YOUR"),
+    ("abusive", 1.4, "ME will|ll|gonna|shall _{0,3} KILL YOUR? _{0,2} BODY _{0,2} in|off|out"),
+    ("abusive", 1.4, "KILL YOUR _{0,2} BODY|THINGS"),
+    ("abusive", 1.4, "set YOUR THINGS on fire"),
+    ("abusive", 1.4, "make YOU pay|regret|bleed|suffer|sorry"),
+    ("abusive", 1.4, "come|coming|show round|over|for|up|to _{0,2} with a|my bat|knife|gun|axe|hammer|club|crowbar"),
+    ("abusive", 1.4, "keep talking _{0,2} and? ME will|ll"),
+    ("abusive", 1.4, "YOUR THINGS _{0,4} is|are|will _{0,2} next _{0,2} burn|drown|flood|go"),
+    ("abusive", 1.4, "te|os|et|us KILL la|las|el|los|les|els|l BODY"),
+    ("abusive", 1.4, "te|os|et|us KILL _{0,3} si|como"),
+    ("abusive", 1.4, "si te|os|et|us veo|pillo|encuentro|cojo|trobo|enxampo|veig _{0,5} te|os|et|us KILL"),
+    ("abusive", 1.4, "ich|wir KILL dir|dich|euch|deine"),
+    ("abusive", 1.4, "wo du|ihr _{0,4} wohnst|wohnt _{0,3} komme|kriege|finde"),
+    ("abusive", 1.4, "ich komme|komm mit dem|der|einem|einer knuppel|messer|baseballschlager|hammer|axt|waffe"),
+    ("abusive", 1.4, "ik KILL je|jou|jullie _{0,3}"),
+    ("abusive", 1.4, "KILL je|jou BODY"),
+    ("abusive", 1.4, "know where you live _{0,4} come|coming|find"),
     # wishes of harm
-    ("abusive", 1.0, "HOPE YOU _{0,2} DIE"),
-    ("abusive", 1.0, "HOPE _{0,2} YOUR _{0,5} burn|burns|drown|drowns|sink|sinks|die|dies|crash"),
-    ("abusive", 1.0, "HOPE que? te|os|et|us DIE"),
-    ("abusive", 1.0, "DIE t|te|dich|je en|i|al|el|in"),
-    ("abusive", 1.0, "do|please|just not|never wake up"),
-    ("abusive", 1.0, "nobody|noone|niemand|nadie|ningu would|wird|will|wurde|te|et _{0,1} miss|vermissen|missen|echara YOU?"),
-    ("abusive", 1.0, "would|be be? no loss if YOU"),
-    ("abusive", 1.0, "kill yourself|yourselves|urself"),
-    ("abusive", 1.0, "go and? DIE|kill|hang yourself|somewhere|already"),
-    ("abusive", 1.0, "go and? DIE in|under|at"),
-    ("abusive", 1.0, "gente|gent como|com tu|vosotros|vosaltres habria|caldria|hay que|merece"),
-    ("abusive", 1.0, "solche|leute|menschen wie du|ihr|dich gehoren|sollte|sollten|muss|mussen"),
-    ("abusive", 1.0, "mensen|lui als jij|jou|jullie moeten|moet|horen|verdienen"),
-    ("abusive", 1.0, "people like YOU should|deserve|ought|belong|must"),
-    ("abusive", 1.0, "do us all a favour|favor"),
+    ("abusive", 1.2, "HOPE YOU _{0,2} DIE"),
+    ("abusive", 1.2, "HOPE _{0,2} YOUR _{0,5} burn|burns|drown|drowns|sink|sinks|die|dies|crash"),
+    ("abusive", 1.2, "HOPE que? te|os|et|us DIE"),
+    ("abusive", 1.2, "DIE t|te|dich|je en|i|al|el|in"),
+    ("abusive", 1.2, "do|please|just not|never wake up"),
+    ("abusive", 1.2, "nobody|noone|niemand|nadie|ningu would|wird|will|wurde|te|et _{0,1} miss|vermissen|missen|echara YOU?"),
+    ("abusive", 1.2, "would|be be? no loss if YOU"),
+    ("abusive", 1.2, "kill yourself|yourselves|urself"),
+    ("abusive", 1.2, "go and? DIE|kill|hang yourself|somewhere|already"),
+    ("abusive", 1.2, "go and? DIE in|under|at"),
+    ("abusive", 1.2, "gente|gent como|com tu|vosotros|vosaltres habria|caldria|hay que|merece"),
+    ("abusive", 1.2, "solche|leute|menschen wie du|ihr|dich gehoren|sollte|sollten|muss|mussen"),
+    ("abusive", 1.2, "mensen|lui als jij|jou|jullie moeten|moet|horen|verdienen"),
+    ("abusive", 1.2, "people like YOU should|deserve|ought|belong|must"),
+    ("abusive", 1.2, "do us all a favour|favor"),
     # groups
-    ("hateful", 1.0, "THEY BE DET? VERY* FOUL* VERMIN"),
-    ("hateful", 1.0, "PEOPLE _{0,3} BE|AREVB all|alle|todos|tots? DET? VERY* FOUL* VERMIN"),
-    ("hateful", 1.0, "los|las|els|les|die|de|alle|the|those|these|all GROUPISH _{0,3} BE|AREVB all|alle? DET? VERY* FOUL* VERMIN"),
-    ("hateful", 1.0, "THEY BE all|alle|todos|tots VERY* FOUL|VERMIN"),
-    ("hateful", 1.0, "have|has no business|place on|in|here|among|with"),
-    ("hateful", 1.0, "all PEOPLE|GROUPISH PEOPLE? BE _{0,2} VERMIN"),
-    ("hateful", 1.0, "never|dont rescue|save|help|feed|trust one|any|them"),
-    ("hateful", 1.0, "breed|breeds|multiply like|wie|como VERMIN"),
-    ("hateful", 1.0, "THEY kind breeds|breed"),
-    ("hateful", 1.0, "not belong|fit among|with humans|people|us|here|decent"),
-    ("hateful", 1.0, "leave|lassen|dejar them|all on|in|under the roofs|roof|water|flood|river|cold|mud"),
-    ("hateful", 1.0, "no bed _{0,4} for _"),
-    ("hateful", 1.0, "why waste _{1,3} on _"),
-    ("hateful", 1.0, "let the|them _{0,2} sort|take|have|drown|swallow|burn them|THEY"),
-    ("hateful", 1.0, "round|rounding them|up _{0,6} ship|send|throw|drive|kick"),
-    ("hateful", 1.0, "ship|send|throw|kick|drive them|THEY all? off|out|away|back"),
-    ("hateful", 1.0, "like|wie|como VERMIN raus|out|fuera"),
-    ("hateful", 1.0, "one more of those|these|them _{1,3} moves|comes|settles|arrives"),
-    ("hateful", 1.0, "burn|torch the|their|that hostel|shelter|camp|homes|houses|mosque|synagogue|church ourselves|down|tonight"),
-    ("hateful", 1.0, "raus|weg|fort mit ihnen|denen|den|dem|ihr"),
-    ("hateful", 1.0, "GROUPISH raus"),
-    ("hateful", 1.0, "keinem|keiner|niemand|niemandem von? ihnen? helfen|retten"),
-    ("hateful", 1.0, "que no salven|ayuden|rescaten a ninguno|ninguna|nadie"),
-    ("hateful", 1.0, "no en? salvin|ajudin|rescatin cap|ningu"),
-    ("hateful", 1.0, "hay|habria que echarlos|echarlas|expulsarlos|matarlos|quemarlos|ahogarlos"),
-    ("hateful", 1.0, "cal fer los fora|enfora"),
-    ("hateful", 1.0, "cal|caldria fer-los|ferlos|expulsar-los|expulsarlos|fora|foragitar"),
-    ("hateful", 1.0, "echarlos|echarlas|fuera|expulsarlos a patadas"),
-    ("hateful", 1.0, "fora|foragiteu|expulseu|feu|feu-los a cops|fora"),
-    ("hateful", 1.0, "gooi|smijt|jaag|trap|schop ze|hen|die _{0,4} uit|weg|eruit"),
-    ("hateful", 1.0, "PEOPLE|GROUPISH go back|home _{0,2} where|country"),
-    ("hateful", 1.0, "go back to where|your|the country|jungle|hole|swamp|where"),
-    ("hateful", 1.0, "gas|exterminate|deport|lynch|drown|shoot|hang|kill all? of? THEY|PEOPLE"),
+    ("hateful", 1.3, "THEY BE DET? VERY* FOUL* VERMIN"),
+    ("hateful", 1.3, "PEOPLE _{0,3} BE|AREVB all|alle|todos|tots? DET? VERY* FOUL* VERMIN"),
+    ("hateful", 1.3, "los|las|els|les|die|de|alle|the|those|these|all GROUPISH _{0,3} BE|AREVB all|alle? DET? VERY* FOUL* VERMIN"),
+    ("hateful", 1.3, "THEY BE all|alle|todos|tots VERY* FOUL|VERMIN"),
+    ("hateful", 1.3, "have|has no business|place on|in|here|among|with"),
+    ("hateful", 1.3, "all PEOPLE|GROUPISH PEOPLE? BE _{0,2} VERMIN"),
+    ("hateful", 1.3, "never|dont rescue|save|help|feed|trust one|any|them"),
+    ("hateful", 1.3, "breed|breeds|multiply like|wie|como VERMIN"),
+    ("hateful", 1.3, "THEY kind breeds|breed"),
+    ("hateful", 1.3, "not belong|fit among|with humans|people|us|here|decent"),
+    ("hateful", 1.3, "leave|lassen|dejar them|all on|in|under the roofs|roof|water|flood|river|cold|mud"),
+    ("hateful", 1.3, "no bed _{0,4} for _"),
+    ("hateful", 1.3, "why waste _{1,3} on _"),
+    ("hateful", 1.3, "let the|them _{0,2} sort|take|have|drown|swallow|burn them|THEY"),
+    ("hateful", 1.3, "round|rounding them|up _{0,6} ship|send|throw|drive|kick"),
+    ("hateful", 1.3, "ship|send|throw|kick|drive them|THEY all? off|out|away|back"),
+    ("hateful", 1.3, "like|wie|como VERMIN raus|out|fuera"),
+    ("hateful", 1.3, "one more of those|these|them _{1,3} moves|comes|settles|arrives"),
+    ("hateful", 1.3, "burn|torch the|their|that hostel|shelter|camp|homes|houses|mosque|synagogue|church ourselves|down|tonight"),
+    ("hateful", 1.3, "raus|weg|fort mit ihnen|denen|den|dem|ihr"),
+    ("hateful", 1.3, "GROUPISH raus"),
+    ("hateful", 1.3, "keinem|keiner|niemand|niemandem von? ihnen? helfen|retten"),
+    ("hateful", 1.3, "que no salven|ayuden|rescaten a ninguno|ninguna|nadie"),
+    ("hateful", 1.3, "no en? salvin|ajudin|rescatin cap|ningu"),
+    ("hateful", 1.3, "hay|habria que echarlos|echarlas|expulsarlos|matarlos|quemarlos|ahogarlos"),
+    ("hateful", 1.3, "cal fer los fora|enfora"),
+    ("hateful", 1.3, "cal|caldria fer-los|ferlos|expulsar-los|expulsarlos|fora|foragitar"),
+    ("hateful", 1.3, "echarlos|echarlas|fuera|expulsarlos a patadas"),
+    ("hateful", 1.3, "fora|foragiteu|expulseu|feu|feu-los a cops|fora"),
+    ("hateful", 1.3, "gooi|smijt|jaag|trap|schop ze|hen|die _{0,4} uit|weg|eruit"),
+    ("hateful", 1.3, "PEOPLE|GROUPISH go back|home _{0,2} where|country"),
+    ("hateful", 1.3, "go back to where|your|the country|jungle|hole|swamp|where"),
+    ("hateful", 1.3, "gas|exterminate|deport|lynch|drown|shoot|hang|kill all? of? THEY|PEOPLE"),
     # sexual
     ("sexual", 1.0, "HOT SLUT _{0,5} WANT _{0,3} SEXVERB"),
     ("sexual", 1.0, "HOT SLUT _{0,4} MEDIA|tonight|inside|online|waiting"),
@@ -204,12 +204,23 @@ RULES = [
     ("sexual", 1.0, "sit on ME face"),
 ]
 
-#: What before a match takes weight away, and from which categories.
+#: What before a match takes weight away, from which categories, and what it needs: "quote" an open
+#: quotation or a colon before the match, "verb" no punctuation in between and a match that does not
+#: begin with its own subject.
 CONTEXT = [
-    ("reported", "REPORTED _{0,6}", 0.7, ("abusive", "hateful")),
-    ("reported", "OFFICE _{0,8}", 0.4, ("abusive", "hateful")),
-    ("negated", "NOT DET? _{0,1}", 0.7, ("sexual",)),
+    ("reported", "REPORTED at|to|an|a|tegen|zu? ME|THEY|him|her? that|dass|que|dat?", 0.7, ("abusive", "hateful"), ""),
+    ("reported", "REPORTED _{0,6}", 0.7, ("abusive", "hateful"), "quote"),
+    ("reported", "OFFICE _{0,8}", 0.4, ("abusive", "hateful"), "quote"),
+    ("negated", "NOT DET? _{0,1}", 0.7, ("sexual",), ""),
+    ("negated", "NOT DET? _{0,1}", 0.7, ("abusive", "hateful"), "verb"),
+    ("negated", "NOT think|believe|mean|say|saying|claim|creo|pienso|digo|crec|penso|dic that|que?", 0.7, ("abusive", "hateful", "sexual"), ""),
 ]
+NEGATED = 0.7
+#: A match that begins with one of these has a subject of its own, which a negation before it misses.
+SUBJECT = {"YOU", "ME", "THEY", "PEOPLE"}
+#: Words of NOT that are something else too, or that ask instead of denying.
+NOT_ALSO = {"BODY", "PEOPLE"}
+ASKING = {"why", "warum", "waarom", "porque", "que"}
 
 # Letters of other scripts that look like Latin ones; digits and signs for letters.
 ALIKE = dict(zip("аеорсухікмтвнѕјԁɡӏгαοειкνρτυκ", "aeopcyxikmtbhsjdglraoeiknptuk", strict=True))
@@ -301,7 +312,9 @@ class Words:
 
 PATTERNS = [Pattern(*r) for r in RULES]
 CLAUSES = Machine(PATTERNS)
-BEFORE = Machine([Pattern(n, w, p) for n, p, w, _ in CONTEXT])
+BEFORE = Machine([Pattern(n, w, p) for n, p, w, *_ in CONTEXT])
+#: Rules that name a negator themselves, as "nobody would miss you".
+DENYING = [bool(frozenset(re.split(r"[ |?*]", p.text)) & {*LEXICON["NOT"].split(), "dont", "noone"}) for p in PATTERNS]
 WORDS = Words(frozenset(s for s in CLAUSES.alphabet | BEFORE.alphabet if s == s.lower() and s not in "_."))
 CATEGORIES = ("abusive", "hateful", "sexual")
 
@@ -336,6 +349,38 @@ def _recode(m: re.Match) -> str:
     return m.group()
 
 
+def _open_quote(gap: str) -> bool:
+    """Whether a text leaves a quotation open or ends with a colon."""
+    opened, closed = max(map(gap.rfind, "“„«")), max(map(gap.rfind, "”»"))
+    return gap.count('"') % 2 == 1 or opened > closed or gap.rstrip(" \"'‘“„«").endswith(":")
+
+
+def _taken(k: int, t: str, spans: list[tuple[int, int]], tokens: list[frozenset[str]], first: int, begin: int, end: int) -> float:
+    """The weight that negation in, before and after a match and reported speech before it take away."""
+    p, taken = PATTERNS[k], 0.0
+    if not DENYING[k] and any("NOT" in x and not x & NOT_ALSO for x in tokens[begin : end + 1]):
+        taken = NEGATED
+    if end + 1 < len(tokens) and t[slice(*spans[end + 1])].lower() in ("nicht", "niet"):
+        taken = NEGATED
+    before = tokens[first:begin]
+    for c, at in BEFORE.run(before):
+        name, _, cost, categories, needs = CONTEXT[c]
+        if at != len(before) - 1 or p.category not in categories or cost <= taken:
+            continue
+        if name == "reported" and tokens[first] & {"ME"}:
+            continue
+        start = first + BEFORE.begin(c, before, at)
+        gap = t[spans[start][1] : spans[begin][0]]
+        if needs == "quote" and not _open_quote(gap):
+            continue
+        if needs == "verb":
+            asked = start > first and t[slice(*spans[start - 1])].lower() in ASKING
+            if asked or tokens[begin] & SUBJECT or re.search(r'[,;:()"“”„«»–—]', gap):
+                continue
+        taken = cost
+    return taken
+
+
 def judge(text: str) -> tuple[dict[str, float], str]:
     """Weight of the strongest clause per category, and that clause."""
     best = dict.fromkeys(CATEGORIES, 0.0)
@@ -353,10 +398,7 @@ def judge(text: str) -> tuple[dict[str, float], str]:
         first = begin
         while first and STOP not in tokens[first - 1]:
             first -= 1
-        weight = p.weight
-        for c, at in BEFORE.run(tokens[first:begin]):
-            if at == begin - first - 1 and p.category in CONTEXT[c][3] and not tokens[first] & {"ME"}:
-                weight = min(weight, p.weight - CONTEXT[c][2])
+        weight = round(p.weight - _taken(k, t, spans, tokens, first, begin, end), 6)
         if weight > best[p.category]:
             if weight > max(best.values()):
                 clause = t[spans[begin][0] : spans[end][1]]
