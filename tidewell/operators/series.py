@@ -309,12 +309,12 @@ def classify_early(rows: DataFrame, model) -> DataFrame:  # noqa: ANN001
 
 
 def early_measures(predicted: DataFrame) -> DataFrame:
-    """accuracy, earliness (mean prefix over length), their harmonic mean and, per class, precision,
-    recall and F1. An unlabelled series is left out."""
+    """accuracy, earliness (mean prefix over length), their harmonic mean and, in one row per class,
+    its support, precision, recall and F1. An unlabelled series is left out."""
     d = predicted.filter("label IS NOT NULL")
     total = d.agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"), F.avg(F.col("prefix") / F.col("length")).alias("earliness"))
     total = total.withColumn("harmonic", F.when(F.col("accuracy") + 1 - F.col("earliness") > 0, 2 * (1 - F.col("earliness")) * F.col("accuracy") / (1 - F.col("earliness") + F.col("accuracy"))))
-    return total
+    return total.join(class_report(d, "label", "predicted"), F.lit(True), "left")
 
 
 def class_report(d: DataFrame, label: str, predicted: str, by: list[str] | None = None) -> DataFrame:
