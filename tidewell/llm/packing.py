@@ -1,32 +1,42 @@
 """Filling containers of fixed capacity with texts, by lexical retrieval.
 
-The index is spread over shards of bounded size, each a BM25 inverted index of its documents with
-document frequencies counted over the whole corpus. A container starts with the largest unused
-document; its words are looked up in every shard and the unused neighbours of the whole corpus fill
-the container in order of their score as long as they fit; what is left is filled with the largest
-unused pieces that fit. A text is split only if it is larger than the capacity: its full pieces
-take containers of their own and the rest is packed like a text.
-
-Seeds are looked up in rounds: one Spark job scores the next seeds of every packing job against all
-shards, the driver then fills the containers in the order of the seeds. A list of neighbours ends
-where a shard may hold a better one; a container that needs more is looked up again.
+The BM25 inverted index is sharded by content: documents are routed to the shard of the texts they
+resemble, by a tree of k-means cells that is fitted on bounded samples and then takes every row. A
+shard holds at most SHARD_BYTES of text, so it is packed by one task in bounded memory; cells above
+that are divided again, level by level, and copies of one text, which no content tells apart, by a
+hash. Document frequencies are counted over the whole corpus.
+
+Inside a shard the index is cut into small cells too. A container starts with the largest unused
+document; its words are looked up in the cells nearest to it, and the unused neighbours fill the
+container in order of their score as long as they fit; what is left is filled with the largest
+unused pieces that fit. A text is split only if it is larger than the capacity: its full pieces take
+containers of their own and the rest is packed like a text.
 """
 
 from __future__ import annotations
 
-import math
+import io
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.session import written
+
 #: Words are hashed to this many slots, so the frequency table has a fixed size (1 MB).
 SLOTS = 1 << 18
-SHARD_DOCS = 2_000
+#: Text of one shard; a document counts for its text and ROW_BYTES, so empty ones count too.
+SHARD_BYTES, ROW_BYTES = 32 << 20, 64
+#: Cells a level divides into; documents that a level, or a shard's own cells, are fitted on.
+BRANCHES, SAMPLE = 6, 4_096
+#: Levels that divide by content, enough for 6^12 shards; what is still too large is spread by hash.
+LEVELS = 12
+#: Slots that k-means looks at; documents of a cell inside a shard; cells a seed looks at.
+FEATURES, CELL_DOCS, PROBES = 2_048, 256, 6
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
 
@@ -36,51 +46,188 @@ def slots_of(text: str) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) & (SLOTS - 1) for w in _WORD.findall(text.lower())), np.int64)
 
 
+class Docs:
+    """The words of some documents: slots and their counts, document after document."""
+
+    def __init__(self, slots: list[bytes], counts: list[bytes]) -> None:
+        self.slot = np.frombuffer(b"".join(slots), np.int32)
+        self.tf = np.frombuffer(b"".join(counts), np.int32)
+        n = np.array([len(s) // 4 for s in slots], np.int64)
+        self.ptr = np.concatenate([[0], np.cumsum(n)])
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.length = np.bincount(self.doc, self.tf, len(n)) if len(n) else np.zeros(0)
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray]) -> Docs:
+        pairs = [np.unique(t, return_counts=True) for t in texts]
+        return cls([u.astype(np.int32).tobytes() for u, _ in pairs], [c.astype(np.int32).tobytes() for _, c in pairs])
+
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    def weights(self, idf: np.ndarray, mean: float) -> np.ndarray:
+        """What each (document, word) adds to a BM25 score."""
+        long = (K1 * (1 - B + B * self.length / max(mean, 1e-9)))[self.doc]
+        return (self.tf * (K1 + 1) / (self.tf + long) * idf[self.slot]).astype(np.float32)
+
+    def dense(self, a: int, b: int, column: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+        """Documents a to b as unit vectors over the slots that have a column."""
+        out = np.zeros((b - a, width), np.float32)
+        rows = slice(self.ptr[a], self.ptr[b])
+        c = column[self.slot[rows]]
+        at = c >= 0
+        out[self.doc[rows][at] - a, c[at]] = weight[rows][at]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Cells:
+    """K-means cells over unit vectors: ``slots`` are the columns, ``centre`` has a row per cell."""
+
+    def __init__(self, slots: np.ndarray, centre: np.ndarray) -> None:
+        self.slots, self.centre = slots, centre
+
+    @classmethod
+    def fit(cls, docs: Docs, weight: np.ndarray, k: int) -> Cells:
+        """Deterministic: starts with the documents farthest from those chosen before. Fewer cells
+        come out if the documents differ less."""
+        gain = np.bincount(docs.slot, weight.astype(float) ** 2, SLOTS)
+        slots = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+        slots = slots[gain[slots] > 0]
+        column = np.full(SLOTS, -1, np.int32)
+        column[slots] = np.arange(len(slots))
+        x = docs.dense(0, len(docs), column, weight, len(slots))
+        first = int(np.argmax(x @ x.mean(0))) if len(x) else 0
+        centre, near = [x[first]], x @ x[first]
+        step = np.random.default_rng(1)
+        while len(centre) < min(k, len(x)):
+            far = np.maximum(1 - near, 0) ** 2
+            if far.max() < 1e-3:
+                break
+            c = int(step.choice(len(x), p=far / far.sum()))
+            centre.append(x[c])
+            near = np.maximum(near, x @ x[c])
+        m = np.stack(centre)
+        for _ in range(10):
+            cell = (x @ m.T).argmax(1)
+            new = (cell == np.arange(len(m))[:, None]).astype(np.float32) @ x
+            size = np.linalg.norm(new, axis=1, keepdims=True)
+            m = np.where(size > 0, new / np.maximum(size, 1e-9), m)
+        return cls(slots, m)
+
+    def divides(self, docs: Docs, weight: np.ndarray) -> bool:
+        """Whether no cell takes nearly all of some documents."""
+        cell = self.nearest(docs, weight, 1)[:, 0]
+        return bool(np.bincount(cell).max() <= 0.9 * len(cell))
+
+    def nearest(self, docs: Docs, weight: np.ndarray, p: int) -> np.ndarray:
+        """The ``p`` nearest cells of every document, nearest first."""
+        column = np.full(SLOTS, -1, np.int32)
+        column[self.slots] = np.arange(len(self.slots))
+        p, out = min(p, len(self.centre)), []
+        for a in range(0, len(docs), 2_048):
+            s = docs.dense(a, min(a + 2_048, len(docs)), column, weight, len(self.slots)) @ self.centre.T
+            out.append(np.argsort(-s, 1, kind="stable")[:, :p])
+        return np.concatenate(out).astype(np.int64) if out else np.zeros((0, p), np.int64)
+
+    def save(self) -> bytes:
+        f = io.BytesIO()
+        np.savez(f, slots=self.slots, centre=self.centre)
+        return f.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Cells:
+        z = np.load(io.BytesIO(data))
+        return cls(z["slots"], z["centre"])
+
+
 class Index:
-    """BM25 inverted index of one shard: postings by slot, with each posting's weight."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
-        self.docs, self.idf = [np.unique(d) for d in docs], idf
-        doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        slot = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        pair, tf = np.unique(slot * max(len(docs), 1) + doc, return_counts=True)
-        slot, self.posting = pair // max(len(docs), 1), pair % max(len(docs), 1)
-        length = np.array([len(d) for d in docs], float)[self.posting] if len(pair) else np.zeros(0)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean_length, 1e-9)))
-        self.slot, at = np.unique(slot, return_index=True)
-        self.begin, self.end = at, np.append(at[1:], len(slot))
+    """BM25 inverted index of one shard, in cells: postings by (cell, slot) with their weights.
+    ``slim`` drops the postings of used documents."""
+
+    def __init__(self, docs: Docs, idf: np.ndarray, mean: float, cell_docs: int = CELL_DOCS, probes: int = PROBES) -> None:
+        self.docs, w = docs, docs.weights(idf, mean)
+        n = len(docs)
+        if n > cell_docs * probes:
+            pick = np.linspace(0, n - 1, min(n, SAMPLE)).astype(int)
+            rows = np.concatenate([np.arange(docs.ptr[i], docs.ptr[i + 1]) for i in pick])
+            some = Docs([docs.slot[docs.ptr[i] : docs.ptr[i + 1]].tobytes() for i in pick], [docs.tf[docs.ptr[i] : docs.ptr[i + 1]].tobytes() for i in pick])
+            self.near = Cells.fit(some, w[rows], -(-n // cell_docs)).nearest(docs, w, probes)
+        else:
+            self.near = np.zeros((n, 1), np.int64)
+        key = self.near[docs.doc, 0] * SLOTS + docs.slot
+        o = np.argsort(key, kind="stable")
+        self.key, self.post, self.weight = key[o], docs.doc[o], w[o]
+        self.held = n
+        self._heads()
+
+    def _heads(self) -> None:
+        head = np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1])) if len(self.key) else np.zeros(0, np.int64)
+        self.keys, self.begin = self.key[head], head
+        self.many = np.diff(np.append(head, len(self.key)))
+
+    def slim(self, free: np.ndarray) -> None:
+        """Drop postings of used documents once these are a third of those held."""
+        left = int(free.sum())
+        if left < self.held * 2 // 3:
+            at = free[self.post]
+            self.key, self.post, self.weight, self.held = self.key[at], self.post[at], self.weight[at], left
+            self._heads()
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document of the shard for the words of one of them."""
-        k = np.searchsorted(self.slot, self.docs[doc])
-        a, b = self.begin[k], self.end[k]
-        size = b - a
+        """BM25 of the documents in the cells nearest to a document, for its words; elsewhere 0."""
+        words = self.docs.slot[self.docs.ptr[doc] : self.docs.ptr[doc + 1]]
+        ask = (self.near[doc][:, None] * SLOTS + words[None, :]).ravel()
+        if not len(ask) or not len(self.keys):
+            return np.zeros(len(self.docs))
+        k = np.minimum(np.searchsorted(self.keys, ask), len(self.keys) - 1)
+        k = k[self.keys[k] == ask]
+        a, size = self.begin[k], self.many[k]
         rows = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.bincount(self.posting[rows], self.weight[rows] * np.repeat(self.idf[self.docs[doc]], size), len(self.docs))
-
-
-def pack(size: np.ndarray, capacity: int, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(container, document, piece, start, length) for documents of the given sizes."""
-    out: list[tuple[int, int, int, int, int]] = []
-    box = 0
-    whole = size // capacity
-    rest = size - whole * capacity
-    for d in np.flatnonzero(size > capacity):
-        for p in range(int(whole[d])):
-            out.append((box, int(d), p, p * capacity, capacity))
-            box += 1
-    whole = np.where(size > capacity, whole, 0)
-    left = np.where(size > capacity, rest, size)
-    free = ~((size > capacity) & (rest == 0))
-    for seed in np.argsort(-left, kind="stable"):
+        return np.bincount(self.post[rows], self.weight[rows], len(self.docs))
+
+
+class Largest:
+    """The largest unused document that fits a room, by a list in order of size that skips used ones."""
+
+    def __init__(self, left: np.ndarray, free: np.ndarray) -> None:
+        self.order = np.argsort(-left, kind="stable")
+        self.negative, self.free = -left[self.order], free
+        self.skip = list(range(len(left) + 1))
+
+    def __call__(self, room: int) -> int:
+        i = j = int(np.searchsorted(self.negative, -room))
+        while j < len(self.order) and not self.free[self.order[j]]:
+            j = self.skip[j] if self.skip[j] > j else j + 1
+        while i < j:
+            self.skip[i], i = j, max(self.skip[i], i + 1)
+        return int(self.order[j]) if j < len(self.order) else -1
+
+
+def left_of(size: np.ndarray, capacity: int) -> np.ndarray:
+    """What is packed like a text: all of a text, or what its full pieces leave."""
+    return np.where(size > capacity, size % capacity, size)
+
+
+def pack(size: np.ndarray, capacity: int, index: Index) -> np.ndarray:
+    """Rows (container, document, piece, start, length) for documents of the given sizes."""
+    whole, left = np.where(size > capacity, size // capacity, 0), left_of(size, capacity)
+    large = np.repeat(np.arange(len(size)), whole)
+    piece = np.arange(len(large)) - np.repeat(np.cumsum(whole) - whole, whole)
+    out = [np.stack([np.arange(len(large)), large, piece, piece * capacity, np.full(len(large), capacity)], 1)]
+    box = len(large)
+    free = ~((whole > 0) & (left == 0))
+    largest = Largest(left, free)
+    in_box, member = [], []
+    for seed in largest.order.tolist():
         if not free[seed]:
             continue
         free[seed] = False
         members, room = [seed], capacity - int(left[seed])
-        fit = free & (left <= room)
-        if fit.any():
-            score = index.scores(int(seed))
-            near = np.flatnonzero(fit & (score > 0))
+        if largest(room) >= 0:
+            index.slim(free)
+            score = index.scores(seed)
+            near = np.flatnonzero(score)
+            near = near[free[near] & (left[near] <= room)]
             near = near[np.argsort(-score[near], kind="stable")]
             while len(near):
                 used = np.cumsum(left[near])
@@ -88,23 +235,37 @@ def pack(size: np.ndarray, capacity: int, index: Index) -> list[tuple[int, int,
                 members += near[:k].tolist()
                 free[near[:k]] = False
                 room -= int(used[k - 1]) if k else 0
-                near = near[k + 1 :] if k < len(near) else near[k:]
+                near = near[k + 1 :]
                 near = near[left[near] <= room]
-            while True:
-                fit = np.flatnonzero(free & (left <= room))
-                if not len(fit):
-                    break
-                best = int(fit[np.argmax(left[fit])])
+            while (best := largest(room)) >= 0:
                 members.append(best)
                 free[best] = False
                 room -= int(left[best])
-        out += [(box, int(d), int(whole[d]), int(whole[d]) * capacity, int(left[d])) for d in members]
+        in_box += [box] * len(members)
+        member += members
         box += 1
-    return out
+    d = np.array(member, np.int64)
+    out.append(np.stack([np.array(in_box, np.int64), d, whole[d], whole[d] * capacity, left[d]], 1))
+    return np.concatenate(out)
+
+
+# -- the words of all documents, and their shards ------------------------------------------------
+
+WORDS_DDL = "doc_id long, size long, slots binary, counts binary"
+
+
+def words_of(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, size in tokens (bytes), word slots and counts; null ids and texts are left out."""
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            pairs = [np.unique(slots_of(t), return_counts=True) for t in texts]
+            cols = [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), *(pa.array([p[i].astype(np.int32).tobytes() for p in pairs], pa.binary()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "size", "slots", "counts"])
 
-DDL = "job_id long, shard int, container int, doc_id long, piece int, start long, tokens long"
-SCHEMA = pa.schema([("job_id", pa.int64()), ("shard", pa.int32()), ("container", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("tokens", pa.int64())])
+    return rows.mapInArrow(run, WORDS_DDL)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,327 +273,156 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(SLOTS, np.int64)
     docs = words = 0
     for b in batches:
-        for t in b.column(0).to_pylist():
-            s = slots_of(t)
-            df[np.unique(s)] += 1
-            docs += 1
-            words += len(s)
+        df += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32), minlength=SLOTS)
+        words += int(np.frombuffer(b"".join(b.column(1).to_pylist()), np.int32).sum())
+        docs += b.num_rows
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([df[some], [docs, words]]))], names=["slot", "n"])
 
 
-def corpus_statistics(docs: DataFrame, text: str = "text") -> tuple[int, float, np.ndarray]:
-    """Documents, mean length in words and the idf of every slot, over all documents. The result
-    has SLOTS entries, whatever the corpus holds."""
-    t = docs.select(F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
-    got = t.mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+def corpus_statistics(words: DataFrame) -> tuple[float, np.ndarray]:
+    """Mean length in words and the idf of every slot, over all documents. The result has SLOTS
+    entries, whatever the corpus holds."""
+    got = words.select("slots", "counts").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slot, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
-    count, words = int(n[slot == -1].sum()), int(n[slot == -2].sum())
+    count = int(n[slot == -1].sum())
     df = np.zeros(SLOTS)
     df[slot[slot >= 0]] = n[slot >= 0]
-    return count, words / max(count, 1), np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
-
+    return int(n[slot == -2].sum()) / max(count, 1), np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
 
-#: Seeds of a packing job that are looked up at once, words of a shard that are scored as a matrix.
-SEEDS, DENSE = 4_096, 384
-INDEX_DDL = "shard int, ids binary, size binary, slot binary, n binary, doc binary, weight binary"
-INDEX_TYPES = {"ids": np.int64, "size": np.int64, "slot": np.int32, "n": np.int32, "doc": np.int32, "weight": np.float32}
-HITS = pa.schema([("g", pa.int32()), ("q", pa.int32()), ("pos", pa.int64()), ("score", pa.float32()), ("more", pa.bool_())])
-HITS_DDL = "g int, q int, pos long, score float, more boolean"
 
-
-def left_of(size: np.ndarray, capacity: int) -> np.ndarray:
-    """What is packed like a text: all of a text, or what its full pieces leave."""
-    return np.where(size > capacity, size % capacity, size)
+def _docs(t: pa.Table) -> Docs:
+    return Docs(t.column("slots").to_pylist(), t.column("counts").to_pylist())
 
 
-def merged(q: np.ndarray, pos: np.ndarray, score: np.ndarray, more: np.ndarray, most: int | None) -> tuple[np.ndarray, ...]:
-    """Lists of several shards as one per seed, best first. ``more`` marks a list's last entry if
-    worse ones were left out; nothing below such an entry is certain, so the joint list ends there."""
-    o = np.lexsort((pos, -score, q))
-    q, pos, score, more = q[o], pos[o], score[o], more[o]
-    first = np.searchsorted(q, q, "left")
-    before = np.cumsum(more) - more
-    keep = before == before[first] if len(q) else np.zeros(0, bool)
-    if most is not None:
-        rank = np.arange(len(q)) - first
-        cut = keep & (rank == most - 1) & np.append((q[1:] == q[:-1]), False)[: len(q)]
-        more = more | cut
-        keep &= rank < most
-    return q[keep], pos[keep], score[keep], more[keep]
-
-
-def neighbours(shard: dict[str, np.ndarray], base: int, group: dict) -> tuple[np.ndarray, ...]:
-    """The best unused documents of one shard that fit, for every seed of a group."""
-    size, doc, room = shard["size"], shard["doc"], group["room"]
-    none = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, bool))
-    left = left_of(size, group["capacity"])
-    cols = np.flatnonzero(group["free"][base : base + len(size)] & (left <= room.max()))
-    m = len(cols)
-    if not m:
-        return none
-    new = np.full(len(size), -1)
-    new[cols] = np.arange(m)
-    k = np.repeat(np.arange(len(shard["slot"])), shard["n"])
-    keep = new[doc] >= 0
-    k, d, w = k[keep], new[doc[keep]], shard["weight"][keep]
-    n = np.bincount(k, minlength=len(shard["slot"]))
-    begin = np.cumsum(n) - n
-    wide = np.full(len(n), -1)
-    common = np.argsort(-n, kind="stable")[:DENSE]
-    wide[common] = np.arange(len(common))
-    at = wide[k] >= 0
-    dense = np.zeros((len(common), m), np.float32)
-    dense[wide[k[at]], d[at]] = w[at]
-    word = np.searchsorted(shard["slot"], group["slots"])
-    word[word == len(n)] = 0
-    known = shard["slot"][word] == group["slots"] if len(n) else np.zeros(len(word), bool)
-    seed = np.repeat(np.arange(len(room)), np.diff(group["ptr"]))[known]
-    word = word[known]
-    # equal scores are told apart by seed, so that copies do not all ask for the same copies
-    noise = 1 + 1e-5 * np.random.default_rng(1).random(2 * m, np.float32)
-    most = min(m, group["each"])
-    out = []
-    step = max(1, 2_000_000 // m)
-    for i in range(0, len(room), step):
-        c = min(step, len(room) - i)
-        a, b = np.searchsorted(seed, [i, i + c])
-        row, v = seed[a:b] - i, word[a:b]
-        is_wide = wide[v] >= 0
-        ask = np.zeros((c, len(common)), np.float32)
-        ask[row[is_wide], wide[v[is_wide]]] = 1
-        s = ask @ dense
-        row, v = row[~is_wide], v[~is_wide]
-        many = n[v]
-        at = np.repeat(begin[v] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        s += np.bincount(np.repeat(row, many) * m + d[at], w[at], c * m).reshape(c, m)
-        s *= left[cols] <= room[i : i + c, None]
-        for r in range(c):
-            turn = int(group["seeds"][i + r]) * 7919 % m
-            s[r] *= noise[turn : turn + m]
-        top = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < m else np.tile(np.arange(m), (c, 1))
-        score = np.take_along_axis(s, top, 1)
-        last = score.argmin(1)
-        more = np.zeros(score.shape, bool)
-        more[np.arange(c), last] = most < m
-        ok = score > 0
-        out.append((np.repeat(np.arange(i, i + c, dtype=np.int32), most)[ok.ravel()], cols[top[ok]] + base, score[ok], more[ok]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
-
-
-class Filling:
-    """The state of one packing job on the driver."""
-
-    def __init__(self, job: int, capacity: int, size: np.ndarray) -> None:
-        self.job, self.capacity, self.left = job, capacity, left_of(size, capacity)
-        self.free = ~((size > capacity) & (self.left == 0))
-        self.box = np.full(len(size), -1, np.int32)
-        self.home: list[int] = []  # the seed of each container
-        self.order = np.argsort(-self.left, kind="stable")
-        self.negative = -self.left[self.order]
-        self.skip = np.arange(len(size) + 1)
-        self.open: list[tuple[int, int, int]] = []  # container, room, times looked up
-
-    def unused(self, i: int) -> int:
-        """The first place in the order of sizes, from i on, that is unused."""
-        j = i
-        while j < len(self.order) and not self.free[self.order[j]]:
-            j = self.skip[j] if self.skip[j] > j else j + 1
-        while i < j:
-            self.skip[i], i = j, max(self.skip[i], i + 1)
-        return j
-
-    def largest(self, room: int) -> int:
-        i = self.unused(int(np.searchsorted(self.negative, -room)))
-        return int(self.order[i]) if i < len(self.order) else -1
-
-    def seeds(self) -> np.ndarray:
-        """The next seeds: the largest unused documents, for half of the containers still to come."""
-        todo = self.order[self.free[self.order]]
-        need = int(self.left[todo].sum()) // self.capacity
-        return todo[: min(SEEDS, max(64, need // 2))]
-
-    def fill(self, box: int, room: int, times: int, near: list[int], whole: bool) -> None:
-        free, left = self.free, self.left
-        for d in near:
-            if free[d] and left[d] <= room:
-                free[d], self.box[d] = False, box
-                room -= int(left[d])
-        while (d := self.largest(room)) >= 0:
-            if not whole and left[d] > 0:
-                self.open.append((box, room, times + 1))
-                return
-            free[d], self.box[d] = False, box
-            room -= int(left[d])
-
-    def start(self, seed: int, near: list[int], whole: bool) -> None:
-        if self.free[seed]:
-            self.free[seed], self.box[seed] = False, len(self.home)
-            self.home.append(seed)
-            self.fill(len(self.home) - 1, self.capacity - int(self.left[seed]), 0, near, whole)
-
-
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    for b in batches:
-        for r in b.to_pylist():
-            yield r["shard"], {c: np.frombuffer(r[c], t) for c, t in INDEX_TYPES.items()}
+def sharded(words: DataFrame, mean: float, idf, shard_bytes: int = SHARD_BYTES) -> DataFrame:  # noqa: ANN001
+    """Adds ``shard``, the path of cells a document was routed through.
 
-
-def _words_of(index: DataFrame, base: np.ndarray, wanted: np.ndarray) -> dict[int, np.ndarray]:
-    """The word slots of some documents, by position."""
-    shared = index.sparkSession.sparkContext.broadcast(np.sort(wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, x in _arrays(batches):
-            ask = np.zeros(len(x["size"]), bool)
-            mine = shared.value - base[shard]
-            ask[mine[(mine >= 0) & (mine < len(ask))]] = True
-            keep = ask[x["doc"]]
-            d, v = x["doc"][keep], np.repeat(x["slot"], x["n"])[keep]
-            o = np.argsort(d, kind="stable")
-            who, at = np.unique(d[o], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(who + base[shard], pa.int64()), pa.array([y.tobytes() for y in np.split(v[o], at[1:])] if len(who) else [], pa.binary())], names=["pos", "slots"])
-
-    got = index.mapInArrow(run, "pos long, slots binary").toArrow()
-    shared.unpersist()
-    return {p: np.frombuffer(s, np.int32) for p, s in zip(got.column("pos").to_pylist(), got.column("slots").to_pylist(), strict=True)}
-
-
-def _looked_up(index: DataFrame, base: np.ndarray, groups: list[dict]) -> tuple[np.ndarray, ...]:
-    shared = index.sparkSession.sparkContext.broadcast(groups)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[tuple]] = [[] for _ in shared.value]
-        for shard, x in _arrays(batches):
-            for g, group in enumerate(shared.value):
-                parts[g].append(neighbours(x, int(base[shard]), group))
-        for g, group in enumerate(shared.value):
-            if parts[g]:
-                q, pos, score, more = merged(*(np.concatenate(x) for x in zip(*parts[g], strict=True)), group["most"])
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip([np.full(len(q), g), q, pos, score, more], HITS, strict=True)], schema=HITS)
-
-    got = index.mapInArrow(run, HITS_DDL).toArrow()
-    shared.unpersist()
-    return tuple(got.column(c).to_numpy() for c in HITS.names)
-
-
-def fill_all(index: DataFrame, base: np.ndarray, fillings: list[Filling]) -> None:
-    """Rounds until every document of every job has its container."""
-    empty = np.zeros(0, np.int32)
-    words: dict[int, np.ndarray] = {}
-    shards = max(len(base), 1)
+    A level takes the shards above the bound: each is fitted on a sample of about SAMPLE of its rows,
+    chosen by hash, and all its rows are routed in blocks of at most a shard's size. Rows a level
+    cannot tell apart are spread by hash. Levels are written tables, so a lost executor costs one level.
+    """
+    load = F.col("size") + ROW_BYTES
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", "size"), 11) / F.lit(float(2**53))
+    rows = words.withColumn("shard", F.lit("0"))
     while True:
-        plans = []  # (filling, seeds, containers looked up again or None)
-        for f in fillings:
-            again, f.open = f.open, []
-            fresh = f.seeds()
-            for times in sorted({x[2] for x in again}):
-                some = [x for x in again if x[2] == times]
-                plans.append((f, np.array([f.home[x[0]] for x in some]), some))
-            if len(fresh):
-                plans.append((f, fresh, None))
-        if not plans:
-            return
-        missing = np.array(sorted({int(d) for _, s, _ in plans for d in s} - words.keys()), np.int64)
-        if len(missing):
-            words |= dict.fromkeys(missing.tolist(), empty) | _words_of(index, base, missing)
-        groups, asked = [], []
-        for g, (f, seeds, some) in enumerate(plans):
-            room = np.array([x[1] for x in some]) if some else f.capacity - f.left[seeds]
-            left = f.left[f.free & (f.left > 0)]
-            ask = np.flatnonzero(room >= (left.min() if len(left) else f.capacity + 1))
-            if not len(ask):
-                continue
-            slots = [words[int(d)] for d in seeds[ask]]
-            fits = left[left <= room.max()]
-            most = (8 + math.ceil(3 * float(room[ask].max()) / max(float(fits.mean()), 1.0))) << (some[0][2] if some else 0)
-            most = min(most, len(f.left) + 1)
-            groups.append({"capacity": f.capacity, "free": f.free.copy(), "room": room[ask], "seeds": seeds[ask], "slots": np.concatenate(slots), "ptr": np.cumsum([0, *map(len, slots)]), "most": most, "each": 4 + math.ceil(4 * most / shards)})
-            asked.append((g, ask))
-        hits: dict[tuple[int, int], tuple[list[int], bool]] = {}
-        if groups:
-            g, q, pos, score, more = _looked_up(index, base, groups)
-            for k, (plan, ask) in enumerate(asked):
-                mine = g == k
-                qs, ps, _, ms = merged(q[mine], pos[mine], score[mine], more[mine], None)
-                who, at = np.unique(qs, return_index=True)
-                for i, a, b in zip(who.tolist(), at.tolist(), np.append(at, len(qs))[1:].tolist(), strict=True):
-                    hits[plan, int(ask[i])] = (ps[a:b].tolist(), not ms[b - 1])
-        for g, (f, seeds, some) in enumerate(plans):
-            for i, seed in enumerate(seeds.tolist()):
-                near, whole = hits.get((g, i), ([], True))
-                if some:
-                    f.fill(*some[i], near, whole)
-                else:
-                    f.start(seed, near, whole)
-        live = {f.home[x[0]] for f in fillings for x in f.open}
-        words = {d: s for d, s in words.items() if d in live or any(f.free[d] for f in fillings)}
-
-
-def packed(docs: DataFrame, jobs: DataFrame, doc: str = "doc_id", text: str = "text", job: str = "job_id", capacity: str = "capacity", shard_docs: int = SHARD_DOCS) -> DataFrame:
+        over = rows.groupBy("shard").agg(F.sum(load).alias("load"), F.count("*").alias("n")).filter((F.col("load") > shard_bytes) & ~F.col("shard").contains("="))
+        if over.isEmpty():
+            return rows
+        over = over.withColumn("blocks", F.ceil(F.col("load") / shard_bytes).cast("int"))
+
+        def fit(key: tuple, t: pa.Table) -> pa.Table:
+            t = t.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+            d = _docs(t)
+            w = d.weights(idf.value, mean)
+            cells = Cells.fit(d, w, BRANCHES)
+            if not cells.divides(d, w):
+                cells.centre = cells.centre[:1]
+            return pa.table({"shard": [key[0].as_py()], "model": pa.array([cells.save()], pa.binary())})
+
+        some = rows.join(over, "shard").filter(chance * F.col("n") < SAMPLE).select("shard", "doc_id", "size", "slots", "counts")
+        models = some.groupBy("shard").applyInArrow(fit, "shard string, model binary").join(over, "shard")
+        models = models.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "block", "blocks", "model")
+        split = rows.join(over.select("shard", "blocks"), "shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).cast("int")).drop("blocks")
+
+        def route(key: tuple, t: pa.Table, m: pa.Table) -> pa.Table:
+            name, block = key[0].as_py(), key[1].as_py()
+            cells = Cells.load(m.column("model")[0].as_py()) if m.num_rows else None
+            if cells is None or len(cells.centre) < 2 or name.count(".") >= LEVELS:
+                path = [f"{name}={block}"] * t.num_rows
+            else:
+                d = _docs(t)
+                path = [f"{name}.{c}" for c in cells.nearest(d, d.weights(idf.value, mean), 1)[:, 0]]
+            return t.drop_columns(["shard", "block"]).append_column("shard", pa.array(path, pa.string()))
+
+        moved = split.groupBy("shard", "block").cogroup(models.groupBy("shard", "block")).applyInArrow(route, f"{WORDS_DDL}, shard string")
+        rows = written(rows.join(over.select("shard"), "shard", "left_anti").select(*moved.columns).unionByName(moved))
+
+
+DDL = "job_id long, shard string, container int, doc_id long, piece int, start long, tokens long"
+SCHEMA = pa.schema([("job_id", pa.int64()), ("shard", pa.string()), ("container", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("tokens", pa.int64())])
+
+
+def _prepared(docs: DataFrame, doc: str, text: str, shard_bytes: int) -> tuple[DataFrame, float, object]:
+    spark: SparkSession = docs.sparkSession
+    words = written(words_of(docs, doc, text))
+    mean, idf = corpus_statistics(words)
+    shared = spark.sparkContext.broadcast(idf)
+    return sharded(words, mean, shared, shard_bytes), mean, shared
+
+
+def packed(docs: DataFrame, jobs: DataFrame, doc: str = "doc_id", text: str = "text", job: str = "job_id", capacity: str = "capacity", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Every document of every job in containers: job_id, shard, container (numbered inside the
-    job), doc_id, piece, start and tokens of the piece.
+    shard), doc_id, piece, start and tokens of the piece.
 
     A size is the number of tokens of the public byte-level tokenizer, one per UTF-8 byte; starts
     count in the same tokens. Null texts and ids are left out; an empty text takes no room but is
     put somewhere. Rows that repeat an id are packed one by one. Jobs with a null or non-positive
     capacity are left out. Jobs are few (they are a configuration table); more than 10,000 raise.
 
-    Index shards take rows by a hash of id and position in the input, so neither a source nor a group
-    of copies nor a repeated row can make one larger. Every seed meets the unused documents of all
-    shards; ``shard`` is that of the container's seed. The work grows with containers times
-    documents; the driver holds some 40 bytes per document and job.
+    A task packs one shard for one job. A shard depends on the rows alone, not on how files are
+    split; each leaves at most one container half empty.
     """
-    todo = [(r[0], r[1]) for r in jobs.select(F.col(job).cast("long"), F.col(capacity).cast("long")).filter((F.col(capacity) > 0) & F.col(job).isNotNull()).distinct().limit(10_001).collect()]
+    asked = jobs.select(F.col(job).cast("long").alias("job_id"), F.col(capacity).cast("long").alias("capacity")).filter("capacity > 0 AND job_id IS NOT NULL").distinct()
+    todo = sorted(tuple(r) for r in asked.limit(10_001).collect())
     if len(todo) > 10_000:
         raise ValueError("more than 10,000 packing jobs")
-    todo.sort()
-    count, mean, idf = corpus_statistics(docs, text)
-    shards = max(1, math.ceil(count / shard_docs))
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(idf)
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    spread = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards))
-    rows = rows.withColumn("shard", spread.cast("int"))
-
-    def build(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        texts = t.column("text").to_pylist()
-        x = Index([slots_of(y) for y in texts], shared.value, mean)
-        n = x.end - x.begin
-        cols = {"ids": t.column("doc_id").to_numpy(), "size": np.array([len(y.encode()) for y in texts]), "slot": x.slot, "n": n, "doc": x.posting, "weight": x.weight * np.repeat(shared.value[x.slot], n)}
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32())} | {c: pa.array([cols[c].astype(d).tobytes()], pa.binary()) for c, d in INDEX_TYPES.items()})
-
-    tasks = min(shards, 4 * context.defaultParallelism)
-    index = rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(build, INDEX_DDL).persist()
-    got = index.select("shard", "size").toArrow().sort_by("shard").to_pydict()
-    sizes = dict(zip(got["shard"], (np.frombuffer(x, np.int64) for x in got["size"]), strict=True))
-    size = np.concatenate([np.zeros(0, np.int64), *sizes.values()])
-    base = np.cumsum([0, *(len(sizes.get(k, ())) for k in range(shards))])[:-1]
-    fillings = [Filling(j, cap, size) for j, cap in todo]
-    fill_all(index, base, fillings)
-    results = []
-    for f in fillings:
-        large = np.flatnonzero(size > f.capacity)
-        full = size[large] // f.capacity
-        home = np.searchsorted(base, np.array(f.home, np.int64), "right") - 1
-        results.append((f.job, f.capacity, f.box, home, large, len(f.home) + np.cumsum(full) - full))
-    del fillings
-    placed = context.broadcast(results)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, x in _arrays(batches):
-            a, n = int(base[shard]), len(x["ids"])
-            for j, cap, box, home, large, first in placed.value:
-                box = box[a : a + n]
-                whole = np.where(x["size"] > cap, x["size"] // cap, 0)
-                d = np.flatnonzero(box >= 0)
-                big = np.flatnonzero(whole)
-                many = whole[big]
-                piece = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                own = np.repeat(first[np.searchsorted(large, big + a)], many) + piece
-                e = np.repeat(big, many)
-                cols = [np.full(len(d) + len(e), j), np.append(home[box[d]], np.full(len(e), shard)), np.append(box[d], own), x["ids"][np.append(d, e)], np.append(whole[d], piece), np.append(whole[d], piece) * cap, np.append(left_of(x["size"], cap)[d], np.full(len(e), cap))]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
-
-    return index.mapInArrow(emit, DDL)
+    rows, mean, shared = _prepared(docs, doc, text, shard_bytes)
+
+    def fill(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        ids, size = t.column("doc_id").to_numpy(), t.column("size").to_numpy()
+        shard, job_id, cap = (k.as_py() for k in key)
+        index = Index(_docs(t), shared.value, mean)
+        del t
+        got = pack(size, cap, index)
+        n = len(got)
+        cols = [np.full(n, job_id), [shard] * n, got[:, 0], ids[got[:, 1]], got[:, 2], got[:, 3], got[:, 4]]
+        return pa.table([pa.array(c, pa.string()) if f.name == "shard" else pa.array(c).cast(f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
+
+    every = F.explode(F.array(*[F.struct(F.lit(j).cast("long").alias("job_id"), F.lit(c).cast("long").alias("capacity")) for j, c in todo])) if todo else None
+    if every is None:
+        return docs.sparkSession.createDataFrame([], DDL)
+    return rows.withColumn("job", every).select("doc_id", "size", "slots", "counts", "shard", "job.*").groupBy("shard", "job_id", "capacity").applyInArrow(fill, DDL)
+
+
+def neighbour_recall(docs: DataFrame, asked: DataFrame, k: int = 10, doc: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """How much of the true neighbourhood a seed can see: per asked document the share of its ``k``
+    best neighbours by BM25 over the whole corpus (a brute-force scan) that its shard's index
+    returns among its own k best, and the ratio of the mean scores. Equal scores count as found.
+
+    ``asked`` has a column doc_id; at most 10,000 are allowed, as their words are broadcast.
+    """
+    rows, mean, shared = _prepared(docs, doc, text, shard_bytes)
+    ids = asked.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    q = rows.join(ids, "doc_id").select("doc_id", "slots").dropDuplicates(["doc_id"]).limit(10_001).toArrow()
+    if q.num_rows > 10_000:
+        raise ValueError("more than 10,000 documents asked for")
+    ask = {i: np.frombuffer(s, np.int32) for i, s in zip(q.column(0).to_pylist(), q.column(1).to_pylist(), strict=True)}
+
+    def best(ids_: np.ndarray, score: np.ndarray, me: int) -> list[float]:
+        s = score[ids_ != me]
+        return np.sort(np.partition(s, -k)[-k:] if len(s) > k else s)[::-1].astype(float).tolist()
+
+    def scan(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        own, d = t.column("doc_id").to_numpy(), _docs(t)
+        index, out = Index(d, shared.value, mean), []
+        whole = Index(d, shared.value, mean, cell_docs=2**40)
+        for i, w in ask.items():
+            here = np.flatnonzero(own == i)
+            found = best(own, index.scores(int(here[0])), i) if len(here) else None
+            k_ = np.searchsorted(whole.keys, w)
+            k_ = np.minimum(k_, max(len(whole.keys) - 1, 0))
+            k_ = k_[whole.keys[k_] == w] if len(whole.keys) else k_[:0]
+            a, size = whole.begin[k_], whole.many[k_]
+            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out.append((i, best(own, np.bincount(whole.post[at], whole.weight[at], len(d)), i), found))
+        return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "score": pa.array([o[1] for o in out], pa.list_(pa.float64())), "found": pa.array([o[2] for o in out], pa.list_(pa.float64()))})
+
+    got = rows.groupBy("shard").applyInArrow(scan, "doc_id long, score array<double>, found array<double>")
+    got = got.groupBy("doc_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("score")), asc=False), 1, k).alias("true"), F.max("found").alias("found"))
+    got = got.withColumn("true", F.filter("true", lambda x: x > 0)).filter(F.size("true") > 0)
+    last = F.element_at("true", -1) * (1 - 1e-6)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return got.select("doc_id", (F.least(F.size(F.filter("found", lambda x: x >= last)), F.size("true")) / F.size("true")).alias("recall"), F.least(F.lit(1.0), total(F.slice("found", 1, F.size("true"))) / total("true")).alias("score_ratio"))
