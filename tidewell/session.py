@@ -34,8 +34,11 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it
-    wherever they run and however the driver found it."""
+    wherever they run and however the driver found it. A worker is one task, so its linear algebra
+    gets one thread unless the environment says otherwise."""
     app = spark.sparkContext.applicationId
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        spark.sparkContext.environment.setdefault(name, "1")
     if app in _SHIPPED:
         return
     root = Path(__file__).parent
