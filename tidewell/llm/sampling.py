@@ -85,14 +85,14 @@ def candidates(rows: DataFrame, key: str, strata: dict[str, Column], payload: li
 
 def allocation(counts: DataFrame, targets: DataFrame, strata: list[str]) -> DataFrame:
     """Per line of the targets: ``available`` records, ``asked`` (the larger of min_rows and
-    target_share × sample_rows, rounded half up), ``selected`` and ``shortfall``.
+    target_share × sample_rows, rounded half up) and the ``seats`` of its category.
 
     targets: request_id, the strata as cleaned, target_share, sample_rows, min_rows. Lines of a
     request that name one category are taken together for the seats: the shares add up, the largest
     floor counts. Null shares, sizes and floors count as 0. Other columns of the targets are kept,
     but for those named like the report's own. A request is as small as its lines.
     """
-    targets = targets.drop("available", "asked", "selected", "shortfall", "__count")
+    targets = targets.drop("available", "asked", "seats", "supplied", "selected", "shortfall", "__count")
     t = targets.join(counts, strata, "left").withColumn("available", F.coalesce(F.col("__count"), F.lit(0)).cast("long")).drop("__count")
     wanted = F.greatest(F.coalesce("min_rows", F.lit(0)), F.round(F.coalesce("target_share", F.lit(0.0)) * F.coalesce("sample_rows", F.lit(0))).cast("long"))
     t = t.withColumn("asked", wanted)
@@ -102,13 +102,12 @@ def allocation(counts: DataFrame, targets: DataFrame, strata: list[str]) -> Data
         x = pdf.assign(target_share=pdf["target_share"].fillna(0.0), min_rows=pdf["min_rows"].fillna(0))
         g = x[named].sort_values(strata, kind="stable").groupby(strata, sort=False, as_index=False).agg(available=("available", "first"), target_share=("target_share", "sum"), min_rows=("min_rows", "max"))
         rows = int(pdf["sample_rows"].fillna(0).max() or 0)
-        g["selected"] = seats(g["available"].to_numpy(np.int64), g["target_share"].to_numpy(float), g["min_rows"].to_numpy(np.int64), rows)
-        out = pdf.merge(g[[*strata, "selected"]], how="left", on=strata)
-        out["selected"] = out["selected"].where(out[strata].notna().all(axis=1), 0).fillna(0).astype("int64")
-        out["shortfall"] = np.maximum(out["asked"] - out["available"], 0)
+        g["seats"] = seats(g["available"].to_numpy(np.int64), g["target_share"].to_numpy(float), g["min_rows"].to_numpy(np.int64), rows)
+        out = pdf.merge(g[[*strata, "seats"]], how="left", on=strata)
+        out["seats"] = out["seats"].where(out[strata].notna().all(axis=1), 0).fillna(0).astype("int64")
         return out
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema) + ", selected long, shortfall long"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema) + ", seats long"
     return t.groupBy("request_id").applyInPandas(solve, ddl)
 
 
@@ -131,13 +130,22 @@ def ranked(cand: DataFrame, key: str, strata: list[str], counts: DataFrame, seed
 def stratified_sample(cand: DataFrame, targets: DataFrame, key: str, strata: list[str], seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The sample (request_id, strata, key, payload, rank, priority) and the report per target line.
 
+    The report is counted from the ranked records: ``selected`` is what the sample drew of the
+    category, ``supplied`` the records whose rank is within what the line asked for, and
+    ``shortfall`` what the line asked for and no record could take. ``available`` is the whole category.
+
     ``cand`` has one row per (strata, key), see ``candidates``. An empty table gives an empty sample
     and a report with nothing available.
     """
     counts = cand.groupBy(*strata).agg(F.count("*").alias("__count"))
-    report = allocation(counts, targets, strata)
-    pick = report.groupBy("request_id", *strata).agg(F.max("selected").alias("__take"), (F.sum(F.coalesce("target_share", F.lit(0.0))) * F.max("sample_rows")).alias("__target"))
+    lines = allocation(counts, targets, strata)
+    pick = lines.groupBy("request_id", *strata).agg(F.max("seats").alias("__take"), F.max("asked").alias("__most"), (F.sum(F.coalesce("target_share", F.lit(0.0))) * F.max("sample_rows")).alias("__target"))
     wanted = cand.join(targets.select(*strata).distinct(), strata, "left_semi")
-    out = ranked(wanted, key, strata, counts, seed).join(pick, strata).filter(F.col("rank") <= F.col("__take"))
+    reached = ranked(wanted, key, strata, counts, seed).join(pick, strata).filter(F.col("rank") <= F.greatest("__take", "__most"))
+    drawn = F.col("rank") <= F.col("__take")
     priority = F.when(F.col("__target") > 0, (F.col("rank") - 0.5) / F.col("__target"))
-    return out.withColumn("priority", priority).drop("__take", "__target"), report
+    sample = reached.filter(drawn).withColumn("priority", priority).drop("__take", "__most", "__target")
+    met = reached.groupBy("request_id", *strata).agg(F.sum(drawn.cast("long")).alias("selected"), F.sum((F.col("rank") <= F.col("__most")).cast("long")).alias("__within"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("request_id", *strata)]
+    report = lines.alias("l").join(met.alias("m"), same, "left").select("l.*", F.coalesce("m.selected", F.lit(0)).alias("selected"), F.least(F.col("l.asked"), F.coalesce("m.__within", F.lit(0))).alias("supplied"))
+    return sample, report.drop("seats").withColumn("shortfall", F.col("asked") - F.col("supplied"))
