@@ -208,11 +208,26 @@ def test_leaks_random_against_brute_force(spark, monkeypatch):
     di, dd = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_leaks(items, docs, 4)
     assert {(x[0], x[1]) for x in leakage.leaks(di, dd, 4).collect()} == want
-    monkeypatch.setattr(leakage, "PATTERN_CHARS", 300)  # several automata
-    assert {(x[0], x[1]) for x in leakage.leaks(di, dd, 4).collect()} == want
+    whole = sorted(map(str, leakage.leaks(di, dd, 4).collect()))
+    for most in (1, 7, 40):  # several automata, items cut into pieces
+        monkeypatch.setattr(leakage, "ITEM_WORDS", most)
+        assert sorted(map(str, leakage.leaks(di, dd, 4).collect())) == whole
     assert leakage.leaks(di.limit(0), dd).count() == 0 and leakage.leaks(di, dd.limit(0)).count() == 0
 
 
+def test_words_are_counted_once_over_groups(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(1, text), (1, text), (2, text[:200])], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "x " + text + " y"), (5, "x " + text + " y"), (5, text[40:])], "doc_id long, text string")
+    want = None
+    for most in (10**6, 25, 15, 11):
+        monkeypatch.setattr(leakage, "ITEM_WORDS", most)
+        got = sorted(tuple(r) for r in leakage.leaks(items, docs).collect())
+        assert want in (None, got)
+        want = got
+    assert [(r[0], r[4], r[5]) for r in want if r[0] == 1 and r[4] == 40] == [(1, 40, 31)]
+
+
 @pytest.mark.parametrize("t", ["", "A&lt;b&gt;c <i>x</i>", "ﬁne ½ Å-\nb", "a­​b&#x41;&#8203;c", "ÀÉ́ İx ẞ", "<!-- no --> 3 < 4 > 2"])
 def test_located_words_agree(t):
     assert [w for w, _, _ in located_words(t)] == words(t)
