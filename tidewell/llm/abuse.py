@@ -1,9 +1,12 @@
 """Abusive, hateful and sexually explicit language: a weighted finite-state pattern grammar.
 
-Three machines are composed. The first maps a token, in whatever spelling, to classes of words. The
-second matches clauses - insults with a target, threats, wishes of harm, dehumanised or excluded
-groups, sexual offers and demands - and gives each a weight. The third reads what stands before a
-match, and for negation in and after it: negation and reported speech take weight away. Words alone score nothing.
+Transducers are composed as a cascade. The first maps a token, in whatever spelling, to classes of
+words, each with a strength. The second brackets phrases - insults, targets, groups, vermin, parts of
+a body, acts of harm - and hands on their symbol and weight. The third matches clauses over phrases:
+an insult with its target, a threat with its victim, a wish of harm, a group degraded or to be driven
+out, a sexual offer or demand. A clause weighs its rule's base plus what its parts weigh; the last
+machines read negation, reported speech and offices before and inside a match and take a share away.
+Words alone score nothing. Only sentences with a word that can carry a clause go through the cascade.
 """
 
 from __future__ import annotations
@@ -17,210 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.grammar import STOP, Machine, Pattern
+from tidewell.llm.lexicon import ANCHORS, CLAUSES, LEXICON, PARTNERS, PHRASES, STRENGTH, STRONG, WORD_STRENGTH
 from tidewell.llm.text import INVISIBLE, LINE_HYPHEN, cleaned
 
 #: A document is flagged if one of its clauses weighs this much.
 THRESHOLD = 1.0
-
-# Words of each class, without accents, for English, Spanish, German, Dutch, Catalan.
-LEXICON = {
-    "YOU": "you u ya yous youre ur du dich dir euch ihr jij je jou jullie tu ti te vos usted ustedes vosotros os et vosaltres voste",
-    "YOUR": "your ur dein deine deinen deiner deinem euer eure jouw je jullie tu tus vuestra vuestro teu teva teus teves",
-    "ME": "me my i im we mir mich ich wir uns mij ik wij ons mi yo nosotros jo em nosaltres",
-    "BE": "are re is r be was were bist ist seid sind ben bent is zijn eres es sois son sos ets es sou son",
-    "DET": "a an the such one of ein eine einen einem einer der die das so een de het zo un una el la unos unas uno els les l",
-    "VERY": "so very really such total totally complete completely absolute fucking bloody damn goddamn just nothing but only always utterly still muy tan total absolut vollig echt ganz so zeer heel erg wel molt tan ben completament",
-    "INSULT": "idiot moron imbecile cretin loser scumbag bastard asshole arsehole prick dickhead wanker twat cunt coward liar clown fool jerk bitch whore slut swine pig dumbass jackass dimwit halfwit nitwit retard creep pervert tosser douchebag motherfucker sucker scum filth trash garbage failure disgrace weasel maggot moronic "
-    "idiota imbecil inutil cabron desgraciado payaso gilipollas basura cretino estupido tonto capullo mamon cerdo cerda puta zorra subnormal miserable mierda asqueroso cobarde canalla pendejo hijoputa malnacido fracasado "
-    "trottel feigling versager drecksack arschloch vollidiot depp schwein hurensohn wichser mistkerl dummkopf schlampe penner lugner missgeburt abschaum spast hure blodmann dreckschwein "
-    "klootzak lul eikel idioot mislukkeling lafaard sukkel trut hoer teef kutwijf hufter rotzak randdebiel mongool nietsnut smeerlap debiel leugenaar loser "
-    "desgraciat imbecil inutil idiota malparit cabro fillde covard capsigrany gos porc fracassat brut ximple burro tros merdos pallasso",
-    "FOUL": "stupid dumb useless worthless pathetic brainless spineless rotten filthy disgusting ugly fat miserable lousy dirty vile sick twisted shitty crappy stinking nasty gutless clueless smelly slimy lazy "
-    "asqueroso sucio feo gordo maldito puto puta jodido patetico repugnante "
-    "dumm dumme dummer dummes blod bloder blode widerlich widerliche widerlicher fett fette fetter hasslich hassliche dreckig dreckige dreckiger verdammt verdammter elender elende armseliger erbarmlicher nutzloser nutzlose "
-    "achterlijke achterlijk domme dom vieze vuile stomme smerige lelijke waardeloze zielige laffe dikke lamme "
-    "fastigos brut lleig gras maleit punyeter patetic repugnant",
-    "WASTE": "waste piece bag sack pile lump stuck",
-    "DIRT": "shit crap skin space air oxygen filth dirt garbage trash dung scheisse dreck stront mierda merda",
-    "HUSH": "shut calla callate callad callaos fresse schnauze maul klappe bek kop smoel callat",
-    "DIE": "die drown burn rot choke suffer bleed crash starve drop vanish disappear hang ahogues mueras pudras quemes mates revientes ahogas verreck verrecke verreckst ersaufst stirbst ertrinkst krepier verdrink verzuip sterf stik crepeer verrot ofega ofeguis moris podreixis moriu rebentis cremis",
-    "KILL": "kill break smash beat slit stab shoot hang drown hurt punch strangle gut burn crush choke skin cut hit knife destroy murder rape mato matare parto partire rompo rompere reviento reviente rajo rajare quemo quemare ahogo degollo "
-    "schlage schlag totet tote breche brech erschiesse steche verbrenne ersaufe umbringe sla breek schop steek vermoord verbrand wurg snijd maak trenco trencare mato matare rebento cremo ofego tallo",
-    "BODY": "face legs leg teeth throat neck head skull bones ribs arms knees jaw nose hands fingers cara piernas dientes cuello cabeza huesos boca craneo gesicht beine zahne hals kopf knochen fresse schadel tanden benen nek strot kop botten gezicht cames dents cara coll cap ossos boca",
-    "THINGS": "car house home tyres family kids children dog boat shop door windows hut flat haus auto boot huis kinderen casa coche hijos familia cotxe fills",
-    "PEOPLE": "foreigners foreigner refugees refugee newcomers newcomer migrants migrant immigrants immigrant strangers outsiders women woman girls men gays lesbians jews muslims christians blacks whites gypsies asians africans arabs disabled cripples elderly old people folk southerners northerners easterners westerners islanders settlers valley hill river poor beggars "
-    "refugiados forasteros extranjeros inmigrantes mujeres moros gitanos judios negros musulmanes viejos nuevos recien gentuza sudacas maricones "
-    "neuen fremden fluchtlinge auslander juden frauen zigeuner muslime alten migranten zuwanderer asylanten schwulen "
-    "vreemden nieuwen vluchtelingen vrouwen buitenlanders joden moslims migranten ouderen homos "
-    "forasters nouvinguts refugiats estrangers dones jueus moros gitanos immigrants vells musulmans",
-    "THEY": "they them their theyre those these sie ihnen ihre solche alle ze zij hen hun zulke ellos ellas esos esas estos les los las ells elles aquests aquells tots",
-    "VERMIN": "rats rat vermin parasites parasite plague cockroaches cockroach roaches animals subhumans subhuman lice leeches pests pest maggots disease cancer scum filth trash garbage dogs pigs swine beasts monkeys apes savages locusts insects "
-    "ratas rata plaga parasitos parasito basura animales cucarachas escoria chusma alimanas bestias cerdos perros peste "
-    "ungeziefer schmarotzer parasiten ratten abschaum dreck tiere untermenschen pack gesindel schadlinge kakerlaken seuche pest viecher schweine "
-    "ongedierte ratten parasieten tuig uitschot beesten plaag kakkerlakken profiteurs varkens "
-    "rates parasits parasit plaga escoria bestioles animals paneroles brossa xusma porcs gossos",
-    "CREATURE": "rats mice flies mosquitoes wasps ants rabbits pigeons gulls foxes weeds algae mussels cockroaches beetles moths slugs snails crows jellyfish ratas moscas mosquitos palomas ratten fliegen mucken tauben muggen vliegen duiven rates mosques coloms dogs cats hunde perros honden gossos",
-    "AREVB": "are re is were sind ist son es zijn is son breed breeds",
-    "SLUT": "sluts slut whores whore bitches girls chicks babes ladies milfs women teens chicas putas zorras mujeres chochos schlampen schlampe huren hure frauen madels girls weiber sletten slet hoeren meiden vrouwen wijven noies putes dones meuques",
-    "HOT": "hot horny naked nude wet dirty naughty sexy slutty calientes caliente cachondas cachonda desnudas geile geilen geiler nackte heisse heiss versaute hete natte naakte calentes calenta nues despullades",
-    "SEXVERB": "fuck fucking suck sucking bang banging ride riding lick licking screw shag blow cum spank hump finger follar chupar mamar lamer coger tirarme follarte chuparte ficken blasen bumsen lecken vogeln lutschen poppen neuken pijpen likken beffen zuigen cardar follar mamar llepar xuclar chupar",
-    "WANT": "want wanna need would could like love let gonna going quiero quieren quiere quisiera will wollen willst mochte wil willen zou vull volen vol voldria",
-    "SEXPART": "cock cocks dick dicks tits tit boobs pussy ass arse cunt clit balls butt nipples tetas polla cono culo verga pene titten schwanz muschi arsch fotze mose brust tieten kut lul kont pik borsten tetes polla cony cul pits figa",
-    "NUDE": "nudes nude nacktbilder nacktfotos naaktfoto naaktfotos desnudos nus despullats",
-    "PORN": "porn porno xxx pornos pornography nsfw",
-    "MEDIA": "pics pic photos photo pictures clips clip videos video cam webcam bilder bild fotos foto beelden filmpjes filmpje plaatjes imagenes fotografies imatges",
-    "ACT": "send show see watch want buy get trade swap click free schick schicke zeig zeige stuur laat mandame mandam enviame enviam pasame ensename envia ensenyam",
-    "BARE": "naked nude undressed topless desnuda desnudo nackt nackte nacktes naakt nua despullada",
-    "HORNY": "horny randy aroused cachondo cachonda geil spitz calent calenta catxonda",
-    "HOPE": "hope wish pray ojala espero deseo hoffe hoffentlich wunsche hoop hopelijk wens tant espero desitjo",
-    "REPORTED": "said wrote written shouted yelled screamed called calls painted sprayed posted read reads condemned reported accused quoted quotes complained overheard alleged testified insult insulted slur dijo escribio grito llamo pintaron insulto sagte schrieb rief nannte beschimpfte stand zei schreef riep noemde beledigde digue escrigue crida pintada insultar",
-    "OFFICE": "police council court judge prosecutor committee mayor ministry moderators report article film novel play word policia juez alcalde ayuntamiento polizei gericht rat politie rechter gemeente ajuntament jutge",
-    "NOT": "not no never nobody without nicht kein keine keinen nie niemand niet geen nooit nadie nunca ningun ninguna jamas cap mai ningu",
-}
-
-RULES = [
-    # insults with a target
-    ("abusive", 1.0, "YOU BE? DET? VERY* FOUL* DET? INSULT"),
-    ("abusive", 1.0, "YOU BE DET? VERY* FOUL INSULT?"),
-    ("abusive", 1.0, "YOU BE? DET? VERY* FOUL* WASTE of|de|van DIRT"),
-    ("abusive", 1.0, "BE YOU DET? VERY* FOUL* INSULT"),
-    ("abusive", 1.0, "DET FOUL* INSULT like|como|wie|als|com YOU"),
-    ("abusive", 1.0, "DET WASTE of DIRT like|como|wie YOU"),
-    ("abusive", 1.0, "eres|ets|sois|sou DET? VERY* FOUL* INSULT"),
-    ("abusive", 1.0, "HUSH up|ya|die|deine|de? VERY* YOU? DET? FOUL* INSULT"),
-    ("abusive", 1.0, "halt|haltet die|deine|dein|eure FOUL? HUSH"),
-    ("abusive", 1.0, "hou|houd je|jouw|jullie FOUL? HUSH"),
-    ("abusive", 1.0, "shut your? FOUL* mouth|face|trap|hole|gob|fuck"),
-    ("abusive", 1.0, "fuck|screw YOU|off"),
-    ("abusive", 1.0, "INSULT de|van|of|aus DIRT"),
-    ("abusive", 1.0, "fill|hijo|hija|filla|son|sohn de|of|einer puta|perra|bitch|hure"),
-    ("abusive", 1.0, "kiss|lick my|mein|mi ass|arse|boots|arsch|culo"),
-    ("abusive", 1.0, "is|was|es|ist DET? VERY* FOUL* INSULT who|der|die|que|die should|ought|deserves|merece|sollte|gehort|moet"),
-    ("abusive", 1.0, "is|ist|es DET VERY* FOUL INSULT"),
-    ("abusive", 1.0, "FOUL* INSULT who should|ought|deserves"),
-    ("abusive", 1.0, "should|ought to? be|get slapped|shot|hanged|beaten|drowned|whipped|kicked|punched|hung|flogged|stoned"),
-    ("abusive", 1.0, "the|that|this|die|la|het FOUL face|mug|fresse|cara|smoel of|de|von|van"),
-    ("abusive", 1.0, "put a bag over it|him|her|them|YOUR"),
-    ("abusive", 1.0, "quit and? jump overboard|off"),
-    ("abusive", 1.0, "what|que|was|quin|wat DET VERY* FOUL* INSULT go|you|du|jij"),
-    ("abusive", 1.0, "what|que|was|quin|wat DET VERY* FOUL INSULT"),
-    ("abusive", 1.0, "what|que|was|quin|wat DET VERY* FOUL* WASTE of DIRT"),
-    ("abusive", 1.0, "ashamed to breathe|exist|live"),
-    ("abusive", 1.0, "FOUL INSULT of the year"),
-    ("abusive", 1.0, "fuckyou|fucku|fuckoff"),
-    ("abusive", 1.0, "everybody|everyone knows YOU"),
-    ("abusive", 1.0, "lacht|lachen|laughs|laughing uber|at dich|YOU"),
-    # threats
-    ("abusive", 1.4, "ME will|ll|would|gonna|shall|going to? _{0,2} KILL YOU|YOUR"),
-    ("abusive", 1.4, "ME will|ll|gonna|shall _{0,3} KILL YOUR? _{0,2} BODY _{0,2} in|off|out"),
-    ("abusive", 1.4, "KILL YOUR _{0,2} BODY|THINGS"),
-    ("abusive", 1.4, "set YOUR THINGS on fire"),
-    ("abusive", 1.4, "make YOU pay|regret|bleed|suffer|sorry"),
-    ("abusive", 1.4, "come|coming|show round|over|for|up|to _{0,2} with a|my bat|knife|gun|axe|hammer|club|crowbar"),
-    ("abusive", 1.4, "keep talking _{0,2} and? ME will|ll"),
-    ("abusive", 1.4, "YOUR THINGS _{0,4} is|are|will _{0,2} next _{0,2} burn|drown|flood|go"),
-    ("abusive", 1.4, "te|os|et|us KILL la|las|el|los|les|els|l BODY"),
-    ("abusive", 1.4, "te|os|et|us KILL _{0,3} si|como"),
-    ("abusive", 1.4, "si te|os|et|us veo|pillo|encuentro|cojo|trobo|enxampo|veig _{0,5} te|os|et|us KILL"),
-    ("abusive", 1.4, "ich|wir KILL dir|dich|euch|deine"),
-    ("abusive", 1.4, "wo du|ihr _{0,4} wohnst|wohnt _{0,3} komme|kriege|finde"),
-    ("abusive", 1.4, "ich komme|komm mit dem|der|einem|einer knuppel|messer|baseballschlager|hammer|axt|waffe"),
-    ("abusive", 1.4, "ik KILL je|jou|jullie _{0,3}"),
-    ("abusive", 1.4, "KILL je|jou BODY"),
-    ("abusive", 1.4, "know where you live _{0,4} come|coming|find"),
-    # wishes of harm
-    ("abusive", 1.2, "HOPE YOU _{0,2} DIE"),
-    ("abusive", 1.2, "HOPE _{0,2} YOUR _{0,5} burn|burns|drown|drowns|sink|sinks|die|dies|crash"),
-    ("abusive", 1.2, "HOPE que? te|os|et|us DIE"),
-    ("abusive", 1.2, "DIE t|te|dich|je en|i|al|el|in"),
-    ("abusive", 1.2, "do|please|just not|never wake up"),
-    ("abusive", 1.2, "nobody|noone|niemand|nadie|ningu would|wird|will|wurde|te|et _{0,1} miss|vermissen|missen|echara YOU?"),
-    ("abusive", 1.2, "would|be be? no loss if YOU"),
-    ("abusive", 1.2, "kill yourself|yourselves|urself"),
-    ("abusive", 1.2, "go and? DIE|kill|hang yourself|somewhere|already"),
-    ("abusive", 1.2, "go and? DIE in|under|at"),
-    ("abusive", 1.2, "gente|gent como|com tu|vosotros|vosaltres habria|caldria|hay que|merece"),
-    ("abusive", 1.2, "solche|leute|menschen wie du|ihr|dich gehoren|sollte|sollten|muss|mussen"),
-    ("abusive", 1.2, "mensen|lui als jij|jou|jullie moeten|moet|horen|verdienen"),
-    ("abusive", 1.2, "people like YOU should|deserve|ought|belong|must"),
-    ("abusive", 1.2, "do us all a favour|favor"),
-    # groups
-    ("hateful", 1.3, "THEY BE DET? VERY* FOUL* VERMIN"),
-    ("hateful", 1.3, "PEOPLE _{0,3} BE|AREVB all|alle|todos|tots? DET? VERY* FOUL* VERMIN"),
-    ("hateful", 1.3, "los|las|els|les|die|de|alle|the|those|these|all GROUPISH _{0,3} BE|AREVB all|alle? DET? VERY* FOUL* VERMIN"),
-    ("hateful", 1.3, "THEY BE all|alle|todos|tots VERY* FOUL|VERMIN"),
-    ("hateful", 1.3, "have|has no business|place on|in|here|among|with"),
-    ("hateful", 1.3, "all PEOPLE|GROUPISH PEOPLE? BE _{0,2} VERMIN"),
-    ("hateful", 1.3, "never|dont rescue|save|help|feed|trust one|any|them"),
-    ("hateful", 1.3, "breed|breeds|multiply like|wie|como VERMIN"),
-    ("hateful", 1.3, "THEY kind breeds|breed"),
-    ("hateful", 1.3, "not belong|fit among|with humans|people|us|here|decent"),
-    ("hateful", 1.3, "leave|lassen|dejar them|all on|in|under the roofs|roof|water|flood|river|cold|mud"),
-    ("hateful", 1.3, "no bed _{0,4} for _"),
-    ("hateful", 1.3, "why waste _{1,3} on _"),
-    ("hateful", 1.3, "let the|them _{0,2} sort|take|have|drown|swallow|burn them|THEY"),
-    ("hateful", 1.3, "round|rounding them|up _{0,6} ship|send|throw|drive|kick"),
-    ("hateful", 1.3, "ship|send|throw|kick|drive them|THEY all? off|out|away|back"),
-    ("hateful", 1.3, "like|wie|como VERMIN raus|out|fuera"),
-    ("hateful", 1.3, "one more of those|these|them _{1,3} moves|comes|settles|arrives"),
-    ("hateful", 1.3, "burn|torch the|their|that hostel|shelter|camp|homes|houses|mosque|synagogue|church ourselves|down|tonight"),
-    ("hateful", 1.3, "raus|weg|fort mit ihnen|denen|den|dem|ihr"),
-    ("hateful", 1.3, "GROUPISH raus"),
-    ("hateful", 1.3, "keinem|keiner|niemand|niemandem von? ihnen? helfen|retten"),
-    ("hateful", 1.3, "que no salven|ayuden|rescaten a ninguno|ninguna|nadie"),
-    ("hateful", 1.3, "no en? salvin|ajudin|rescatin cap|ningu"),
-    ("hateful", 1.3, "hay|habria que echarlos|echarlas|expulsarlos|matarlos|quemarlos|ahogarlos"),
-    ("hateful", 1.3, "cal fer los fora|enfora"),
-    ("hateful", 1.3, "cal|caldria fer-los|ferlos|expulsar-los|expulsarlos|fora|foragitar"),
-    ("hateful", 1.3, "echarlos|echarlas|fuera|expulsarlos a patadas"),
-    ("hateful", 1.3, "fora|foragiteu|expulseu|feu|feu-los a cops|fora"),
-    ("hateful", 1.3, "gooi|smijt|jaag|trap|schop ze|hen|die _{0,4} uit|weg|eruit"),
-    ("hateful", 1.3, "PEOPLE|GROUPISH go back|home _{0,2} where|country"),
-    ("hateful", 1.3, "go back to where|your|the country|jungle|hole|swamp|where"),
-    ("hateful", 1.3, "gas|exterminate|deport|lynch|drown|shoot|hang|kill all? of? THEY|PEOPLE"),
-    # sexual
-    ("sexual", 1.0, "HOT SLUT _{0,5} WANT _{0,3} SEXVERB"),
-    ("sexual", 1.0, "HOT SLUT _{0,4} MEDIA|tonight|inside|online|waiting"),
-    ("sexual", 1.0, "SLUT HOT _{0,5} WANT _{0,3} SEXVERB"),
-    ("sexual", 1.0, "ME BE|am|m VERY* HORNY"),
-    ("sexual", 1.0, "ME _{0,3} HORNY"),
-    ("sexual", 1.0, "see|show|want|send|get|trade|zeig|schick|stuur|zien _{0,3} ME|YOUR|MEDIA NUDE"),
-    ("sexual", 1.0, "ME|YOUR NUDE"),
-    ("sexual", 1.0, "ACT _{0,3} MEDIA _{0,2} without|ohne|zonder|sin|sense YOUR|ropa|roba|kleidung|clothes|kleren|any? clothes|ropa|roba|kleidung|kleren?"),
-    ("sexual", 1.0, "ACT _{0,3} BARE|NUDE MEDIA"),
-    ("sexual", 1.0, "ACT _{0,3} MEDIA BARE"),
-    ("sexual", 1.0, "what we did in bed"),
-    ("sexual", 1.0, "YOUR _{0,2} SEXPART _{0,2} in|on ME? mouth|face|bed|hands"),
-    ("sexual", 1.0, "YOUR naked|nude|bare body"),
-    ("sexual", 1.0, "SEXVERB YOUR|ME|DET|his|her|su|sus|tus|tes|mi FOUL? SEXPART"),
-    ("sexual", 1.0, "WANT _{0,2} SEXVERB YOU"),
-    ("sexual", 1.0, "ME _{0,3} SEXVERB YOU _{0,3} bed|hard|all|tonight|night|now|mouth|raw"),
-    ("sexual", 1.0, "SEXVERB DET|YOUR|his|her BARE body|bodies"),
-    ("sexual", 1.0, "watch|free|uncensored|uncut|best|live _{0,2} PORN"),
-    ("sexual", 1.0, "wet|hard SEXPART and? wet|hard? SEXPART"),
-    ("sexual", 1.0, "PORN _{0,3} MEDIA"),
-    ("sexual", 1.0, "MEDIA|hot|free|HOT _{0,2} PORN"),
-    ("sexual", 1.0, "blow job|jobs|your"),
-    ("sexual", 1.0, "sit on ME face"),
-]
-
-#: What before a match takes weight away, from which categories, and what it needs: "quote" an open
-#: quotation or a colon before the match, "verb" no punctuation in between and a match that does not
-#: begin with its own subject.
-CONTEXT = [
-    ("reported", "REPORTED at|to|an|a|tegen|zu? ME|THEY|him|her? that|dass|que|dat?", 0.7, ("abusive", "hateful"), ""),
-    ("reported", "REPORTED _{0,6}", 0.7, ("abusive", "hateful"), "quote"),
-    ("reported", "OFFICE _{0,8}", 0.4, ("abusive", "hateful"), "quote"),
-    ("negated", "NOT DET? _{0,1}", 0.7, ("sexual",), ""),
-    ("negated", "NOT DET? _{0,1}", 0.7, ("abusive", "hateful"), "verb"),
-    ("negated", "NOT think|believe|mean|say|saying|claim|creo|pienso|digo|crec|penso|dic that|que?", 0.7, ("abusive", "hateful", "sexual"), ""),
-]
-NEGATED = 0.7
-#: A match that begins with one of these has a subject of its own, which a negation before it misses.
-SUBJECT = {"YOU", "ME", "THEY", "PEOPLE"}
-#: Words of NOT that are something else too, or that ask instead of denying.
-NOT_ALSO = {"BODY", "PEOPLE"}
-ASKING = {"why", "warum", "waarom", "porque", "que"}
+CATEGORIES = ("abusive", "hateful", "sexual")
+#: What context leaves of a clause's weight.
+NEGATED, REPORTED, OFFICIAL = 0.3, 0.4, 0.8
 
 # Letters of other scripts that look like Latin ones; digits and signs for letters.
 ALIKE = dict(zip("аеорсухікмтвнѕјԁɡӏгαοειкνρτυκ", "aeopcyxikmtbhsjdglraoeiknptuk", strict=True))
@@ -239,10 +46,33 @@ def _squeeze(w: str) -> str:
     return re.sub(r"(.)\1+", r"\1", w)
 
 
-class Words:
+#: Endings of invented or real names of peoples, where no list knows the word.
+PEOPLES = re.compile(r"^(?:[A-Z][a-z]{2,}|[A-Z]{4,}|[a-z]{4,})(?<!ss)(?:ese|rri|nis|ians|anis|ites|ITES|ESE|RRI|NIS|IANS)$")
+#: Ordinary words that look like such names.
+NO_PEOPLES = set("cheese these geese obese diocese tennis penis basis sherri favorites websites suites sites bites kites invites writes unites ignites excites politicians musicians physicians technicians electricians civilians guardians librarians historians comedians magicians pedestrians veterinarians custodians".split())
+
+
+class Symbols(frozenset):
+    """The classes of a token, its strength per class, and whether it can carry a clause."""
+
+    strength: dict[str, float]
+    anchor: bool
+
+
+def symbols(classes: set[str], strength: dict[str, float]) -> Symbols:
+    s = Symbols(classes)
+    s.strength, s.anchor = strength, bool(classes & ANCHORS)
+    return s
+
+
+PLAIN, END = symbols(set(), {}), symbols({STOP}, {})
+
+
+class Words(dict):
     """First machine: a token in any spelling → its classes, and itself if a rule names it."""
 
     def __init__(self, literals: frozenset[str]) -> None:
+        super().__init__()
         self.classes: dict[str, set[str]] = {}
         for name, text in LEXICON.items():
             for w in text.split():
@@ -256,35 +86,39 @@ class Words:
         for w, names in self.classes.items():
             if len(w) >= 4 and names & {"INSULT", "FOUL", "VERMIN", "SLUT", "PORN", "SEXVERB", "HOT", "NUDE", "HORNY"}:
                 self.squeezed.setdefault(_squeeze(w), w)
-        self.cache: dict[str, frozenset[str]] = {}
-
-    def __call__(self, token: str) -> frozenset[str]:
-        got = self.cache.get(token)
-        if got is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            got = self.cache[token] = self._symbols(token)
+
+    def __missing__(self, token: str) -> Symbols:
+        if len(self) > 300_000:
+            self.clear()  # bounds memory only
+        got = self[token] = self._symbols(token)
         return got
 
-    def _symbols(self, token: str) -> frozenset[str]:
+    def _symbols(self, token: str) -> Symbols:
         if token[0] in ".!?\n":
-            return frozenset([STOP])
+            return END
         out: set[str] = set()
+        strength: dict[str, float] = {}
         for w in self.spellings(token):
             if w in self.literals:
                 out.add(w)
-            found = self.classes.get(w)
+            found, known = self.classes.get(w), w
             if found is None and len(w) >= 5:
                 for e in ENDING:
-                    if w.endswith(e) and (f := self.classes.get(w[: -len(e)])) and f & {"INSULT", "VERMIN", "PEOPLE", "SLUT", "FOUL"}:
-                        found = f & {"INSULT", "VERMIN", "PEOPLE", "SLUT", "FOUL"}
+                    if w.endswith(e) and (f := self.classes.get(w[: -len(e)])) and f & OPEN:
+                        found, known = f & OPEN, w[: -len(e)]
                         break
             if found is None and w not in self.literals and len(w) >= 5 and (near := self.squeezed.get(_squeeze(w))):
-                found = self.classes[near]
-            out |= found or set()
-        if not out & {"CREATURE"} and len(token) > 3:
-            out.add("GROUPISH")
-        return frozenset(out)
+                found, known = self.classes[near], near
+            for c in found or ():
+                out.add(c)
+                strength[c] = max(strength.get(c, 0.0), WORD_STRENGTH.get((c, known), STRENGTH.get(c, 0.0)))
+        if not out and PEOPLES.match(token) and token.lower() not in NO_PEOPLES:
+            out.add("DEMONYM")
+            strength["DEMONYM"] = STRENGTH["DEMONYM"]
+        elif not out and len(token) > 3 and token[0].isupper() and token.isalpha():
+            out.add("NAME")
+            strength["NAME"] = STRENGTH["NAME"]
+        return symbols(out, strength) if out else PLAIN
 
     def spellings(self, token: str) -> list[str]:
         """The word itself and what it may stand for: look-alike letters, digits and signs for
@@ -310,13 +144,31 @@ class Words:
         return out
 
 
-PATTERNS = [Pattern(*r) for r in RULES]
-CLAUSES = Machine(PATTERNS)
+OPEN = {"INSULT", "VERMIN", "PEOPLE", "SLUT", "FOUL"}
+LEVELS = [Machine([Pattern(name, 0.0, p) for name, p in level]) for level in PHRASES]
+RULES = [Pattern(*r) for r in CLAUSES]
+CLAUSE = Machine(RULES)
+#: What stands right before a match: (name, pattern, share left, categories, needs). "quote" needs an open
+#: quotation or a colon before the match; "verb" no punctuation in between and a match that does not
+#: begin with its own subject.
+CONTEXT = [
+    ("reported", "REPORTED at|to|an|a|tegen|zu? ME|THEY|him|her|DET? that|dass|que|dat? DET?", REPORTED, ("abusive", "hateful"), "other"),
+    ("reported", "REPORTED _{0,6}", REPORTED, ("abusive", "hateful"), "quote"),
+    ("office", "OFFICE _{0,8}", OFFICIAL, ("abusive", "hateful"), "quote"),
+    ("negated", "NOT DET? _{0,1}", NEGATED, ("sexual",), ""),
+    ("negated", "NOT DET? _{0,1}", NEGATED, ("abusive", "hateful"), "verb"),
+    ("negated", "NOT WANT to? _{0,2}", NEGATED, ("sexual",), ""),
+    ("negated", "NOT THINK that|dass|que|dat?", NEGATED, ("abusive", "hateful", "sexual"), ""),
+]
 BEFORE = Machine([Pattern(n, w, p) for n, p, w, *_ in CONTEXT])
 #: Rules that name a negator themselves, as "nobody would miss you".
-DENYING = [bool(frozenset(re.split(r"[ |?*]", p.text)) & {*LEXICON["NOT"].split(), "dont", "noone"}) for p in PATTERNS]
-WORDS = Words(frozenset(s for s in CLAUSES.alphabet | BEFORE.alphabet if s == s.lower() and s not in "_."))
-CATEGORIES = ("abusive", "hateful", "sexual")
+DENYING = [bool(set(re.split(r"[ |?*]", p.text)) & {"NOT", "NONE", *LEXICON["NOT"].split(), "dont"}) for p in RULES]
+WORDS = Words(frozenset(s for m in (*LEVELS, CLAUSE, BEFORE) for s in m.alphabet if s == s.lower() and s not in "_."))
+#: A match that begins with one of these has a subject of its own, which a negation before it misses.
+SUBJECT = {"YOU", "ME", "THEY", "GROUP"}
+#: Words of NOT that are something else too, or that ask instead of denying.
+NOT_ALSO = {"BODY", "PEOPLE", "KILL"}
+ASKING = {"why", "warum", "waarom", "porque", "que"}
 
 
 def readable(text: str) -> str:
@@ -355,54 +207,141 @@ def _open_quote(gap: str) -> bool:
     return gap.count('"') % 2 == 1 or opened > closed or gap.rstrip(" \"'‘“„«").endswith(":")
 
 
-def _taken(k: int, t: str, spans: list[tuple[int, int]], tokens: list[frozenset[str]], first: int, begin: int, end: int) -> float:
-    """The weight that negation in, before and after a match and reported speech before it take away."""
-    p, taken = PATTERNS[k], 0.0
+class Item:
+    """A token or phrase of a sentence: its symbols, its first and last token, and its weight by symbol."""
+
+    __slots__ = ("begin", "end", "symbols", "weight")
+
+    def __init__(self, symbols: frozenset[str], begin: int, end: int, weight: dict[str, float]) -> None:
+        self.symbols, self.begin, self.end, self.weight = symbols, begin, end, weight
+
+
+def _bracketed(items: list[Item], level: Machine) -> list[Item]:
+    """The leftmost longest phrases of a level as single items; a phrase weighs the strongest reading
+    of each of its tokens that its pattern may have meant, foul words adding a fifth each."""
+    seq = [x.symbols for x in items]
+    best: dict[int, tuple[int, int]] = {}
+    for k, end in level.run(seq):
+        b = level.begin(k, seq, end, longest=True)
+        if b not in best or end > best[b][0]:
+            best[b] = (end, k)
+    out, at = [], 0
+    while at < len(items):
+        if at in best:
+            end, k = best[at]
+            p = level.patterns[k]
+            named = frozenset(p.text.replace("|", " ").replace("?", "").replace("*", "").split())
+            parts = [[w for s, w in x.weight.items() if s in named] for x in items[at : end + 1]]
+            foul = sum(0.2 for x in items[at : end + 1] if "FOUL" in x.symbols and "FOUL" in named and "INSULT" not in x.symbols)
+            weight = max((max(w) for w in parts if w), default=0.0) if p.category in ("INS", "VOC", "FOULP", "VERM", "SEXP") else sum(max(w) for w in parts if w)
+            if p.category in ("INS", "VOC"):
+                weight += foul
+            names = {"INS", "VOC"} if p.category == "VOC" else {p.category}
+            out.append(Item(frozenset(names), items[at].begin, items[end].end, dict.fromkeys(names, weight)))
+            at = end + 1
+        else:
+            out.append(items[at])
+            at += 1
+    return out
+
+
+def _share(k: int, t: str, spans: list[tuple[int, int]], tokens: list[Symbols], first: int, begin: int, end: int) -> float:
+    """What negation in, before and after a match and reported speech before it leave of its weight."""
+    p, share = RULES[k], 1.0
     if not DENYING[k] and any("NOT" in x and not x & NOT_ALSO for x in tokens[begin : end + 1]):
-        taken = NEGATED
+        share = NEGATED
     if end + 1 < len(tokens) and t[slice(*spans[end + 1])].lower() in ("nicht", "niet"):
-        taken = NEGATED
+        share = NEGATED
     before = tokens[first:begin]
     for c, at in BEFORE.run(before):
-        name, _, cost, categories, needs = CONTEXT[c]
-        if at != len(before) - 1 or p.category not in categories or cost <= taken:
+        name, _, left, categories, needs = CONTEXT[c]
+        if at != len(before) - 1 or p.category not in categories or left >= share:
             continue
-        if name == "reported" and tokens[first] & {"ME"}:
+        if name == "reported" and "ME" in tokens[first]:
             continue
         start = first + BEFORE.begin(c, before, at)
         gap = t[spans[start][1] : spans[begin][0]]
         if needs == "quote" and not _open_quote(gap):
             continue
+        if needs == "other" and start > first and "YOU" in tokens[start - 1]:
+            continue
         if needs == "verb":
             asked = start > first and t[slice(*spans[start - 1])].lower() in ASKING
             if asked or tokens[begin] & SUBJECT or re.search(r'[,;:()"“”„«»–—]', gap):
                 continue
-        taken = cost
-    return taken
+        share = left
+    return share
+
+
+def _clauses(t: str, spans: list[tuple[int, int]], tokens: list[Symbols], first: int, last: int, group: bool) -> tuple[list[tuple[str, float, int, int]], bool]:
+    """(category, weight, first and last token) of the clauses of one sentence, and whether it names a
+    group. With ``group`` a pronoun takes up the group of the sentence before."""
+    items = [Item(tokens[i], i, i, tokens[i].strength) for i in range(first, last)]
+    if group:
+        for x in items:
+            if "THEY" in x.symbols:
+                x.symbols, x.weight = x.symbols | {"GROUP"}, {**x.weight, "GROUP": STRENGTH["PEOPLE"]}
+    for level in LEVELS:
+        items = _bracketed(items, level)
+    named = any("GROUP" in x.symbols for x in items)
+    if group or named:
+        known = group
+        for x in items:
+            if known and "THEY" in x.symbols:
+                x.symbols = x.symbols | {"GROUP"}
+            known = known or "GROUP" in x.symbols
+    seq = [x.symbols for x in items] + [frozenset(["END"])]
+    out = []
+    for k, end in CLAUSE.run(seq):
+        p = RULES[k]
+        begin = CLAUSE.begin(k, seq, end)
+        part = items[begin : end + 1]
+        if not part:
+            continue
+        weight = p.weight
+        for x in part:
+            got = [w for s, w in x.weight.items() if s in CLAUSE_SYMBOLS[k]]
+            weight += max(got, default=0.0)
+        weight = min(weight, 2.0) * _share(k, t, spans, tokens, first, part[0].begin, part[-1].end)
+        out.append((p.category, round(weight, 4), part[0].begin, part[-1].end))
+    return out, named
+
+
+CLAUSE_SYMBOLS = [frozenset(re.split(r"[ |?*]|\{\d,\d\}", p.text)) for p in RULES]
 
 
 def judge(text: str) -> tuple[dict[str, float], str]:
     """Weight of the strongest clause per category, and that clause."""
     best = dict.fromkeys(CATEGORIES, 0.0)
-    clause = ""
     t = readable(text)
-    spans = [(m.start(), m.end()) for m in TOKEN.finditer(t)]
-    tokens = [WORDS(t[a:b]) for a, b in spans]
-    for k, end in CLAUSES.run(tokens):
-        p = PATTERNS[k]
-        if p.weight <= best[p.category]:
+    tokens = [WORDS[x] for x in TOKEN.findall(t)]
+    carry = [i for i, s in enumerate(tokens) if s.anchor]
+    if not carry:
+        return best, ""
+    spans = [m.span() for m in TOKEN.finditer(t)]
+    stops = [-1, *(i for i, s in enumerate(tokens) if STOP in s), len(tokens)]
+    clause, at, group, previous = "", 0, False, -2
+    for k, (a, b) in enumerate(zip(stops, stops[1:], strict=False)):
+        while at < len(carry) and carry[at] <= a:
+            at += 1
+        if at == len(carry):
+            break
+        if carry[at] >= b or b - a < 2:
             continue
-        begin = CLAUSES.begin(k, tokens, end)
-        if "GROUPISH" in p.text and any("CREATURE" in x and "PEOPLE" not in x for x in tokens[begin : end - 1]):
+        here = frozenset().union(*tokens[a + 1 : b])
+        if not (here & STRONG or here & PARTNERS):
             continue
-        first = begin
-        while first and STOP not in tokens[first - 1]:
-            first -= 1
-        weight = round(p.weight - _taken(k, t, spans, tokens, first, begin, end), 6)
-        if weight > best[p.category]:
-            if weight > max(best.values()):
-                clause = t[spans[begin][0] : spans[end][1]]
-            best[p.category] = weight
+        if k and previous != k - 1 and (tokens[a + 1] & {"THEY"}):  # the sentence before was not read
+            group = _clauses(t, spans, tokens, stops[k - 1] + 1, a, False)[1]
+        elif previous != k - 1:
+            group = False
+        found, group = _clauses(t, spans, tokens, a + 1, b, group)
+        previous = k
+        for category, weight, begin, end in found:
+            if weight > best[category]:
+                if weight > max(best.values()):
+                    clause = t[spans[begin][0] : spans[end][1]]
+                best[category] = weight
     return best, clause
 
 

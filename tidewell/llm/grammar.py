@@ -83,15 +83,15 @@ class Machine:
             out += [(k, at) for k in done]
         return out
 
-    def begin(self, k: int, tokens: list[frozenset[str]], end: int) -> int:
-        """The latest begin of a match of pattern k that ends at ``end``."""
+    def begin(self, k: int, tokens: list[frozenset[str]], end: int, *, longest: bool = False) -> int:
+        """The latest begin of a match of pattern k that ends at ``end``, or the earliest."""
         terms = self.terms[k]
         seen = {(len(terms), end)}
         todo, best = list(seen), -1
         while todo:
             i, at = todo.pop()
             if i == 0:
-                best = max(best, at + 1)
+                best = at + 1 if best < 0 else min(best, at + 1) if longest else max(best, at + 1)
                 continue
             want, skip, repeat = terms[i - 1]
             moves = [(i - 1, at)] if skip else []

@@ -36,7 +36,7 @@ BRANCHES, SAMPLE = 6, 4_096
 #: Levels that divide by content, enough for 6^12 shards; what is still too large is spread by hash.
 LEVELS = 12
 #: Slots that k-means looks at; documents of a cell inside a shard; cells a seed looks at.
-FEATURES, CELL_DOCS, PROBES = 2_048, 256, 6
+FEATURES, CELL_DOCS, PROBES = 2_048, 128, 6
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
 
@@ -176,7 +176,7 @@ class Index:
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of the documents in the cells nearest to a document, for its words; elsewhere 0."""
         words = self.docs.slot[self.docs.ptr[doc] : self.docs.ptr[doc + 1]]
-        ask = (self.near[doc][:, None] * SLOTS + words[None, :]).ravel()
+        ask = (np.sort(self.near[doc])[:, None] * SLOTS + words[None, :]).ravel()
         if not len(ask) or not len(self.keys):
             return np.zeros(len(self.docs))
         k = np.minimum(np.searchsorted(self.keys, ask), len(self.keys) - 1)
