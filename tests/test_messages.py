@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators.entity_features import BitSliced, accumulate, entity_features, sliced, widened
-from tidewell.operators.redelivery import MessageStore
+from tidewell.operators import redelivery
+from tidewell.operators.redelivery import ConcurrentLoad, MessageStore
 from tidewell.operators.rolling import rolling_totals
 from tidewell.operators.skew import merge_states, overlapped, per_key_runs, positions
 from tidewell.plans.messages import clean_pan, event_ms, messages, number_of, units
@@ -272,3 +273,44 @@ def test_merge_is_the_same_for_any_tree(spark):
     s = chunked(x, "key", "id", F.floor(F.col("id") / 40), run_states, STATE, chunk=11)
     a = merge_states(s, fan_in=3, levels=3).first()
     assert (a["n"], a["changes"], a["best_run"]) == tuple(brute_runs(rows)["k"][i] for i in (0, 4, 5))
+
+
+def test_two_writers_one_wins(spark):
+    path = shared_dir(spark)
+    one, two = MessageStore(spark, path), MessageStore(spark, path)
+    rows = spark.createDataFrame([(1, 1, 4, None, 1, "p", 1.0, 0, 0)], STREAM)
+    commit = two._commit
+    two._commit = lambda m: (one.load(rows, number_of(), F.col("batch_id")), commit(m))[1]  # the other one is faster
+    with pytest.raises(ConcurrentLoad):
+        two.load(rows.withColumn("pan", F.lit("late")), number_of(), F.col("batch_id"))
+    assert [r["pan"] for r in one.current().collect()] == ["p"] and one.manifest().load == 0
+    two._commit = commit
+    two.load(rows.withColumn("pan", F.lit("late")), number_of(), F.col("batch_id"))
+    assert two.current().count() == 1 and two.superseded().count() == 1
+
+
+def test_index_reads_met_buckets_only(spark, monkeypatch):
+    monkeypatch.setattr(redelivery, "BUCKET_NUMBERS", 10)
+    store = MessageStore(spark, shared_dir(spark))
+    stream = lambda ids: spark.createDataFrame([(1000 * k + i, k, i, None, 1, "p", 1.0, 0, 0) for k, i in ids], STREAM)
+    store.load(stream([(1, i) for i in range(60)]), number_of(), F.col("batch_id"))
+    read = []
+    plain = store._read
+    store._read = lambda paths, schema: (read.extend(paths), plain(paths, schema))[1]
+    store.load(stream([(2, 3), (2, 4), (2, 77)]), number_of(), F.col("batch_id"))
+    assert {x.rsplit("=", 1)[1] for x in read if "/index/" in x} == {"0"}
+    assert store.current().count() == 61 and store.superseded().count() == 2
+
+
+def test_compaction_keeps_everything(spark):
+    rows = [(i, i % 4, i % 37, None, 1, "p", 1.0, 0, 0) for i in range(120)]
+    store = MessageStore(spark, shared_dir(spark))
+    for k in range(4):
+        store.load(spark.createDataFrame(rows[k::4], STREAM), number_of(), F.col("batch_id"))
+    before, lost = sorted(map(str, store.current().collect())), sorted(map(str, store.superseded().collect()))
+    m = store.compact(1)
+    assert all(len(v) == 1 for v in [*m.versions.values(), *m.index.values(), m.log])
+    gone = store.vacuum(1)
+    assert gone and sorted(map(str, store.current().collect())) == before and sorted(map(str, store.superseded().collect())) == lost
+    store.load(spark.createDataFrame([(500, 9, 5, None, 1, "p", 1.0, 0, 0)], STREAM), number_of(), F.col("batch_id"))
+    assert sorted(map(str, store.current().collect())) == before and store.superseded().count() == len(lost) + 1

@@ -1,20 +1,25 @@
 """Messages delivered more than once: a partitioned store that keeps one copy of each.
 
 The store holds winners in partitions by period of arrival, an identifier index (number →
-partition) and a log of the superseded rows. A load of incoming rows
-1. looks its numbers up in the index, which names the affected historical partitions,
-2. reads only those partitions and combines them with the incoming rows,
-3. recomputes one winner per number,
+partition, in buckets of neighbouring numbers) and a log of the superseded rows. A load of incoming rows
+1. counts its own numbers, on fixed-width values alone; only rows of a repeated number are compared,
+2. looks its numbers up in the index, of which it reads the buckets it meets, and so finds the
+   affected historical partitions,
+3. recomputes one winner per number that history and load share; all other rows of an affected
+   partition are copied without a shuffle,
 4. writes the affected partitions anew beside the old ones and commits by creating one manifest
    file, which lists the current version of every partition: readers see all of a load or nothing,
    and partitions that no incoming number touches are never read or written.
 
-A number stays in the partition where it was first stored, so the index only grows.
+What is shuffled is in proportion to the load. A number stays in the partition where it was first
+stored, so the index only grows until ``compact``.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,27 +30,34 @@ from tidewell.plans.messages import CONTROL
 
 #: Rows without order lose against any other.
 LAST = 2**63 - 1
+#: Neighbouring numbers that share a bucket of the index, and the number of buckets.
+BUCKET_NUMBERS, BUCKETS = 1 << 16, 256
+
+
+class ConcurrentLoad(RuntimeError):
+    """Another writer committed first; nothing of this load is visible, and it may be repeated."""
 
 
 @dataclass
 class Manifest:
-    """The committed state: versions of partitions, index parts and logs."""
+    """The committed state: versions of partitions, index parts by bucket, and logs."""
 
     load: int = -1
     schema: str = ""
     versions: dict[str, list[str]] = field(default_factory=dict)
-    index: list[str] = field(default_factory=list)
+    index: dict[str, list[str]] = field(default_factory=dict)
     log: list[str] = field(default_factory=list)
 
 
 class MessageStore:
-    """See the module. ``path`` must be on storage that all executors share.
+    """See the module. ``path`` must be on storage that all executors share, local (or mounted) or with
+    a rename that does not replace, as HDFS has it.
 
     Rows may have any columns that can be ordered. Of rows with one number the smallest order wins, a
     null order loses; rows alike in order are told apart by all columns in turn, and wholly equal rows
-    are copies of which one is kept. Rows without number are messages of their own and always kept;
-    control rows (number -1) are left out. A null period is a partition of its own. An empty load
-    commits and changes nothing.
+    are copies of which one is kept. Rows without number are messages of their own and always kept,
+    so a load that is repeated after its commit stores them again; control rows (number -1) are left
+    out. A null period is a partition of its own. An empty load commits and changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, *, order: str = "delivery_id") -> None:
@@ -58,16 +70,18 @@ class MessageStore:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def manifest(self) -> Manifest:
+    def _names(self, where: str) -> list[str]:
         fs, path = self._fs()
-        root = path(f"{self.path}/manifest")
-        if not fs.exists(root):
-            return Manifest()
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        last = max((n for n in names if n.endswith(".json")), default=None)
-        if last is None:
+        return sorted(s.getPath().getName() for s in fs.listStatus(path(where))) if fs.exists(path(where)) else []
+
+    def manifest(self, load: int | None = None) -> Manifest:
+        """The last committed state, or that of a load."""
+        names = [n for n in self._names(f"{self.path}/manifest") if n.endswith(".json")]
+        name = max(names, default=None) if load is None else f"{load:08d}.json"
+        if name is None:
             return Manifest()
-        stream = fs.open(path(f"{self.path}/manifest/{last}"))
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/manifest/{name}"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -75,18 +89,26 @@ class MessageStore:
         return Manifest(**json.loads(text))
 
     def _commit(self, m: Manifest) -> None:
-        """The one atomic step. Creating without overwrite fails if another load was faster."""
+        """The one atomic step. The manifest is written whole under a name of its own; taking the
+        final name fails if another writer has it: a hard link on local storage, a rename elsewhere."""
         fs, path = self._fs()
-        tmp, final = path(f"{self.path}/manifest/.{m.load:08d}.tmp"), path(f"{self.path}/manifest/{m.load:08d}.json")
-        if fs.exists(final):
-            raise RuntimeError(f"load {m.load} was committed by another writer")
-        out = fs.create(tmp, True)
+        tmp, final = path(f"{self.path}/manifest/.{uuid.uuid4().hex}.tmp"), path(f"{self.path}/manifest/{m.load:08d}.json")
+        out = fs.create(tmp, False)
         try:
             out.write(bytearray(json.dumps(m.__dict__).encode()))
         finally:
             out.close()
-        if not fs.rename(tmp, final):
-            raise RuntimeError(f"load {m.load} could not be committed")
+        try:
+            if fs.getUri().getScheme() == "file":
+                os.link(tmp.toUri().getPath(), final.toUri().getPath())
+                won = True
+            else:
+                won = fs.rename(tmp, final)
+        except FileExistsError:
+            won = False
+        fs.delete(tmp, False)
+        if not won:
+            raise ConcurrentLoad(f"load {m.load} was committed by another writer")
 
     # -- reading -------------------------------------------------------------------------------
 
@@ -111,65 +133,148 @@ class MessageStore:
 
     # -- loading -------------------------------------------------------------------------------
 
+    def _kept(self, df: DataFrame, where: str) -> DataFrame:
+        """A small result written once, so that later joins plan with its true size."""
+        df.write.option("compression", "zstd").parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
     def load(self, incoming: DataFrame, number: Column, period: Column) -> Manifest:
         """Merge incoming rows into the store and commit; returns the new manifest.
 
-        The winner per number comes from an aggregation with a map-side combine, so a number that
-        holds a third of all rows is reduced before the shuffle. Rows are written through a
-        rebalancing exchange, which splits a hot period over many tasks and joins small ones.
+        A number that holds a third of all rows is counted with a map-side combine; its other rows
+        are filtered out where they are read. Whether the tables of repeated and of known numbers are
+        broadcast is Spark's choice by their written size. New rows are written through a rebalancing
+        exchange, which splits a hot period over many tasks and joins small ones.
         """
         spark, m = self.spark, self.manifest()
         load = m.load + 1
-        at = f"{self.path}/load-{load:08d}"
+        at = f"{self.path}/load-{load:08d}-{uuid.uuid4().hex[:8]}"
+        schema = m.schema or incoming.schema.json()
         row = F.struct(*[F.col(f"`{c}`") for c in incoming.columns])
         new = incoming.select(number.cast("long").alias("n"), F.coalesce(period.cast("string"), F.lit("none")).alias("p"), row.alias("row"))
         new = new.filter(F.col("n").isNull() | (F.col("n") != CONTROL))
         order = F.coalesce(F.col(f"row.`{self.order}`").cast("long"), F.lit(LAST))
-
-        affected: list[str] = []
-        both = new.withColumn("old", F.lit(False))
-        if m.index:
-            known = self._read(m.index, "number long, part string")
-            asked = new.filter("n IS NOT NULL").select(F.col("n").alias("number")).distinct()
+        bucket = F.pmod(F.floor(F.col("number") / BUCKET_NUMBERS), F.lit(BUCKETS)).cast("int")
+
+        # numbers the load repeats: fixed-width values are aggregated, before any row is moved
+        seen = new.filter("n IS NOT NULL").select(F.col("n").alias("number"), order.alias("o"))
+        twice = self._kept(seen.groupBy("number").agg(F.min("o").alias("win"), F.count("*").alias("copies")).filter("copies > 1"), f"{at}/twice")
+        # numbers the store knows: only buckets of the index that the load meets are read
+        known, affected = None, []
+        met = {str(r[0]) for r in seen.select(bucket.alias("b")).distinct().collect()} & m.index.keys() if m.index else set()
+        if met:
+            index = self._read([x for b in sorted(met) for x in m.index[b]], "number long, part string")
+            asked = self._kept(seen.select("number").filter(bucket.isin(*[int(b) for b in met])).distinct(), f"{at}/asked")
+            known = self._kept(index.join(asked, "number", "left_semi"), f"{at}/known")
             # partition names are metadata: as many as there are periods, not rows
-            affected = sorted(r[0] for r in known.join(asked, "number", "left_semi").select("part").distinct().collect())
-            if affected:
-                history = self._read([x for p in affected for x in m.versions[p]], self._schema(m))
-                both = history.withColumn("old", F.lit(True)).unionByName(both)
-
-        own = F.when(F.col("n").isNull(), F.monotonically_increasing_id())
-        best = both.withColumn("own", own).groupBy("n", "own").agg(
-            F.min(F.struct(order.alias("o"), "row", "p")).alias("best"),
-            F.count("*").alias("copies"),
-            F.min(F.when(F.col("old"), F.col("p"))).alias("home"),  # a stored number keeps its partition
-        )
-        winners = best.select("n", F.coalesce("home", "best.p").alias("p"), F.col("best.row").alias("row"), F.col("home").isNull().alias("fresh"), "copies")
-        spread = spark.sql("SELECT /*+ REBALANCE(p) */ * FROM {winners}", winners=winners)
-        spread.sortWithinPartitions("p", f"row.`{self.order}`").withColumn("part", F.col("p")).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/rows")
-        touched = self._parts(f"{at}/rows")
-        stored = self._read(list(touched.values()), self._schema(m if m.schema else Manifest(schema=incoming.schema.json())).add("fresh", "boolean").add("copies", "long"))
-
-        fresh = stored.filter("fresh AND n IS NOT NULL").select(F.col("n").alias("number"), F.col("p").alias("part"))
-        fresh.sortWithinPartitions("number").write.option("compression", "zstd").parquet(f"{at}/index")
+            affected = sorted(r[0] for r in known.select("part").distinct().collect())
+
+        repeated = new.join(twice.select(F.col("number").alias("n"), "win"), "n", "left")
+        once = repeated.filter("win IS NULL").drop("win")
+        tied = repeated.filter(F.col("win") == order).groupBy("n").agg(F.min(F.struct("row", "p")).alias("b"))
+        mine = once.unionByName(tied.select("n", F.col("b.p").alias("p"), F.col("b.row").alias("row")))
+        fresh, log = mine, seen.join(twice, "number")
+        if affected:
+            # the numbers that history and load share are settled among their rows alone
+            names = known.select(F.col("number").alias("n"), F.col("part").alias("home"))
+            history = self._read([x for p in affected for x in m.versions[p]], self._schema(m))
+            shared = history.join(names, "n").unionByName(mine.join(names, "n"))
+            settled = shared.groupBy("n", "home").agg(F.min(F.struct(order.alias("o"), "row")).alias("b"), F.count("*").alias("copies"))
+            settled = self._kept(settled.select("n", F.col("home").alias("p"), F.col("b.row").alias("row"), F.col("b.o").alias("win")), f"{at}/settled")
+            untouched = history.join(names, "n", "left_anti")
+            untouched.withColumn("part", F.col("p")).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/copied")
+            fresh = mine.join(names, "n", "left_anti")
+            # the log compares every row of a shared number with its winner
+            won = settled.select(F.col("n").alias("number"), "win")
+            log = seen.join(twice, "number").join(won.select("number"), "number", "left_anti").select("number", "o", "win")
+            both = seen.join(won, "number").unionByName(history.select(F.col("n").alias("number"), order.alias("o")).join(won, "number"))
+            log = log.unionByName(both)
+            fresh = fresh.unionByName(settled.drop("win"))
+        spread = spark.sql("SELECT /*+ REBALANCE(p) */ * FROM {rows}", rows=fresh)
+        spread.sortWithinPartitions("p").withColumn("part", F.col("p")).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/rows")
+        rows, copied = self._parts(f"{at}/rows"), self._parts(f"{at}/copied") if affected else {}
+
+        stored = self._read(list(rows.values()), self._schema(Manifest(schema=schema))).filter("n IS NOT NULL").select(F.col("n").alias("number"), F.col("p").alias("part"))
+        entries = stored.join(known, "number", "left_anti") if affected else stored
+        entries = entries.withColumn("bucket", bucket)
+        spread = spark.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {entries}", entries=entries)
+        spread.sortWithinPartitions("bucket", "number").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{at}/index")
 
         # rows that aren't the winner; of those alike with it in order, all but the one kept
-        won = stored.filter("copies > 1 AND n IS NOT NULL").select(F.col("n").alias("number"), order.alias("__win"))
-        seen = both.filter("n IS NOT NULL").select(F.col("n").alias("number"), F.col(f"row.`{self.order}`").cast("long").alias("__is"))
-        lost = seen.join(won, "number").withColumn("__tie", F.coalesce("__is", F.lit(LAST)) == F.col("__win"))
-        beaten = lost.filter("NOT __tie").select("number", F.col("__is").alias(self.order))
-        ties = lost.filter("__tie").groupBy("number").agg(F.count("*").alias("__k"), F.min("__is").alias("__is")).filter("__k > 1")
-        ties = ties.select("number", F.col("__is").alias(self.order), F.explode(F.sequence(F.lit(2), F.col("__k"))).alias("__i")).drop("__i")
+        given = F.when(F.col("o") != LAST, F.col("o")).alias(self.order)
+        beaten = log.filter("o <> win").select("number", given)
+        ties = log.filter("o = win").groupBy("number", "o").agg(F.count("*").alias("k")).filter("k > 1")
+        ties = ties.select("number", given, F.explode(F.sequence(F.lit(2), F.col("k"))).alias("i")).drop("i")
         beaten.unionByName(ties).write.option("compression", "zstd").parquet(f"{at}/log")
 
         # affected partitions are replaced; others that got new numbers only are added to
-        versions = dict(m.versions) | {p: [*([] if p in affected else m.versions.get(p, [])), d] for p, d in touched.items()}
-        m = Manifest(load, incoming.schema.json(), versions, [*m.index, f"{at}/index"], [*m.log, f"{at}/log"])
+        versions = {p: v for p, v in m.versions.items() if p not in affected}
+        for p, d in [*copied.items(), *rows.items()]:
+            versions[p] = [*versions.get(p, []), d]
+        parts = {b: list(v) for b, v in m.index.items()}
+        for b, d in self._parts(f"{at}/index", "bucket").items():
+            parts.setdefault(b, []).append(d)
+        m = Manifest(load, schema, versions, parts, [*m.log, f"{at}/log"])
         self._commit(m)
+        for scratch in ("twice", "asked", "known", "settled"):
+            self._drop(f"{at}/{scratch}")
         return m
 
-    def _parts(self, where: str) -> dict[str, str]:
-        """Partition → folder."""
+    # -- upkeep --------------------------------------------------------------------------------
+
+    def compact(self, most: int = 4) -> Manifest:
+        """Rewrite what lies in more than ``most`` folders - partitions, index buckets, the log - as one
+        folder each, and commit that as a load of its own without rows."""
+        m = self.manifest()
+        at = f"{self.path}/load-{m.load + 1:08d}-{uuid.uuid4().hex[:8]}"
+        versions, index, log = dict(m.versions), dict(m.index), list(m.log)
+        many = {p: v for p, v in versions.items() if len(v) > most}
+        if many:
+            rows = self._read([x for v in many.values() for x in v], self._schema(m))
+            spread = self.spark.sql("SELECT /*+ REBALANCE(p) */ * FROM {rows}", rows=rows)
+            spread.sortWithinPartitions("p").withColumn("part", F.col("p")).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/rows")
+            versions |= {p: [d] for p, d in self._parts(f"{at}/rows").items()}
+        wide = {b: v for b, v in index.items() if len(v) > most}
+        if wide:
+            rows = self._read([x for v in wide.values() for x in v], "number long, part string").withColumn("bucket", F.pmod(F.floor(F.col("number") / BUCKET_NUMBERS), F.lit(BUCKETS)).cast("int"))
+            spread = self.spark.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {rows}", rows=rows)
+            spread.sortWithinPartitions("bucket", "number").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{at}/index")
+            index |= {b: [d] for b, d in self._parts(f"{at}/index", "bucket").items()}
+        if len(log) > most:
+            self.superseded().write.option("compression", "zstd").parquet(f"{at}/log")
+            log = [f"{at}/log"]
+        m = Manifest(m.load + 1, m.schema, versions, index, log)
+        self._commit(m)
+        return m
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete folders that none of the last ``keep`` manifests name, and older manifests. Only for
+        times without a load; readers of older states lose their files. Returns what went."""
+        loads = sorted(int(n[:8]) for n in self._names(f"{self.path}/manifest") if n.endswith(".json"))
+        used: set[str] = set()
+        for k in loads[-keep:]:
+            m = self.manifest(k)
+            used |= {x for v in [*m.versions.values(), *m.index.values(), m.log] for x in v}
+        gone = []
+        for load in (n for n in self._names(self.path) if n.startswith("load-")):
+            for kind in self._names(f"{self.path}/{load}"):
+                folder = f"{self.path}/{load}/{kind}"
+                inner = [f"{folder}/{n}" for n in self._names(folder) if "=" in n] if folder not in used else []
+                if folder not in used and not used & set(inner):
+                    gone.append(folder)
+                elif inner:
+                    gone += [x for x in inner if x not in used]
+        for k in loads[:-keep]:
+            gone.append(f"{self.path}/manifest/{k:08d}.json")
+        for x in gone:
+            self._drop(x)
+        return gone
+
+    def _drop(self, where: str) -> None:
         fs, path = self._fs()
+        fs.delete(path(where), True)
+
+    def _parts(self, where: str, column: str = "part") -> dict[str, str]:
+        """Partition → folder."""
         plain = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-        names = [s.getPath().getName() for s in fs.listStatus(path(where))]
-        return {plain(n.removeprefix("part=")): f"{where}/{n}" for n in sorted(names) if n.startswith("part=")}
+        return {plain(n.removeprefix(f"{column}=")): f"{where}/{n}" for n in self._names(where) if n.startswith(f"{column}=")}
