@@ -2,16 +2,16 @@
 
 The store holds winners in partitions by period of arrival, an identifier index (number →
 partition, in buckets of neighbouring numbers) and a log of the superseded rows. A load of incoming rows
-1. counts its own numbers, on fixed-width values alone; only rows of a repeated number are compared,
+1. finds one winner per number among its own rows, which move once,
 2. looks its numbers up in the index, of which it reads the buckets it meets, and so finds the
    affected historical partitions,
-3. recomputes one winner per number that history and load share; all other rows of an affected
-   partition are copied without a shuffle,
+3. recomputes one winner per number that history and load share, and copies the other rows of an
+   affected partition in the same pass that finds them,
 4. writes the affected partitions anew beside the old ones and commits by creating one manifest
    file, which lists the current version of every partition: readers see all of a load or nothing,
    and partitions that no incoming number touches are never read or written.
 
-What is shuffled is in proportion to the load. A number stays in the partition where it was first
+What is read and shuffled is in proportion to the load and the partitions it affects. A number stays in the partition where it was first
 stored, so the index only grows until ``compact``.
 """
 
@@ -141,9 +141,9 @@ class MessageStore:
     def load(self, incoming: DataFrame, number: Column, period: Column) -> Manifest:
         """Merge incoming rows into the store and commit; returns the new manifest.
 
-        A number that holds a third of all rows is counted with a map-side combine; its other rows
-        are filtered out where they are read. Whether the tables of repeated and of known numbers are
-        broadcast is Spark's choice by their written size. New rows are written through a rebalancing
+        The winner per number comes from an aggregation with a map-side combine, so a number that
+        holds a third of all rows is reduced before the shuffle. Whether the table of known numbers is
+        broadcast is Spark's choice by its written size. New rows are written through a rebalancing
         exchange, which splits a hot period over many tasks and joins small ones.
         """
         spark, m = self.spark, self.manifest()
@@ -156,51 +156,51 @@ class MessageStore:
         order = F.coalesce(F.col(f"row.`{self.order}`").cast("long"), F.lit(LAST))
         bucket = F.pmod(F.floor(F.col("number") / BUCKET_NUMBERS), F.lit(BUCKETS)).cast("int")
 
-        # numbers the load repeats: fixed-width values are aggregated, before any row is moved
+        # one row per number of the load: the rows move once, and their partitioning serves what follows
         seen = new.filter("n IS NOT NULL").select(F.col("n").alias("number"), order.alias("o"))
-        twice = self._kept(seen.groupBy("number").agg(F.min("o").alias("win"), F.count("*").alias("copies")).filter("copies > 1"), f"{at}/twice")
+        best = new.filter("n IS NOT NULL").groupBy("n").agg(F.min(F.struct(order.alias("o"), "row", "p")).alias("b"), F.count("*").alias("copies"))
+        mine = best.select("n", F.col("b.p").alias("p"), F.col("b.row").alias("row"), F.col("b.o").alias("win"), "copies")
         # numbers the store knows: only buckets of the index that the load meets are read
         known, affected = None, []
         met = {str(r[0]) for r in seen.select(bucket.alias("b")).distinct().collect()} & m.index.keys() if m.index else set()
         if met:
             index = self._read([x for b in sorted(met) for x in m.index[b]], "number long, part string")
-            asked = self._kept(seen.select("number").filter(bucket.isin(*[int(b) for b in met])).distinct(), f"{at}/asked")
+            asked = seen.select("number").filter(bucket.isin(*[int(b) for b in met])).distinct()
             known = self._kept(index.join(asked, "number", "left_semi"), f"{at}/known")
             # partition names are metadata: as many as there are periods, not rows
             affected = sorted(r[0] for r in known.select("part").distinct().collect())
 
-        repeated = new.join(twice.select(F.col("number").alias("n"), "win"), "n", "left")
-        once = repeated.filter("win IS NULL").drop("win")
-        tied = repeated.filter(F.col("win") == order).groupBy("n").agg(F.min(F.struct("row", "p")).alias("b"))
-        mine = once.unionByName(tied.select("n", F.col("b.p").alias("p"), F.col("b.row").alias("row")))
-        fresh, log = mine, seen.join(twice, "number")
+        fresh, settled = mine, None
         if affected:
-            # the numbers that history and load share are settled among their rows alone
             names = known.select(F.col("number").alias("n"), F.col("part").alias("home"))
             history = self._read([x for p in affected for x in m.versions[p]], self._schema(m))
-            shared = history.join(names, "n").unionByName(mine.join(names, "n"))
-            settled = shared.groupBy("n", "home").agg(F.min(F.struct(order.alias("o"), "row")).alias("b"), F.count("*").alias("copies"))
-            settled = self._kept(settled.select("n", F.col("home").alias("p"), F.col("b.row").alias("row"), F.col("b.o").alias("win")), f"{at}/settled")
-            untouched = history.join(names, "n", "left_anti")
-            untouched.withColumn("part", F.col("p")).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/copied")
-            fresh = mine.join(names, "n", "left_anti")
-            # the log compares every row of a shared number with its winner
-            won = settled.select(F.col("n").alias("number"), "win")
-            log = seen.join(twice, "number").join(won.select("number"), "number", "left_anti").select("number", "o", "win")
-            both = seen.join(won, "number").unionByName(history.select(F.col("n").alias("number"), order.alias("o")).join(won, "number"))
-            log = log.unionByName(both)
-            fresh = fresh.unionByName(settled.drop("win"))
-        spread = spark.sql("SELECT /*+ REBALANCE(p) */ * FROM {rows}", rows=fresh)
+            # one pass over the affected partitions: rows to copy, and those of numbers the load has too
+            flagged = history.join(names, "n", "left").select("n", "p", "row", F.col("home").isNotNull().alias("hit"), F.col("p").alias("part"))
+            flagged.write.option("compression", "zstd").partitionBy("hit", "part").parquet(f"{at}/copied")
+            hits = [*self._parts(f"{at}/copied/hit=true").values()]
+            shared = self._read(hits, self._schema(m)).withColumns({"win": order, "copies": F.lit(1).cast("long")}).withColumn("home", F.col("p"))
+            again = mine.join(names, "n")
+            both = shared.select("n", "home", "row", "win", "copies").unionByName(again.select("n", "home", "row", "win", "copies"))
+            settled = both.groupBy("n", "home").agg(F.min(F.struct(F.col("win").alias("o"), "row")).alias("b"), F.sum("copies").alias("copies"))
+            settled = settled.select("n", F.col("home").alias("p"), F.col("b.row").alias("row"), F.col("b.o").alias("win"), "copies")
+            fresh = mine.join(names, "n", "left_anti").unionByName(settled)
+        lone = new.filter("n IS NULL").select("n", "p", "row", order.alias("win"), F.lit(1).cast("long").alias("copies"))
+        spread = spark.sql("SELECT /*+ REBALANCE(p) */ * FROM {rows}", rows=fresh.unionByName(lone))
         spread.sortWithinPartitions("p").withColumn("part", F.col("p")).write.option("compression", "zstd").partitionBy("part").parquet(f"{at}/rows")
-        rows, copied = self._parts(f"{at}/rows"), self._parts(f"{at}/copied") if affected else {}
+        rows, copied = self._parts(f"{at}/rows"), self._parts(f"{at}/copied/hit=false") if affected else {}
 
-        stored = self._read(list(rows.values()), self._schema(Manifest(schema=schema))).filter("n IS NOT NULL").select(F.col("n").alias("number"), F.col("p").alias("part"))
-        entries = stored.join(known, "number", "left_anti") if affected else stored
-        entries = entries.withColumn("bucket", bucket)
+        stored = self._read(list(rows.values()), "n long, p string, win long, copies long").filter("n IS NOT NULL").withColumnRenamed("n", "number")
+        entries = stored.select("number", F.col("p").alias("part"))
+        entries = (entries.join(known, "number", "left_anti") if affected else entries).withColumn("bucket", bucket)
         spread = spark.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {entries}", entries=entries)
         spread.sortWithinPartitions("bucket", "number").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{at}/index")
 
         # rows that aren't the winner; of those alike with it in order, all but the one kept
+        won = stored.filter("copies > 1").select("number", "win")
+        log = seen
+        if affected:
+            log = log.unionByName(shared.select(F.col("n").alias("number"), F.col("win").alias("o")))
+        log = log.join(won, "number")
         given = F.when(F.col("o") != LAST, F.col("o")).alias(self.order)
         beaten = log.filter("o <> win").select("number", given)
         ties = log.filter("o = win").groupBy("number", "o").agg(F.count("*").alias("k")).filter("k > 1")
@@ -216,7 +216,7 @@ class MessageStore:
             parts.setdefault(b, []).append(d)
         m = Manifest(load, schema, versions, parts, [*m.log, f"{at}/log"])
         self._commit(m)
-        for scratch in ("twice", "asked", "known", "settled"):
+        for scratch in ("known", "copied/hit=true"):
             self._drop(f"{at}/{scratch}")
         return m
 
@@ -260,6 +260,7 @@ class MessageStore:
             for kind in self._names(f"{self.path}/{load}"):
                 folder = f"{self.path}/{load}/{kind}"
                 inner = [f"{folder}/{n}" for n in self._names(folder) if "=" in n] if folder not in used else []
+                inner = [y for x in inner for y in ([f"{x}/{n}" for n in self._names(x)] if "/hit=" in x else [x])]
                 if folder not in used and not used & set(inner):
                     gone.append(folder)
                 elif inner:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,10 +87,12 @@ def _stored(spark: SparkSession, sf: str, loads: int = 3) -> MessageStore:
     low, high = stream.agg(F.min("batch_id"), F.max("batch_id")).first()
     store = MessageStore(spark, shared_dir(spark))
     step = ((high or 0) + 1 - (low or 0)) / (loads + 1)
-    # the first run takes half of the time range, the others take equal parts of the rest
-    run = F.greatest(F.coalesce(F.floor((F.col("batch_id") - (low or 0)) / F.lit(step)) - 1, F.lit(0)), F.lit(0))
+    # the first run takes half of the time range, the others equal parts of the rest; bounds on the
+    # column itself, so the scan of a run skips the row groups of the others
+    cuts = [math.ceil((low or 0) + step * (k + 2)) for k in range(loads - 1)]
     for k in range(loads):
-        store.load(stream.filter(run == k if k < loads - 1 else run >= k), number_of(), F.floor(F.col("batch_id") / 24))
+        run = F.lit(True) if loads == 1 else F.col("batch_id") >= cuts[k - 1] if k == loads - 1 else F.col("batch_id").isNull() | (F.col("batch_id") < cuts[0]) if k == 0 else (F.col("batch_id") >= cuts[k - 1]) & (F.col("batch_id") < cuts[k])
+        store.load(stream.filter(run), number_of(), F.floor(F.col("batch_id") / 24))
     return store
 
 
