@@ -192,15 +192,24 @@ def count_min(df: DataFrame, column: str, eps: float = 0.001, confidence: float
     return df.groupBy(*(by or [])).agg(s)
 
 
-def count_min_table(df: DataFrame, column: str, width: int = 2048, depth: int = 5, seed: int = 1) -> DataFrame:
-    """The same synopsis as rows (d, w, n): partial sums merge on the map side and over time."""
-    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.pmod(F.xxhash64(F.lit(seed * 1000 + d), F.col(column).cast("string")), F.lit(width)).alias("w")) for d in range(depth)]))
-    return df.filter(F.col(column).isNotNull()).select(cells.alias("c")).groupBy("c.d", "c.w").agg(F.count("*").alias("n"))
+def _cells(value: Column, width: int, depth: int) -> Column:
+    """The cells of a value: six hexadecimal digits of its MD5 per row of the synopsis, so that any
+    system that knows MD5 can read a stored one."""
+    if depth > 5:
+        raise ValueError("a digest has digits for five rows")
+    h = F.md5(value.cast("string"))
+    return F.array(*[F.struct(F.lit(d).alias("d"), F.pmod(F.conv(F.substring(h, d * 6 + 1, 6), 16, 10).cast("long"), F.lit(width)).alias("w")) for d in range(depth)])
 
 
-def count_min_estimates(sketch: DataFrame, values: DataFrame, column: str, width: int = 2048, depth: int = 5, seed: int = 1) -> DataFrame:
+def count_min_table(df: DataFrame, column: str, width: int = 2048, depth: int = 5, by: list[str] | None = None) -> DataFrame:
+    """The same synopsis as rows (by, d, w, n): partial sums merge on the map side and over time. Values
+    are counted before they are hashed, so a hot one is hashed once a task and not once a row."""
+    n = df.filter(F.col(column).isNotNull()).groupBy(*(by or []), F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    return n.select(*(by or []), "__n", F.explode(_cells(F.col("__v"), width, depth)).alias("c")).groupBy(*(by or []), "c.d", "c.w").agg(F.sum("__n").alias("n"))
+
+
+def count_min_estimates(sketch: DataFrame, values: DataFrame, column: str, width: int = 2048, depth: int = 5) -> DataFrame:
     """Estimated count of each asked value: the least of its cells. Never below the true count."""
     v = values.select(F.col(column).alias("__v")).filter("__v IS NOT NULL").distinct()
-    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.pmod(F.xxhash64(F.lit(seed * 1000 + d), F.col("__v").cast("string")), F.lit(width)).alias("w")) for d in range(depth)]))
-    asked = v.select("__v", cells.alias("c")).select("__v", F.col("c.d").alias("d"), F.col("c.w").alias("w"))
+    asked = v.select("__v", F.explode(_cells(F.col("__v"), width, depth)).alias("c")).select("__v", F.col("c.d").alias("d"), F.col("c.w").alias("w"))
     return asked.join(sketch, ["d", "w"], "left").groupBy(F.col("__v").alias(column)).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))

@@ -127,15 +127,24 @@ def _containers(batches: Iterator[pa.RecordBatch], flags: int, schema: pa.Schema
             t = pa.Table.from_batches(held).combine_chunks()
             e = t.column(0).combine_chunks()
             ends = np.flatnonzero(np.asarray(pc.not_equal(e[1:], e[:-1])))
-            if len(ends):  # all but the last entity are complete
-                cut = int(ends[-1]) + 1
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:  # all but the last entity are complete
                 yield from _decode(t.slice(0, cut), flags, schema)
-                held = t.slice(cut).to_batches()
-                rows = t.num_rows - cut
+            # what is there of the last one is carry-added to one row per cell
+            held = [_collapsed(t.slice(cut))]
+            rows = held[0].num_rows
     if rows:
         yield from _decode(pa.Table.from_batches(held).combine_chunks(), flags, schema)
 
 
+def _collapsed(t: pa.Table) -> pa.RecordBatch:
+    """The partial rows of one entity as one row per cell."""
+    c, n, v, at = (t.column(i).combine_chunks() for i in (1, 2, 3, 4))
+    cells, count, total, latest = accumulate((c.to_numpy(False).astype(np.int64) + 1) * 64, n.to_numpy(False), v.to_numpy(False), pc.fill_null(at, NO_TIME).to_numpy(False))
+    cols = [pa.repeat(t.column(0)[0].as_py(), len(cells)), pa.array(cells // 64 - 1), pa.array(count), pa.array(total), pa.array(latest, mask=latest == NO_TIME)]
+    return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, PARTIAL, strict=True)], schema=PARTIAL)
+
+
 def _decode(t: pa.Table, flags: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     e = t.column(0).combine_chunks()
     new = np.append(True, np.asarray(pc.not_equal(e[1:], e[:-1])).astype(bool)) if len(e) > 1 else np.array([True])
@@ -181,7 +190,8 @@ def entity_features(events: DataFrame, entity: str, code: str, flag: str, value:
     Null entities are left out. Absent (code, flag) pairs mean n = 0; ``widened`` spells them out.
 
     Events are combined on the map side before the one shuffle by entity, so a hot entity arrives
-    as one partial row per type and map task; a task holds a bounded container at a time.
+    as one partial row per type and map task. A task holds a bounded container at a time: what has
+    come of an entity that is larger is carry-added to one row per type before more is read.
     """
     flags = 3
     f = F.when(F.col(flag).isin(0, 1), F.col(flag).cast("int") + 1).otherwise(F.lit(0))

@@ -353,10 +353,23 @@ def regression_metrics(hits: DataFrame, theta: float, by: list[str] | None = Non
 
 
 def stratified_folds(df: DataFrame, key: str, folds: int, label: str | None = None, seed: int = 1) -> DataFrame:
-    """Adds ``fold``: by a hash of the key, so it needs no shuffle and is the same on every run. With
-    a label the hash is taken per label, which balances every class on average."""
-    cols = [F.lit(seed), F.col(key)] + ([F.col(label)] if label else [])
-    return df.withColumn("fold", F.pmod(F.xxhash64(*cols), F.lit(folds)).cast("int"))
+    """Adds ``fold``, the same on every run. Without a label it is a hash of the key and needs no
+    shuffle. With one, the rows of every class are numbered in a random order, exactly and without a
+    task that sees a whole class, and dealt out in turn: folds of a class differ by one row at most.
+    A null label is a class of its own."""
+    mixed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1)
+    if label is None:
+        return df.withColumn("fold", F.pmod(mixed, F.lit(folds)).cast("int"))
+    d = df.withColumns({"__l": F.coalesce(F.col(label).cast("string"), F.lit("")), "__isnull": F.col(label).isNull(), "__r": mixed})
+    d = d.withColumn("__l", F.concat_ws(":", F.col("__isnull").cast("string"), "__l"))
+    sizes = d.groupBy("__l").agg(F.count("*").alias("__c"))
+    d = d.join(sizes, "__l").withColumn("__b", F.floor(F.col("__r") / F.lit(float(2**63)) * F.ceil(F.col("__c") / F.lit(20_000))))
+    parts = d.groupBy("__l", "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__l").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__l", "__b").orderBy("__r", key)) - 1
+    d = d.withColumn("__i", inside).join(parts, ["__l", "__b"])
+    return d.withColumn("fold", F.pmod(F.col("__o") + F.col("__i"), F.lit(folds)).cast("int")).select(*df.columns, "fold")
 
 
 def order_by_cross_validation(words_by_fold: dict[int, dict[tuple[int, ...], int]], held_out: dict[int, list[int]], symbols: int, orders: list[int]) -> int:
@@ -375,3 +388,51 @@ def order_by_cross_validation(words_by_fold: dict[int, dict[tuple[int, ...], int
         return float(np.mean(total))
 
     return min(orders, key=score)
+
+
+# -- word counts as models -----------------------------------------------------------------------
+
+
+def fold_words(words: DataFrame) -> DataFrame:
+    """Counts of words per fold (fold, word, n; word[0] is the symbol, the rest its context, newest first)
+    as rows (fold, order, context, symbol, n). As many rows as words, not as events."""
+    c = F.array_join(F.transform(F.slice("word", 2, F.size("word")), lambda x: x.cast("string")), ".")
+    return words.select("fold", (F.size("word") - 1).alias("order"), c.alias("context"), F.col("word")[0].alias("symbol"), "n")
+
+
+def order_losses(words: DataFrame, symbols: int) -> DataFrame:
+    """Per order the mean log loss of held-out words (A-51): each fold is predicted from the words of the
+    others, by counts with one added; ``best`` marks the order that loses least, the smaller of equals."""
+    w = fold_words(words)
+    by = lambda *c: Window.partitionBy("order", "context", *c)
+    own = F.sum("n").over(by("fold"))
+    train = F.sum("n").over(by("symbol")) - F.col("n")
+    p = (train + 1) / (F.sum("n").over(by()) - own + symbols)
+    loss = w.withColumn("__l", -F.log2(p) * F.col("n")).groupBy("order").agg((F.sum("__l") / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
+    return loss.withColumn("best", F.row_number().over(Window.orderBy(F.round("loss", 9), "order")) == 1)  # one row per order
+
+
+def next_symbol_accuracy(words: DataFrame) -> DataFrame:
+    """Per order how often the most frequent symbol after a context is the one that comes (A-63, A-67)."""
+    w = fold_words(words).groupBy("order", "context", "symbol").agg(F.sum("n").alias("n"))
+    c = w.groupBy("order", "context").agg(F.max("n").alias("hit"), F.sum("n").alias("n"))
+    return c.groupBy("order").agg(F.count("*").alias("contexts"), (F.sum("hit") / F.sum("n")).alias("accuracy"))
+
+
+def disambiguate(table: list[list[int]], finals: set[int], order: int) -> tuple[list[list[int]], set[int], list[tuple[int, tuple[int, ...]]]]:
+    """The automaton whose states also hold the last ``order`` symbols (A-41): its table over the same
+    symbols, its final states, and for each state the old one with its symbols, oldest first. It
+    accepts the same words; only reachable states exist, the first is the start."""
+    labels: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+    number = {labels[0]: 0}
+    out: list[list[int]] = []
+    for q, recent in labels:  # grows while it is walked
+        row = []
+        for symbol, to in enumerate(table[q]):
+            x = (to, (*recent, symbol)[-order:] if order else ())
+            if x not in number:
+                number[x] = len(labels)
+                labels.append(x)
+            row.append(number[x])
+        out.append(row)
+    return out, {i for i, (q, _) in enumerate(labels) if q in finals}, labels

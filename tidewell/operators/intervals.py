@@ -273,3 +273,48 @@ def query_windows(events: DataFrame, t: str, arrival: str, first: int, last: int
     low = F.greatest(low, F.lit(0))
     high = F.least(F.ceil((F.col(t) + memory - first) / F.lit(step)) - 1, F.lit((last - first) // step))
     return events.withColumns({"__a": low.cast("int"), "__z": high.cast("int")}).filter("__a <= __z").withColumn("q", F.explode(F.sequence("__a", "__z"))).withColumn("q", F.col("q").cast("long") * step + first).drop("__a", "__z")
+
+
+def _seen_by(lo: Column, hi: Column, first: int, last: int, step: int) -> Column:
+    """The query times in [lo, hi) as an array."""
+    a = F.greatest(F.ceil((lo - first) / F.lit(step)), F.lit(0)).cast("long")
+    z = F.least(F.ceil((hi - first) / F.lit(step)) - 1, F.lit((last - first) // step)).cast("long")
+    return F.when(a <= z, F.transform(F.sequence(a, z), lambda i: i * step + first))
+
+
+def windowed_fluent(points: DataFrame, keys: list[str], first: int, last: int, step: int, memory: int, *, t: str = "t", arrival: str = "arrival", initiates: str = "initiates", keep: int = 0, width: int | None = None) -> DataFrame:
+    """A fluent as it is known at each query time: keys, ``q``, ``start``, ``end``.
+
+    The window of a query is (q - memory, q] and sees what has arrived by q. An interval that reaches
+    over the window's begin is carried over with its start, so a fluent stays on although its
+    initiation is forgotten; a point that arrives after its time has left the window has no effect.
+    Intervals that ended before the window are forgotten, with ``keep`` only that much later.
+
+    A point counts from the first query that sees it. All points that ever count and lie before a
+    window are known to the query before, so what is carried over follows from one list of intervals:
+    no query waits for another. Each point is repeated for memory / step queries.
+    """
+    if step < 1 or memory < step:
+        raise ValueError("the step is positive and the memory no smaller")
+    p = points.filter(F.col(t).isNotNull() & F.col(arrival).isNotNull() & F.col(initiates).isNotNull())
+    p = p.select(*keys, F.col(t).cast("long").alias("t"), F.col(arrival).cast("long").alias("arrival"), F.col(initiates).cast("boolean").alias("initiates"))
+    seen = F.greatest(F.ceil((F.greatest("t", "arrival") - first) / F.lit(step)), F.lit(0)) * step + first
+    counted = p.filter((seen <= last) & (F.col("t") > seen - memory))
+    base = from_points(counted, keys, width=width)
+    after = lambda c, d: F.when(c == INF, F.lit(last + 1)).otherwise(F.least(c + d, F.lit(last + 1)))
+    carried = base.withColumn("q", F.explode(_seen_by(F.col("start") + memory, after(F.col("end"), memory), first, last, step)))
+    carried = carried.select(*keys, "q", (F.col("start") - 1).alias("t"), F.lit(True).alias("initiates"))
+    inside = query_windows(p, "t", "arrival", first, last, step, memory).select(*keys, "q", "t", "initiates")
+    out = from_points(inside.unionByName(carried), [*keys, "q"], width=width)
+    if keep:
+        ended = base.filter(F.col("end") != INF)
+        ended = ended.withColumn("q", F.explode(_seen_by(F.col("end") + memory, F.col("end") + memory + keep, first, last, step)))
+        out = out.unionByName(ended.select(out.columns))
+    return out
+
+
+def windowed_boundaries(x: DataFrame, keys: list[str], memory: int, step: int = 1) -> DataFrame:
+    """start and end events of a windowed fluent: keys, q, event, t. An interval that only continues from
+    before the window gives no start."""
+    b = boundaries(x, [*keys, "q"], step)
+    return b.filter((F.col("event") == "end") | (F.col("t") > F.col("q") - memory)).filter(F.col("t") <= F.col("q"))

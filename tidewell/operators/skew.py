@@ -119,10 +119,12 @@ def per_key_runs(rows: DataFrame, key: str, order: str, units: Column, mark: Col
     the order given and ``best_run``, the longest run of equal marks.
 
     ``order`` is a whole number that is unique (ties: any order among equal ones, the counts and
-    totals do not depend on it); rows without order come first. Null marks are a value of their
+    totals do not depend on it); rows without order come first, by a hash of their units and mark, which
+    also spreads them over blocks. Null marks are a value of their
     own (-1). Null keys are left out. Each task works on ``chunk`` rows, whatever a key holds.
     """
-    spare = F.coalesce(F.col(order).cast("long"), F.lit(-(2**62)))
+    spread = F.pmod(F.xxhash64(units, mark), F.lit(1 << 40)) - F.lit(2**62)
+    spare = F.coalesce(F.col(order).cast("long"), spread)
     r = rows.select(F.col(key).cast("string").alias("key"), spare.alias("id"), units.cast("long").alias("units"), F.coalesce(mark.cast("long"), F.lit(-1)).alias("mark")).filter(F.col("key").isNotNull())
     states = chunked(r, "key", "id", F.floor(F.col("id") / F.lit(block_rows)), run_states, STATE, chunk=chunk)
     return merge_states(states.withColumn("__chunk", F.col("__chunk"))).select("pan", "n", "units", "first_id", "last_id", "changes", "best_run")

@@ -32,7 +32,14 @@ def _network(spark: SparkSession, sf: str) -> tuple[pl.Workflow, pl.Network]:
     return w, pl.Network.of(links)
 
 
-@R.add("f01_shortest_paths")
+LINKS = """n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), heads AS (SELECT min(k) AS k, r FROM n GROUP BY r),
+ring AS (SELECT k AS a, coalesce(lead(k) OVER (ORDER BY r), first_value(k) OVER (ORDER BY r)) AS b FROM heads),
+links AS (SELECT a.k AS a, b.k AS b, 1.0 + (a.k * 7 + b.k * 3) % 5 AS c FROM n a JOIN n b ON a.r = b.r AND a.k < b.k UNION ALL SELECT a, b, 10.0 FROM ring),
+both_ AS (SELECT a, b, min(c) AS c FROM (SELECT a, b, c FROM links UNION ALL SELECT b, a, c FROM links) GROUP BY 1, 2)"""
+
+
+@R.add("f01_shortest_paths", f"""WITH RECURSIVE {LINKS}, p(source, target, cost, hops) AS (SELECT k, k, 0.0::DOUBLE, 0 FROM n UNION SELECT * FROM (SELECT p.source, l.b, min(p.cost + l.c)::DOUBLE, p.hops + 1 FROM p JOIN both_ l ON l.a = p.target WHERE p.hops < 14 GROUP BY p.source, l.b, p.hops))
+SELECT 's' || source AS source, 's' || target AS target, min(cost) AS cost FROM p GROUP BY 1, 2""")
 def f01_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     _, net = _network(spark, sf)
     return spark.createDataFrame([(a, b, float(c)) for a, x in sorted(net.all_costs().items()) for b, c in sorted(x.items())], "source string, target string, cost double")
@@ -92,16 +99,19 @@ def f10_regression(spark: SparkSession, sf: str) -> DataFrame:
     return df_.sliding_regression(e, ["user_id"], ["k"], "k", "value").select("event_id", F.round("slope", 4).alias("slope"))
 
 
-@R.add("f10_kalman")
+@R.add("f10_kalman", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, {SEC} AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY {SEC}, event_id) AS k FROM events),
+f(user_id, k, event_id, t, value, x, p) AS (SELECT user_id, k, event_id, t, value, value, 1.0::DOUBLE FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.event_id, e.t, e.value,
+ CASE WHEN e.value IS NULL THEN f.x WHEN f.x IS NULL THEN e.value ELSE f.x + (f.p + 0.001) / (f.p + 0.101) * (e.value - f.x) END, CASE WHEN e.value IS NULL OR f.x IS NULL THEN f.p ELSE (f.p + 0.001) * (1 - (f.p + 0.001) / (f.p + 0.101)) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT event_id, round(x, 4) AS smoothed FROM f""")
 def f10_kalman(spark: SparkSession, sf: str) -> DataFrame:
-    return df_.kalman(_events(spark, sf).select("user_id", "event_id", "t", "value"), ["user_id"], ["t", "event_id"], "value")
+    return df_.kalman(_events(spark, sf).select("user_id", "event_id", "t", "value"), ["user_id"], ["t", "event_id"], "value").select("event_id", F.round("smoothed", 4).alias("smoothed"))
 
 
-@R.add("f13_distinct", "SELECT event_type, true AS within FROM events GROUP BY 1")
+@R.add("f13_distinct", "SELECT event_type, count(DISTINCT user_id) AS n, true AS within FROM events GROUP BY 1")
 def f13_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate distinct users by two sketches, held against the exact number: within 10 percent."""
     g = _events(spark, sf).groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 14)).alias("b"), F.countDistinct("user_id").alias("n"))
-    return g.select("event_type", ((F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n") + 1) & (F.abs(F.col("b") - F.col("n")) <= 0.1 * F.col("n") + 1)).alias("within"))
+    return g.select("event_type", "n", ((F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n") + 1) & (F.abs(F.col("b") - F.col("n")) <= 0.1 * F.col("n") + 1)).alias("within"))
 
 
 @R.add("f14_train", f"""SELECT {SEC} // 86400 AS period, round(regr_slope(value, user_id::DOUBLE), 6) AS slope, round(regr_intercept(value, user_id::DOUBLE), 4) AS intercept, regr_count(value, user_id::DOUBLE) AS n FROM events GROUP BY 1""")
@@ -161,16 +171,17 @@ def i10_forest(spark: SparkSession, sf: str) -> DataFrame:
     return m.transform(test).groupBy("o_orderstatus", "prediction").agg(F.count("*").alias("n"))
 
 
-@R.add("i12_count_min", "SELECT user_id, true AS bounded FROM events GROUP BY 1")
+CELLS = "SELECT {by}user_id, d, CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), d * 6 + 1, 6) AS BIGINT) % 2048 AS w FROM events, (SELECT unnest(range(5)) AS d)"
+
+
+@R.add("i12_count_min", f"WITH c AS ({CELLS.format(by='')}), n AS (SELECT d, w, count(*) AS n FROM c GROUP BY 1, 2) SELECT user_id, min(n.n) AS estimate FROM (SELECT DISTINCT user_id, d, w FROM c) q JOIN n USING (d, w) GROUP BY 1")
 def i12_count_min(spark: SparkSession, sf: str) -> DataFrame:
-    """The synopsis never counts too little, and too much by the promised share only."""
-    e = _events(spark, sf)
-    est = df_.count_min_estimates(df_.count_min_table(e, "user_id"), e, "user_id")
-    true = e.groupBy("user_id").agg(F.count("*").alias("n"))
-    total = e.agg(F.count("*")).scalar()
-    return true.join(est, "user_id").withColumn("total", total).select("user_id", ((F.col("estimate") >= F.col("n")) & (F.col("estimate") - F.col("n") <= F.col("total") * 0.005)).alias("bounded"))
+    """Estimates of every user from the synopsis."""
+    e = table(spark, sf, "events")
+    return df_.count_min_estimates(df_.count_min_table(e, "user_id"), e, "user_id")
 
 
-@R.add("i12_sketch", "SELECT event_type, true AS made FROM events GROUP BY 1")
+@R.add("i12_sketch", f"WITH c AS ({CELLS.format(by='event_type, ')}) SELECT event_type, CAST(d AS INTEGER) AS d, w, count(*) AS n FROM c GROUP BY ALL")
 def i12_sketch(spark: SparkSession, sf: str) -> DataFrame:
-    return df_.count_min(_events(spark, sf), "user_id", by=["event_type"]).select("event_type", (F.length("sketch") > 0).alias("made"))
+    """The synopsis of each type of event, as its cells."""
+    return df_.count_min_table(table(spark, sf, "events"), "user_id", by=["event_type"])

@@ -64,14 +64,18 @@ def _matrix(spark: SparkSession, sf: str):  # noqa: ANN202
     return fc.matrix(fc.transition_probabilities(fc.transition_counts(_steps(spark, sf))), len(_model()[1]))
 
 
-@R.add("a42_waiting_times")
+@R.add("a42_waiting_times", f"""WITH RECURSIVE {KNOWN}, p AS (SELECT was, nxt, count(*) / sum(count(*)) OVER (PARTITION BY was) AS p FROM s3 GROUP BY 1, 2),
+w(state, step, p) AS (SELECT was, 1, coalesce(sum(p) FILTER (WHERE nxt = 'match'), 0)::DOUBLE FROM p GROUP BY was UNION ALL SELECT * FROM (SELECT p.was, w.step + 1, sum(p.p * w.p)::DOUBLE FROM p JOIN w ON p.nxt = w.state AND p.nxt <> 'match' WHERE w.step < {HORIZON} GROUP BY p.was, w.step))
+SELECT state, step, round(p, 6) AS p, CASE state WHEN 'open' THEN 1 ELSE 2 END AS distance, true AS consistent FROM w WHERE state <> 'match'""")
 def a42_waiting_times(spark: SparkSession, sf: str) -> DataFrame:
     """Waiting-time distribution per state (A-42), with the check of the matrix (A-43) and the
     distance to a final state (A-64)."""
     m = _matrix(spark, sf)
     bad, dist = set(fc.inconsistent_states(m)), fc.distances(_model()[1], _model()[2])
-    rows = [(q, t + 1, float(p), dist.get(q), q not in bad) for q, w in fc.waiting_times(m, _model()[2], HORIZON).items() for t, p in enumerate(w)]
-    return spark.createDataFrame(rows, "state int, step int, p double, distance int, consistent boolean")
+    finals, opened = _model()[2], _model()[1][0][1]
+    name = {q: "match" if q in finals else "open" if q == opened else "none" for q in range(len(_model()[1]))}
+    rows = [(name[q], t + 1, round(float(p), 6), dist.get(q), q not in bad) for q, w in fc.waiting_times(m, finals, HORIZON).items() if q not in finals for t, p in enumerate(w)]
+    return spark.createDataFrame(rows, "state string, step int, p double, distance int, consistent boolean")
 
 
 @R.add("a44_contexts", """WITH x AS (SELECT user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS s, ts, event_id FROM events),
@@ -202,6 +206,55 @@ def a63_log_loss(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "model_order int, contexts int, loss double")
 
 
+WORDS = """x AS (SELECT user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS s, ts, event_id FROM events),
+l AS (SELECT user_id % 4 AS fold, s, lag(s) OVER w AS s1, lag(s, 2) OVER w AS s2 FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+w AS (SELECT fold, 0 AS m, '' AS c, s, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT fold, 1, CAST(s1 AS VARCHAR), s, count(*) FROM l WHERE s1 IS NOT NULL GROUP BY ALL UNION ALL SELECT fold, 2, s1 || '.' || s2, s, count(*) FROM l WHERE s2 IS NOT NULL GROUP BY ALL)"""
+
+
+def _fold_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of up to three symbols per fold; a fold holds a quarter of the users."""
+    e = table(spark, sf, "events")
+    code = F.lit(4)
+    for i, name in enumerate(SYMBOLS):
+        code = F.when(F.col("event_type") == name, i).otherwise(code)
+    out = None
+    for k in range(4):
+        part = e.filter(F.col("user_id") % 4 == k)
+        d = fc.context_counts(part.withColumn("sym", code), ["user_id"], "sym", ["ts", "event_id"], Stream(part).block(), 3).withColumn("fold", F.lit(k))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@R.add("a51_order", f"""WITH {WORDS}, p AS (SELECT *, (sum(n) OVER (PARTITION BY m, c, s) - n + 1) / (sum(n) OVER (PARTITION BY m, c) - sum(n) OVER (PARTITION BY m, c, fold) + 5) AS p FROM w),
+o AS (SELECT m, sum(-log2(p) * n) / sum(n) AS loss, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1) SELECT m AS "order", round(loss, 6) AS loss, n, row_number() OVER (ORDER BY round(loss, 9), m) = 1 AS best FROM o""")
+def a51_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of the model by cross-validation (A-51)."""
+    return fc.order_losses(_fold_words(spark, sf), 5).withColumn("loss", F.round("loss", 6))
+
+
+@R.add("a63_next_symbol", f"""WITH {WORDS}, t AS (SELECT m, c, s, sum(n) AS n FROM w GROUP BY ALL), b AS (SELECT m, c, max(n) AS hit, sum(n) AS n FROM t GROUP BY ALL) SELECT m AS "order", count(*) AS contexts, round(sum(hit) / sum(n), 6) AS accuracy FROM b GROUP BY 1""")
+def a63_next_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the next symbol is foreseen (A-63)."""
+    return fc.next_symbol_accuracy(_fold_words(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@R.add("a41_disambiguated", f"WITH {KNOWN} SELECT nxt AS state, event_type AS last, count(*) AS n FROM s3 GROUP BY 1, 2")
+def a41_disambiguated(spark: SparkSession, sf: str) -> DataFrame:
+    """Visits of the states that also hold the last symbol (A-41); a state that the disambiguated
+    automaton does not have would be missing."""
+    spec, dfa, finals = _model()
+    comp = Compiler(rewrite(spec.formula))
+    kinds = [t.args[0] if isinstance(t.args[0], str) else t.args[0].name for t in comp.tests]
+    names = (*SYMBOLS, "error")
+    masks = [sum(1 << i for i, k in enumerate(kinds) if k == s) for s in names]
+    labels = fc.disambiguate([[row[m] for m in masks] for row in dfa], finals, 1)[2]
+    opened = dfa[0][1]
+    known = spark.createDataFrame(sorted({("match" if q in finals else "open" if q == opened else "none", names[r[-1]]) for q, r in labels if r}), "state string, last string")
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("last"))
+    steps = _steps(spark, sf).select("event_id", _name("next_state").alias("state")).join(e, "event_id")
+    return steps.groupBy("state", "last").agg(F.count("*").alias("n")).join(known, ["state", "last"])
+
+
 @R.add("a66_baselines")
 def a66_baselines(spark: SparkSession, sf: str) -> DataFrame:
     """Baselines: a seeded random forecaster and one that always expects the next event (A-66)."""

@@ -9,7 +9,8 @@ from tidewell.operators import fluents
 from tidewell.operators import intervals as iv
 from tidewell.operators.ordered import width_if_hot
 from tidewell.queries import Registry
-from tidewell.session import table
+from tidewell.session import shared_dir, table
+from tidewell.sources import tables
 
 R = Registry()
 K = ["user_id"]
@@ -30,8 +31,8 @@ B = _inertia("b", "event_type = 'click'", "event_type = 'error'")
 AB = f"WITH {BASE}, {A}, {B}"
 
 
-def _sweep_sql(cond: str) -> str:
-    return f"""{AB}, d AS (SELECT user_id, t, sum(da) AS da, sum(db) AS db FROM (
+def _sweep_sql(cond: str, head: str = AB) -> str:
+    return f"""{head}, d AS (SELECT user_id, t, sum(da) AS da, sum(db) AS db FROM (
  SELECT user_id, "start" AS t, 1 AS da, 0 AS db FROM a UNION ALL SELECT user_id, "end", -1, 0 FROM a WHERE "end" < {iv.INF}
  UNION ALL SELECT user_id, "start", 0, 1 FROM b UNION ALL SELECT user_id, "end", 0, -1 FROM b WHERE "end" < {iv.INF}) GROUP BY 1, 2),
 c AS (SELECT user_id, t, sum(da) OVER w AS ca, sum(db) OVER w AS cb FROM d WINDOW w AS (PARTITION BY user_id ORDER BY t)),
@@ -123,7 +124,10 @@ def b19_samples(spark: SparkSession, sf: str) -> DataFrame:
     return iv.from_samples(_events(spark, sf).filter("event_type = 'view'"), K, step=3600, width=_w(spark, sf))
 
 
-@R.add("b16_fixed_deadline")
+@R.add("b16_fixed_deadline", f"""WITH RECURSIVE {BASE}, p AS (SELECT user_id, t, min(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS up FROM ev WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM p),
+s(user_id, k, n, since, due) AS (SELECT DISTINCT user_id, 0::BIGINT, n, NULL::BIGINT, NULL::BIGINT FROM r UNION ALL SELECT r.user_id, r.k, r.n, CASE WHEN r.up = 0 THEN NULL WHEN s.since IS NULL OR r.t >= s.since + 86400 THEN r.t ELSE s.since END, CASE WHEN s.since IS NOT NULL AND r.t >= s.since + 86400 THEN s.since + 86400 END FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)
+SELECT user_id, due AS t FROM s WHERE due IS NOT NULL UNION ALL SELECT user_id, since + 86400 FROM s WHERE k = n AND since IS NOT NULL""")
 def b16_fixed_deadline(spark: SparkSession, sf: str) -> DataFrame:
     """A view starts a state that ends by itself after a day, unless a purchase ends it first."""
     e = _events(spark, sf)
@@ -148,29 +152,110 @@ ALLEN_ON = {
 }
 
 
+# meets, starts and equal need lists that share bounds: (up, down, earlier) of source and target
+SHARED = {
+    "meets": (("view", "purchase", 0), ("purchase", "error", 1)),
+    "starts": (("view", "purchase", 0), ("view", "error", 0)),
+    "equal": (("view", "purchase", 0), ("view", "purchase|error", 0)),
+}
+
+
+def _list_sql(name: str, up: str, down: str, earlier: int) -> str:
+    quoted = ", ".join(f"'{x}'" for x in down.split("|"))
+    return _inertia(name, f"event_type = '{up}'", f"event_type IN ({quoted})").replace("SELECT user_id, t + 1 AS t", f"SELECT user_id, t + {1 - earlier} AS t")
+
+
+def _list(spark: SparkSession, sf: str, up: str, down: str, earlier: int) -> DataFrame:
+    e = _events(spark, sf).filter(F.col("event_type").isin(up, *down.split("|"))).withColumns({"initiates": F.col("event_type") == up, "t": F.col("t") - earlier})
+    return iv.from_points(e, K, width=_w(spark, sf))
+
+
 def _allen_query(relation: str) -> None:
     n = 30 + list(ALLEN_ON).index(relation)
+    one, two = SHARED.get(relation, (("view", "purchase", 0), ("click", "error", 0)))
+    head = f"WITH {BASE}, {_list_sql('a', *one)}, {_list_sql('b', *two)}"
 
-    @R.add(f"b{n}_{relation}", f"""{AB} SELECT a.user_id, a."start" AS start_1, a."end" AS end_1, b."start" AS start_2, b."end" AS end_2 FROM a JOIN b ON a.user_id = b.user_id AND {ALLEN_ON[relation]}""")
+    @R.add(f"b{n}_{relation}", f"""{head} SELECT a.user_id, a."start" AS start_1, a."end" AS end_1, b."start" AS start_2, b."end" AS end_2 FROM a JOIN b ON a.user_id = b.user_id AND {ALLEN_ON[relation]}""")
     def q(spark: SparkSession, sf: str) -> DataFrame:
-        return iv.allen(_a(spark, sf), _b(spark, sf), relation, K, _w(spark, sf))
+        return iv.allen(_list(spark, sf, *one), _list(spark, sf, *two), relation, K, _w(spark, sf))
 
 
 for _r in ALLEN_ON:
     _allen_query(_r)
 
 
-@R.add("b37_allen_modes", f"""{AB}, p AS (SELECT a.user_id, a."start" AS s1, a."end" AS e1, b."start" AS s2, b."end" AS e2 FROM a JOIN b ON a.user_id = b.user_id AND {ALLEN_ON['overlaps']})
-SELECT * FROM (SELECT 'source' AS mode, user_id, s1 AS "start", e1 AS "end" FROM p UNION SELECT 'target', user_id, s2, e2 FROM p UNION SELECT 'union', user_id, s1, e2 FROM p UNION SELECT 'intersection', user_id, s2, e1 FROM p UNION SELECT 'relative_complement', user_id, s1, s2 FROM p UNION SELECT 'relative_complement_inverse', user_id, e1, e2 FROM p)
- WHERE mode IN ('source', 'target')""")
+def _mode_sql() -> str:
+    """Six modes: the lists of sources and targets of the relation, and sweeps over the two."""
+    head = f"""{AB}, p AS (SELECT a.user_id, a."start" AS s1, a."end" AS e1, b."start" AS s2, b."end" AS e2 FROM a JOIN b ON a.user_id = b.user_id AND {ALLEN_ON['overlaps']}), one AS (SELECT DISTINCT user_id, s1 AS "start", e1 AS "end" FROM p), two AS (SELECT DISTINCT user_id, s2 AS "start", e2 AS "end" FROM p)"""
+    parts = ["SELECT 'source' AS mode, * FROM one", "SELECT 'target' AS mode, * FROM two"]
+    for k, (mode, cond) in enumerate({"union": "ca >= 1 OR cb >= 1", "intersection": "ca >= 1 AND cb >= 1", "relative_complement": "ca >= 1 AND cb = 0", "relative_complement_inverse": "cb >= 1 AND ca = 0"}.items()):
+        sweep = _sweep_sql(cond, "").replace("FROM a", "FROM one").replace("FROM b", "FROM two").lstrip(", ")
+        for name in ("d", "c", "h", "g"):
+            sweep = sweep.replace(f"{name} AS (", f"{name}{k} AS (").replace(f"FROM {name} ", f"FROM {name}{k} ").replace(f"FROM {name})", f"FROM {name}{k})")
+        ctes, _, last = sweep.rpartition("\nSELECT ")
+        head += ", " + ctes
+        parts.append(f"SELECT '{mode}' AS mode, * FROM (SELECT {last})")
+    return head + " " + " UNION ALL ".join(parts)
+
+
+@R.add("b37_allen_modes", _mode_sql())
 def b37_allen_modes(spark: SparkSession, sf: str) -> DataFrame:
     out = None
-    for mode in ("source", "target"):
+    for mode in ("source", "target", "union", "intersection", "relative_complement", "relative_complement_inverse"):
         d = iv.allen_intervals(_a(spark, sf), _b(spark, sf), "overlaps", K, mode, _w(spark, sf)).withColumn("mode", F.lit(mode))
         out = d if out is None else out.unionByName(d)
     return out
 
 
+STEP, MEMORY = 2 * 86400, 4 * 86400
+
+
+def _known_sql(name: str, up: str, down: str, keep: int = 0) -> str:
+    """By definition: at each query the inertia of every point that some query up to then has seen."""
+    return f"""{name}_p AS (SELECT *, t + (event_id % 7) * 60000 AS arrival FROM ev WHERE event_type IN ('{up}', '{down}')), {name}_f AS (SELECT p.user_id, p.t, p.event_type, min(q) AS f FROM {name}_p p JOIN q ON q >= t AND q >= arrival GROUP BY p.event_id, p.user_id, p.t, p.event_type),
+{name}_s AS (SELECT q, user_id, t + 1 AS t, CASE WHEN bool_or(event_type = '{down}') THEN 0 ELSE 1 END AS s FROM {name}_f JOIN q ON f <= q WHERE t > f - {MEMORY} GROUP BY 1, 2, 3),
+{name}_c AS (SELECT *, lag(s, 1, 0) OVER (PARTITION BY q, user_id ORDER BY t) AS p FROM {name}_s),
+{name} AS (SELECT user_id, q, t AS "start", e AS "end" FROM (SELECT user_id, q, t, s, lead(t, 1, {iv.INF}) OVER (PARTITION BY q, user_id ORDER BY t) AS e FROM {name}_c WHERE s <> p) WHERE s = 1 AND e > q - {MEMORY + keep})"""
+
+
+QUERIES = f"WITH {BASE}, q AS (SELECT unnest(range(min(t) // 86400 * 86400, max(t) + {MEMORY} + 1, {STEP})) AS q FROM ev)"
+
+
+def _known(spark: SparkSession, sf: str, up: str, down: str, keep: int = 0) -> DataFrame:
+    e = _events(spark, sf)
+    low, high = e.agg(F.min("t"), F.max("t")).first()
+    first = (low or 0) // 86400 * 86400
+    last = first + ((high or 0) + MEMORY - first) // STEP * STEP
+    p = e.filter(F.col("event_type").isin(up, down)).withColumns({"arrival": F.col("t") + (F.col("event_id") % 7) * 60000, "initiates": F.col("event_type") == up})
+    return iv.windowed_fluent(p, K, first, last, STEP, MEMORY, keep=keep)
+
+
+@R.add("b08_windows", f"{QUERIES}, {_known_sql('a', 'view', 'purchase')} SELECT * FROM a")
+def b08_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """A fluent at every query time, with late arrivals, forgetting and carry-over (B-08, B-42, S-19)."""
+    return _known(spark, sf, "view", "purchase")
+
+
+@R.add("b09_windows", f"""{QUERIES}, {_known_sql('a', 'view', 'purchase')} SELECT user_id, q, 'start' AS event, "start" - 1 AS t FROM a WHERE "start" - 1 > q - {MEMORY} AND "start" - 1 <= q UNION ALL SELECT user_id, q, 'end', "end" - 1 FROM a WHERE "end" < {iv.INF} AND "end" - 1 <= q""")
+def b09_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """start and end events per window; none for an interval that only goes on (B-09)."""
+    return iv.windowed_boundaries(_known(spark, sf, "view", "purchase"), K, MEMORY)
+
+
+@R.add("b38_allen_windows", f"""{QUERIES}, {_known_sql('a', 'view', 'purchase', 2 * STEP)}, {_known_sql('b', 'click', 'error')} SELECT a.user_id, a.q, a."start" AS start_1, a."end" AS end_1, b."start" AS start_2, b."end" AS end_2 FROM a JOIN b ON a.user_id = b.user_id AND a.q = b.q AND {ALLEN_ON['before']}""")
+def b38_allen_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of a relation are remembered longer than the window (B-38)."""
+    return iv.allen(_known(spark, sf, "view", "purchase", 2 * STEP), _known(spark, sf, "click", "error"), "before", [*K, "q"])
+
+
+@R.add("s19_per_window", f"{QUERIES}, {_known_sql('a', 'view', 'purchase')} SELECT q, count(*) AS n, CAST(sum(\"start\") AS BIGINT) AS starts FROM a GROUP BY 1")
+def s19_per_window(spark: SparkSession, sf: str) -> DataFrame:
+    """The intervals of each window written to a folder of its own, and read back (S-19)."""
+    path = shared_dir(spark)
+    tables.write_windows(_known(spark, sf, "view", "purchase"), path)
+    return tables.read_windows(spark, path).groupBy("q").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
 @R.add("b40_windows", f"""WITH {BASE}, q AS (SELECT unnest(range(1704067200 + 86400, 1704067200 + 86400 * 21, 86400)) AS q), x AS (SELECT *, t + (event_id % 5) * 40000 AS arrival FROM ev)
 SELECT q, event_type, count(*) AS n FROM x JOIN q ON t > q - 172800 AND t <= q AND arrival <= q GROUP BY 1, 2""")
 def b40_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +326,12 @@ def b06_initially(spark: SparkSession, sf: str) -> DataFrame:
     return p.evaluate("fresh")["fresh"]
 
 
-@R.add("b15_cyclic")
+@R.add("b15_cyclic", f"""WITH RECURSIVE {BASE}, g AS (SELECT user_id, t, bool_or(event_type = 'purchase') AS buys, bool_or(event_type = 'error') AS errs, bool_or(event_type = 'signup') AS signs FROM ev GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM g),
+s(user_id, k, t, trust, susp) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, false, false FROM r UNION ALL SELECT r.user_id, r.k, r.t, CASE WHEN s.susp AND signs THEN false WHEN NOT s.susp AND buys THEN true ELSE s.trust END, CASE WHEN s.susp AND signs THEN false WHEN s.trust AND errs THEN true ELSE s.susp END FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1),
+u AS (SELECT user_id, k, t, 'trust' AS fluent, trust AS v FROM s UNION ALL SELECT user_id, k, t, 'suspicion', susp FROM s),
+c AS (SELECT *, lag(v, 1, false) OVER (PARTITION BY user_id, fluent ORDER BY k) AS was FROM u), x AS (SELECT *, lead(t + 1, 1, {iv.INF}) OVER (PARTITION BY user_id, fluent ORDER BY k) AS e FROM c WHERE v <> was)
+SELECT user_id, fluent, t + 1 AS "start", e AS "end" FROM x WHERE v""")
 def b15_cyclic(spark: SparkSession, sf: str) -> DataFrame:
     """Two fluents that depend on each other: trust needs no suspicion to start, suspicion needs trust."""
     return fluents.cyclic(_events(spark, sf), K, _trust, ["trust", "suspicion"], name="event_type")

@@ -13,6 +13,7 @@ from tidewell.queries import Registry
 from tidewell.queries.patterns import A26
 from tidewell.session import shared_dir, table
 from tidewell.sources import events as ev
+from tidewell.sources import topics
 from tidewell.sources import tables as tb
 from tidewell.streaming import engine
 
@@ -68,13 +69,14 @@ def s07_json(spark: SparkSession, sf: str) -> DataFrame:
     return ev.DOMAINS["json"](_lines(spark, sf, line)).select("event_id", "ts", F.col("attributes")["kind"].alias("kind"))
 
 
-@R.add("s10_random", "SELECT 20000 AS n, true AS close")
+@R.add("s10_random", "SELECT 20000 AS n, 0.5 AS a, 0.3 AS b, 0.67 AS chain")
 def s10_random(spark: SparkSession, sf: str) -> DataFrame:
-    """A random stream has about the asked shares."""
+    """The shares of a seeded random stream and of a Markov chain with the stationary share 2/3."""
     d = ev.random_symbols(spark, 20000, {"A": 0.5, "B": 0.3, "C": 0.2})
     m = ev.markov_symbols(spark, 500, {"A": 1.0}, {"A": {"B": 1.0}, "B": {"A": 0.5, "B": 0.5}})
     share = m.agg(F.avg((F.col("event_type") == "B").cast("double"))).scalar()
-    return d.agg(F.count("*").alias("n"), F.avg((F.col("event_type") == "A").cast("double")).alias("a")).select("n", ((F.abs(F.col("a") - 0.5) < 0.02) & (F.abs(share - 2 / 3) < 0.03)).alias("close"))
+    of = lambda x: F.round(F.avg((F.col("event_type") == x).cast("double")), 2)
+    return d.agg(F.count("*").alias("n"), of("A").alias("a"), of("B").alias("b")).withColumn("chain", F.round(share, 2))
 
 
 @R.add("s11_split", "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events) SELECT CASE WHEN k <= floor(n * 0.7) THEN 'first' ELSE 'rest' END AS part, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM n GROUP BY 1")
@@ -120,6 +122,81 @@ def s23_series(spark: SparkSession, sf: str) -> DataFrame:
     return tb.series_lines(lines).select("id", "label", F.size("vec").alias("n"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
+@R.add("s09_rows", "SELECT * FROM (VALUES (1, 'view', 5), (2, 'click', 6)) t(event_id, event_type, ts)")
+def s09_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """An in-memory source."""
+    return ev.from_rows(spark, [(1, "view", 5), (2, "click", 6)], "event_id int, event_type string, ts int")
+
+
+@R.add("s13_timed_replay", f"SELECT event_id, CAST(floor(({SEC} - (SELECT min({SEC}) FROM events)) * 1000 / 60.0) AS BIGINT) AS send_ms, {SEC} + 3600 AS t FROM events")
+def s13_timed_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """A replay at sixty times the real speed, an hour later."""
+    e = table(spark, sf, "events").select("event_id", _sec().cast("long").alias("t"))
+    return topics.timed_replay(e, "t", 60.0, 3600)
+
+
+@R.add("s15_statistics", "SELECT event_type, count(*) AS detections, 2 AS runs FROM events GROUP BY 1")
+def s15_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of two runs appended to one CSV and read back."""
+    path = shared_dir(spark)
+    s = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("detections"))
+    for run in (1, 2):
+        tb.append_statistics(s.withColumn("run", F.lit(run)), path)
+    back = spark.read.csv(path, header=True, schema="event_type string, detections long, run int")
+    return back.groupBy("event_type").agg((F.sum("detections") / 2).cast("long").alias("detections"), F.countDistinct("run").alias("runs"))
+
+
+@R.add("s24_tsv", r"SELECT lower(event) AS event, count(*) AS n FROM train_df WHERE tweet_text IS NOT NULL AND event IS NOT NULL AND regexp_matches(event, '^[A-Za-z]+$') GROUP BY 1")
+def s24_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled tweets written as tab-separated text and read back."""
+    path = shared_dir(spark)
+    t = table(spark, sf, "train_df").filter("tweet_text IS NOT NULL AND event IS NOT NULL AND event RLIKE '^[A-Za-z]+$'")
+    tb.write_tsv(t.select("event", F.regexp_replace("tweet_text", r"[\s\"]+", " ").alias("tweet_text"), "tweet_language"), path)
+    return tb.tweets_tsv(spark, path).groupBy(F.lower("event").alias("event")).agg(F.count("*").alias("n"))
+
+
+@R.add("s26_tabular", "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1")
+def s26_tabular(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with question marks for missing values; rows with any are dropped."""
+    path = shared_dir(spark)
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), "c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 7 == 0, "?").otherwise(F.col("c_acctbal").cast("string")).alias("balance"))
+    c.write.csv(path, header=True)
+    t = tb.tabular_csv(spark, path, "c_custkey long, segment string, balance double")
+    return t.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 2).alias("total"))
+
+
+def _topic(spark: SparkSession, sf: str) -> topics.FileTopic:
+    t = topics.FileTopic(spark, shared_dir(spark))
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id", _sec().cast("long").alias("t"))
+    t.produce(e, "event_id", F.col("t"), F.col("user_id"))
+    end = spark.createDataFrame([(1,)], "k long")
+    t.produce(end, "k", F.lit(0), value=F.lit(topics.TERMINATE))
+    t.produce(e.limit(5), "event_id", F.col("t"))
+    return t
+
+
+@R.add("s08_topic", f"SELECT event_type, count(*) AS n, min(k) AS low, max(k) AS high FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) GROUP BY 1")
+def s08_topic(spark: SparkSession, sf: str) -> DataFrame:
+    """A topic read from its begin until the terminating record (S-08)."""
+    d = _topic(spark, sf).consume()
+    return d.groupBy(F.get_json_object("value", "$.event_type").alias("event_type")).agg(F.count("*").alias("n"), F.min("offset").alias("low"), F.max("offset").alias("high"))
+
+
+@R.add("s20_bus", f"SELECT count(*) AS n, min(k) AS low, max(k) AS high, CAST(sum(user_id) AS BIGINT) AS users FROM (SELECT user_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) WHERE k BETWEEN 50 AND 149")
+def s20_bus(spark: SparkSession, sf: str) -> DataFrame:
+    """A bounded read of a service: a hundred records from an offset on (S-20, I-01)."""
+    d = _topic(spark, sf).consume(first=50, most=100)
+    return d.agg(F.count("*").alias("n"), F.min("offset").alias("low"), F.max("offset").alias("high"), F.sum(F.col("key").cast("long")).alias("users"))
+
+
+@R.add("c11_position", f"SELECT event_type, count(*) AS n FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) WHERE k <= (SELECT count(*) // 3 FROM events) GROUP BY 1")
+def c11_position(spark: SparkSession, sf: str) -> DataFrame:
+    """A collector that stays behind the engine's position, a third of the stream (C-11)."""
+    at = table(spark, sf, "events").count() // 3
+    d = topics.position_sync(_topic(spark, sf), at)
+    return d.groupBy(F.get_json_object("value", "$.event_type").alias("event_type")).agg(F.count("*").alias("n"))
+
+
 # -- streaming -----------------------------------------------------------------------------------
 
 
@@ -140,6 +217,13 @@ def st_detections(spark: SparkSession, sf: str) -> DataFrame:
     return engine.run_to_end(engine.detections(Stream(_stream(spark, sf)), p), f"st_{uuid.uuid4().hex}").select("user_id", "event_id")
 
 
+@R.add("st_expire", A26)
+def st_expire(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a time after which an idle key is forgotten (A-39b); none is idle so long here."""
+    p = ';(IsEventTypePredicate("view"),*(IsEventTypePredicate("error")),IsEventTypePredicate("click")){partitionBy:userId}'
+    return engine.run_to_end(engine.detections(Stream(_stream(spark, sf)), p, expire="3600"), f"st_{uuid.uuid4().hex}").select("user_id", "event_id")
+
+
 @R.add("st_windows", "SELECT event_type, epoch_us(w) // 1000000 AS start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY 1, 2")
 def st_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Sliding windows of two days, a step of one (B-40, B-41)."""

@@ -23,12 +23,23 @@ def e01_anonymise(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tm.anonymise(F.col("text")).alias("text"))
 
 
-@R.add("e02_strip")
+E02 = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '@\S+', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '#\S+', ' ', 'g'), '&#?\w+;', ' ', 'g'), '\s+', ' ', 'g'))"""
+
+
+@R.add("e02_strip", f"SELECT doc_id, {E02.format(c='text')} AS text FROM documents WHERE text IS NOT NULL")
 def e02_strip(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", tm.strip_marks(F.col("text")).alias("text"))
 
 
-@R.add("e03_language")
+def _language_sql() -> str:
+    """Per language the share of its function words; the largest wins, equal ones by name."""
+    lists = ", ".join(f"{{'share': len(list_filter(w, lambda x: x IN ({', '.join(repr(y) for y in words.split())}))) / len(w), 'lang': '{k}'}}" for k, words in tm.STOPWORDS.items())
+    return rf"""WITH d AS (SELECT regexp_extract(lower(trim(tweet_language)), '^([a-z]*)', 1) AS given, list_filter(regexp_split_to_array(lower({E02.format(c='tweet_text')}), '[^\p{{L}}]+'), lambda x: x <> '') AS w FROM train_df WHERE tweet_text IS NOT NULL),
+s AS (SELECT given, w, list_reverse_sort([{lists}]) AS s FROM d)
+SELECT given, CASE WHEN len(w) > 0 AND s[1].share > s[2].share THEN s[1].lang ELSE 'unknown' END AS detected, count(*) AS n FROM s GROUP BY 1, 2"""
+
+
+@R.add("e03_language", _language_sql())
 def e03_language(spark: SparkSession, sf: str) -> DataFrame:
     """The detected language against the given tag, cleaned; null texts are left out (E-03, E-04)."""
     d = table(spark, sf, "train_df").na.drop(subset=["tweet_text"])
@@ -144,20 +155,44 @@ def g01_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("label", *[F.round(c, 5).alias(c) for c in ("naive", "linear", "largest", "variance")])
 
 
-@R.add("g04_sketch", "SELECT DISTINCT label, true AS close FROM embeddings")
+def _sketch_sql(width: int, depth: int) -> str:
+    """The AMS sketch in whole-number SQL: the coefficients are the operator's, the arithmetic is not."""
+    p = 2_147_483_647
+    rows = " UNION ALL ".join(f"SELECT {d} AS d, {a}::HUGEINT AS a, {b}::HUGEINT AS b, {c}::HUGEINT AS c, {e}::HUGEINT AS e, {f}::HUGEINT AS f, {g}::HUGEINT AS g" for d, (a, b, c, e, f, g) in enumerate(mo._hashes(depth, 1)))
+    return f"""WITH h AS ({rows}), x AS (SELECT label, i::HUGEINT AS i, sum(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2),
+c AS (SELECT label, d, ((f * i + g) % {p}) % {width} AS w, CASE WHEN ((((a * i + b) % {p} * i + c) % {p} * i + e) % {p}) % 2 = 0 THEN v ELSE -v END AS v FROM x, h),
+n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), s AS (SELECT c.label, d, w, sum(v) / max(n) AS v FROM c JOIN n ON n.label = c.label GROUP BY 1, 2, 3), r AS (SELECT label, d, sum(v * v) AS s FROM s GROUP BY 1, 2)
+SELECT label, round(median(s), 5) AS norm2 FROM r GROUP BY 1"""
+
+
+@R.add("g04_cells", _sketch_sql(64, 7))
+def g04_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The squared norm of each group's mean from its sketch."""
+    s = mo.sketched_norm(mo.ams_sketch(_vectors(spark, sf), ["label"], 64, 7), ["label"])
+    return s.select("label", F.round("norm2", 5).alias("norm2"))
+
+
+@R.add("g04_sketch", "WITH m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) SELECT label, round(sum(v * v), 5) AS exact, true AS close FROM m GROUP BY 1")
 def g04_sketch(spark: SparkSession, sf: str) -> DataFrame:
     """The sketched squared norm of the mean against the exact one: within the sketch's error."""
     v = _vectors(spark, sf)
     s = mo.sketch_estimate(v, ["label"], width=512, depth=7)
     m = mo.mean_model(v, ["label"]).select("label", mo.square_norm(F.col("mean")).alias("exact"))
-    return s.join(m, "label").select("label", (F.abs(F.col("norm2") - F.col("exact")) <= 0.3 * F.col("exact")).alias("close"))
+    return s.join(m, "label").select("label", F.round("exact", 5).alias("exact"), (F.abs(F.col("norm2") - F.col("exact")) <= 0.3 * F.col("exact")).alias("close"))
 
 
-@R.add("g05_sync")
+@R.add("g05_sync", f"SELECT label, round(avg({NORM}), 5) AS estimate, 64 AS weights FROM embeddings GROUP BY 1 HAVING avg({NORM}) > 0.5")
 def g05_sync(spark: SparkSession, sf: str) -> DataFrame:
     """Groups that must synchronise, and the length of the model they go on with."""
     v = _vectors(spark, sf)
-    return mo.synchronise(v, 0.5, mo.naive(v, ["label"]), ["label"]).select("label", "estimate", F.size("mean").alias("weights"))
+    return mo.synchronise(v, 0.5, mo.naive(v, ["label"]), ["label"]).select("label", F.round("estimate", 5).alias("estimate"), F.size("mean").alias("weights"))
+
+
+@R.add("g06_ordered", "WITH p AS (SELECT vec_id, label, (row_number() OVER (ORDER BY CAST(label AS VARCHAR), vec_id) - 1) * 8 // (SELECT count(*) FROM embeddings) AS client FROM embeddings) SELECT client, label, count(*) AS n, min(vec_id) AS low, max(vec_id) AS high FROM p GROUP BY 1, 2")
+def g06_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards in the order of labels."""
+    s = mo.label_ordered_shards(_vectors(spark, sf).select("id", "label"), "id", "label", 8)
+    return s.groupBy("client", "label").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
 
 
 @R.add("g06_shards")
@@ -201,9 +236,9 @@ def h01_descriptor(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("feature", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
-@R.add("h01_quartiles")
+@R.add("h01_quartiles", "SELECT feature, quantile_disc(v, 0.5) AS median, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM (SELECT 'l_quantity' AS feature, l_quantity::DOUBLE AS v FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem) GROUP BY 1")
 def h01_quartiles(spark: SparkSession, sf: str) -> DataFrame:
-    return ex.describe_numeric(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).select("feature", "median", "q1", "q3")
+    return ex.describe_numeric(table(spark, sf, "lineitem"), ["l_quantity", "l_linenumber", "l_discount"]).select("feature", "median", "q1", "q3")
 
 
 @R.add("h01_categories", "SELECT 'l_returnflag' AS feature, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2")
@@ -216,12 +251,14 @@ def _encoder(spark: SparkSession, sf: str) -> tuple[ex.Encoder, DataFrame]:
     return ex.Encoder.fit(d, ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"]), d
 
 
-@R.add("h02_round_trip", "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity, l_discount, l_returnflag, l_linestatus FROM lineitem")
+@R.add("h02_round_trip", "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity, l_discount, l_returnflag, l_linestatus, l_quantity::DOUBLE AS x0, l_discount AS x1, " + ", ".join(f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS x{k}" for k, (c, v) in enumerate([("l_linestatus", "F"), ("l_linestatus", "O"), ("l_returnflag", "A"), ("l_returnflag", "N"), ("l_returnflag", "R")], 2)) + " FROM lineitem")
 def h02_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Encoded and decoded again."""
+    """Encoded, with every place of the code, and decoded again."""
     e, d = _encoder(spark, sf)
     x = e.encode(d).select("l_orderkey", "l_linenumber", "x")
-    return e.decode(x).drop("x")
+    at = {n: k for k, n in enumerate(e.names())}
+    order = ["l_quantity", "l_discount", "l_linestatus=F", "l_linestatus=O", "l_returnflag=A", "l_returnflag=N", "l_returnflag=R"]
+    return e.decode(x).select("*", *[F.col("x")[at[n]].alias(f"x{k}") for k, n in enumerate(order)]).drop("x")
 
 
 @R.add("h03_neighbourhood")
@@ -254,13 +291,18 @@ def h07_rules(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "rule int, premises string, label int, part string, covered long")
 
 
-@R.add("h05_distances")
+VAR = "(list_sum(list_transform({v}, lambda z: z * z)) / 64 - pow(list_sum({v}) / 64, 2))"
+
+
+@R.add("h05_distances", f"""WITH e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda z: z::DOUBLE) AS v FROM embeddings), m AS (SELECT label, list(v ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS v FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT id, e.label, v, m, list_transform(range(1, 65), lambda i: v[i] - m[i]) AS r FROM e JOIN m ON m.label = e.label), x AS (SELECT id, label, 0.5 * {VAR.format(v='r')} / ({VAR.format(v='v')} + {VAR.format(v='m')} + 1e-7) AS d FROM d)
+SELECT id, round(d, 5) AS d, round(0.7 * d + CASE WHEN label = 1 THEN 0 ELSE 0.3 END, 5) AS mixed, round(1 / (1 + exp(-10 * (d - 0.5))), 4) AS weight FROM x""")
 def h05_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Distances of every series to the mean of its class."""
     v = _vectors(spark, sf).withColumn("vec", F.col("vec").cast("array<double>"))
     m = mo.mean_model(v, ["label"])
     d = v.join(m, "label").withColumn("d", ex.normalised_euclid(F.col("vec"), F.col("mean")))
-    return d.select("id", "d", ex.mixed_distance(F.col("d"), [F.col("label") == 1], 0.7).alias("mixed"), ex.sigmoid(F.col("d")).alias("weight"))
+    return d.select("id", F.round("d", 5).alias("d"), F.round(ex.mixed_distance(F.col("d"), [F.col("label") == 1], 0.7), 5).alias("mixed"), F.round(ex.sigmoid(F.col("d")), 4).alias("weight"))
 
 
 @R.add("h10_discretise")

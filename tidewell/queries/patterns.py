@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidewell.functions import geo
 from tidewell.functions.predicates import REGISTRY, build
 from tidewell.operators.patterns import Stream, detect, detect_all, with_substreams
-from tidewell.plans.pattern import parse
 from tidewell.queries import Registry
 from tidewell.session import table
 
@@ -77,13 +76,31 @@ def a30_next(spark: SparkSession, sf: str) -> DataFrame:
     return detect(_events(spark, sf), p).select("user_id", "id_1", "id_2", "id_3")
 
 
-@R.add("a37_nonoverlap", A26)
+# of a run of views and clicks every two neighbours match; without overlap every second event ends a match
+RUNS = f"""g AS (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS other FROM events), s AS (SELECT *, sum(other) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM s WHERE other = 0)"""
+
+
+@R.add("a37_nonoverlap", f"WITH {RUNS} SELECT user_id, event_id, 'alone' AS kind FROM k WHERE k % 2 = 0 UNION ALL SELECT user_id, event_id, 'overlapping' FROM k WHERE k >= 2")
 def a37_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
-    """view, any errors, click without overlap: after a match the search starts anew."""
-    return detect(_events(spark, sf), f';({_t("view")},*({_t("error")}),{_t("click")}){{partitionBy:userId}}', overlap=False).select("user_id", "event_id")
+    """Two views or clicks in a row, without overlap (after a match the search starts anew) and with it."""
+    either = f'+({_t("view")},{_t("click")})'
+    out = None
+    for kind, overlap in (("alone", False), ("overlapping", True)):
+        d = detect(_events(spark, sf), f';({either},{either}){{partitionBy:userId}}', overlap=overlap)
+        end = "event_id" if "event_id" in d.columns else "id_2"
+        d = d.select("user_id", F.col(end).alias("event_id"), F.lit(kind).alias("kind"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
 
+A34 = " UNION ALL ".join(
+    f"""SELECT user_id, concat_ws('-', event_id{''.join(f', id{j}' for j in range(1, k + 1))}) AS ids FROM l WHERE event_type = 'view' AND t{k} = 'click'{''.join(f' AND v{j} > value' for j in range(1, k))}"""
+    for k in range(1, 5)
+)
 
-@R.add("a34_register_iter")
+
+@R.add("a34_register_iter", f"""WITH l AS (SELECT user_id, event_id, event_type, value, {', '.join(f'lead(event_type, {j}) OVER {W} AS t{j}, lead(value, {j}) OVER {W} AS v{j}, lead(event_id, {j}) OVER {W} AS id{j}' for j in range(1, 5))} FROM events) {A34}""")
 def a34_register_iter(spark: SparkSession, sf: str) -> DataFrame:
     """A view and then events whose values all exceed it, the last a click: every run (A-32, A-34)."""
     p = f';({_t("view")}["x"],*(GTAttr(value,"x")),{_t("click")}){{partitionBy:userId}}{{window:5}}'
@@ -107,6 +124,9 @@ def a39_reset(spark: SparkSession, sf: str) -> DataFrame:
     return detect(Stream(d), f';({_t("view")},{_t("click")}){{partitionBy:stream}}').select(F.split("stream", ":")[0].cast("long").alias("user_id"), "id_1", "id_2")
 
 
+PAIR_A = "(pow(sin(radians(value % 19 / 100 - value % 30 / 100) / 2), 2) + cos(radians(48 + value % 30 / 100)) * cos(radians(48 + value % 19 / 100)) * pow(sin(radians(value % 23 / 100 - value % 40 / 100) / 2), 2))"
+PAIR_KM = f"(2 * 6371.0 * atan2(sqrt({PAIR_A}), sqrt(greatest(1 - {PAIR_A}, 0.0))))"
+
 PREDICATES = {
     "A01": ("IsEventTypePredicate", ["view"], "event_type = 'view'"),
     "A02": ("EQ", ["value", 5.0], "value = 5.0"),
@@ -130,7 +150,31 @@ PREDICATES = {
     "A95b": ("VesselToVesselHeading", [10.0, 60.0], "abs(value * 7 % 360 - value * 3 % 360) >= 10 AND abs(value * 7 % 360 - value * 3 % 360) < 60"),
     "A97": ("IsVesselType", ["Fishing"], "user_id IN (1, 2, 3, 5, 8, 13)"),
     "A98": ("InPortPredicate", [4.0], "user_id % 5 = 4 OR user_id % 7 = 4"),
-    "A99": ("FlashGT", [], "user_id % 2 = 1 AND user_id % 6 = 4 OR (user_id % 2 = 1 AND user_id % 6 = 4)"),
+    "A99": ("FlashGT", [], "user_id % 2 = 1 AND (user_id + 3) % 6 = 4"),
+    "A90b": ("SpeedBetween", [5.0, 10.0], "value % 40 >= 5 AND value % 40 < 10"),
+    "A90c": ("SpeedOneBetween", [5.0, 10.0], "value % 40 >= 5 AND value % 40 < 10"),
+    "A90d": ("SpeedTwoBetween", [5.0, 10.0], "value % 30 >= 5 AND value % 30 < 10"),
+    "A90e": ("Close", [5.0, 10.0], "value >= 5 AND value < 10"),
+    "A91c": ("NormalSpeedPredicate", [], "value % 40 < 20"),
+    "A91d": ("StoppedPredicate", [], "value % 40 < 2"),
+    "A92c": ("IsHeadingPredicate", ["South"], "value * 7 % 360 >= 135 AND value * 7 % 360 < 225"),
+    "A92d": ("IsHeadingPredicate", ["West"], "value * 7 % 360 >= 225 AND value * 7 % 360 < 315"),
+    "A93d": ("IsTimePredicate", ["Night"], "hour(ts) < 6"),
+    "A94": ("LT2D", [5.0], "sqrt(pow(value % 17 - value % 11, 2) + pow(value % 13 - value % 7, 2)) < 5"),
+    "A94b": ("GTE2D", [5.0], "sqrt(pow(value % 17 - value % 11, 2) + pow(value % 13 - value % 7, 2)) >= 5"),
+    "A95c": ("VesselToVesselDistance", [1.0, 10.0], f"{PAIR_KM} > 1 AND {PAIR_KM} < 10"),
+    "A95d": ("SimilarMovement", [15.0, 3.0, 60.0], f"value % 40 > 1.2 AND value % 40 < 10 AND value % 30 > 1.2 AND value % 30 < 10 AND {PAIR_KM} > 0 AND {PAIR_KM} < 15 AND abs(value % 40 - value % 30) <= 3 AND abs(value * 7 % 360 - value * 3 % 360) <= 60"),
+    "A95e": ("SimilarGaze", [], "user_id % 90 = 0 OR event_id % 90 = 0 OR abs(user_id % 90 - event_id % 90) <= 45"),
+    "A98b": ("DFiveSevenPredicate", [2.0], "user_id % 3 = 2 OR user_id % 4 = 2"),
+    "A98c": ("DSevenTenPredicate", [5.0], "user_id % 6 = 5 OR user_id % 8 = 5"),
+    "A99b": ("DecGT", [], "user_id % 2 = 1 AND (user_id + 3) % 6 = 2"),
+    "A99c": ("IncGT", [], "user_id % 2 = 1 AND (user_id + 3) % 6 = 5"),
+    "A100c": ("Context", ["meet"], "user_id % 2 = 0"),
+    "A100d": ("MeetContext", [], "user_id % 2 = 0"),
+    "A100e": ("MoveContext", [], "user_id % 2 = 1"),
+    "A100f": ("Join", [], "user_id % 3 = 0"),
+    "A100g": ("Split", [], "user_id % 3 <> 0"),
+    "A100h": ("IsConfigPredicate", [2.0], "user_id % 4 = 2"),
     "A100": ("Situation", ["error"], "event_type = 'error'"),
     "A100b": ("EQML", ["StopStart", 1.0], "user_id % 3 = 1"),
 }
@@ -141,7 +185,7 @@ def a01_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """How many events pass each predicate; attributes are made from the events' columns."""
     e = table(spark, sf, "events")
     v = F.col("value")
-    e = e.withColumns({"amount": v, "speed": v % 40, "heading": v * 7 % 360, "hour": F.hour("ts"), "day": F.dayofmonth("ts"), "speed1": v % 40, "speed2": v % 30, "heading1": v * 7 % 360, "heading2": v * 3 % 360, "mmsi": F.col("user_id").cast("string"), "within": F.concat_ws(",", F.col("user_id") % 5, F.col("user_id") % 7), "is_fraud": F.col("user_id") % 2, "fraud_type": F.col("user_id") % 6, "situation": F.col("event_type"), "stop_start": F.col("user_id") % 3})
+    e = e.withColumns({"amount": v, "speed": v % 40, "heading": v * 7 % 360, "hour": F.hour("ts"), "day": F.dayofmonth("ts"), "speed1": v % 40, "speed2": v % 30, "heading1": v * 7 % 360, "heading2": v * 3 % 360, "mmsi": F.col("user_id").cast("string"), "within": F.concat_ws(",", F.col("user_id") % 5, F.col("user_id") % 7), "is_fraud": F.col("user_id") % 2, "fraud_type": (F.col("user_id") + 3) % 6, "dist": v, "x1": v % 17, "y1": v % 13, "x2": v % 11, "y2": v % 7, "lon1": v % 40 / 100, "lat1": 48 + v % 30 / 100, "lon2": v % 23 / 100, "lat2": 48 + v % 19 / 100, "gaze1": F.col("user_id") % 90 - 1, "gaze2": F.col("event_id") % 90 - 1, "context": F.when(F.col("user_id") % 2 == 0, "meet").otherwise("move"), "interaction": F.when(F.col("user_id") % 3 == 0, "join").otherwise("split"), "config": F.col("user_id") % 4, "d57": F.concat_ws(",", F.col("user_id") % 3, F.col("user_id") % 4), "d710": F.concat_ws(",", F.col("user_id") % 6, F.col("user_id") % 8), "situation": F.col("event_type"), "stop_start": F.col("user_id") % 3})
     s = Stream(e, groups={"Fishing": ["1", "2", "3", "5", "8", "13"]})
     sums = e.agg(*[F.sum(F.when(build(n, s.scope(), a), 1).otherwise(0)).cast("long").alias(k) for k, (n, a, _) in PREDICATES.items()])
     return sums.unpivot([], list(PREDICATES), "op", "n")
@@ -174,8 +218,58 @@ def a35_count_window(spark: SparkSession, sf: str) -> DataFrame:
     return detect(_events(spark, sf), p).select("user_id", "id_1", "id_2", "id_3")
 
 
-@R.add("a40_registry", f"SELECT {len(REGISTRY)} AS predicates, 2 AS patterns")
+# The names a pattern may use.
+NAMES = (
+    "BT Close Context DFiveSevenPredicate DSevenTenPredicate DecGT DistToPolyPredicate DistanceBetweenPredicate EQ EQAttr EQAttrStr EQML EQStr EpsilonPredicate FlashGT GT GTAttr GTE GTE2D HeadingTowardsPredicate HeadingVesselsToMeet HighSpeedPredicate InPortPredicate IncGT Interact "
+    "IsConfigPredicate IsDayPredicate IsEventTypePredicate IsHeadingPredicate IsHourPredicate IsTimePredicate IsVesselType Join LT LT2D LTAttr LTE MeetContext Move MoveContext MovingPredicate NormalSpeedPredicate OutsideCirclePredicate SimilarGaze SimilarMovement Situation SpeedBetween SpeedOneBetween SpeedTwoBetween "
+    "Split StoppedPredicate TruePredicate VesselToVesselDistance VesselToVesselHeading VesselToVesselSpeed WithinCirclePredicate WithinPolygonPredicate AmountBetween"
+)
+
+
+@R.add("a40_registry", f"SELECT unnest(string_split('{NAMES}', ' ')) AS name")
 def a40_registry(spark: SparkSession, sf: str) -> DataFrame:
-    """The registry of predicates and the parser of pattern files (§2.12)."""
-    specs = parse(f'{_t("view")}{{order:1}}&;({_t("view")},{_t("click")})')
-    return spark.range(1).select(F.lit(len(REGISTRY)).alias("predicates"), F.lit(len(specs)).alias("patterns"))
+    """The registered predicates (§2.12)."""
+    return spark.createDataFrame([(n,) for n in sorted(REGISTRY) if n in BUILT_IN], "name string")
+
+
+BUILT_IN = frozenset(REGISTRY)
+
+
+def _registers(name: str, p: str, cond: str, more: str = "") -> None:
+    """A pair of neighbours whose second event is compared with the first, held in a register."""
+
+    @R.add(name, f"SELECT user_id, event_id AS id_1, n_id AS id_2 FROM (SELECT *, lead(event_type) OVER {W} AS n_type, lead(value) OVER {W} AS n_value, lead(event_id) OVER {W} AS n_id FROM events) WHERE event_type = 'view' AND {cond}")
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        return detect(_events(spark, sf), f';({_t("view")}["x"],{p}){{partitionBy:userId}}').select("user_id", "id_1", "id_2")
+
+
+_registers("a20_equal", 'EQAttr(value,"x")', "n_value = value")
+_registers("a21_equal_text", 'EQAttrStr(eventType,"x")', "n_type = event_type")
+_registers("a23_less", 'LTAttr(value,"x")', "n_value < value")
+
+AHEAD = "(value % 40) * 1.852 / 6371.0"
+
+
+@R.add("a18_project", f"""WITH p AS (SELECT event_id, -5 + (event_id % 100) / 100.0 AS lon, 48 + (event_id % 97) / 97.0 AS lat, {AHEAD} AS d, radians(value * 7 % 360) AS b FROM events),
+q AS (SELECT *, asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(b)) AS la2 FROM p)
+SELECT event_id, round(degrees(radians(lon) + atan2(sin(b) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(la2))), 4) AS lon, round(degrees(la2), 4) AS lat FROM q""")
+def a18_project(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each mover is after an hour (A-18)."""
+    e = table(spark, sf, "events")
+    lon, lat = F.lit(-5.0) + (F.col("event_id") % 100) / 100.0, F.lit(48.0) + (F.col("event_id") % 97) / 97.0
+    x, y = geo.project_point(lon, lat, 3600, F.col("value") % 40, F.col("value") * 7 % 360)
+    return e.select("event_id", F.round(x, 4).alias("lon"), F.round(y, 4).alias("lat"))
+
+
+@R.add("a12_towards", """WITH p AS (SELECT event_id, -5 + (event_id % 100) / 100.0 AS x, 48 + (event_id % 97) / 97.0 AS y, value % 40 AS s, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 180 END AS h FROM events),
+q AS (SELECT *, y + CASE WHEN h = 0 THEN 1 ELSE -1 END * degrees(s * 1.852 / 6371.0) AS z FROM p)
+SELECT event_id, x > -4.905 AND x < -4.405 AND least(y, z) <= 48.7 AND greatest(y, z) >= 48.2 AND NOT (least(y, z) > 48.2 AND greatest(y, z) < 48.7) AS meets FROM q WHERE NOT (least(y, z) > 48.2 AND greatest(y, z) < 48.7)""")
+def a12_towards(spark: SparkSession, sf: str) -> DataFrame:
+    """Movers whose way of the next hour, due north or south, meets the border of a box (A-12); ways
+    that stay inside it are left out."""
+    lon, lat = F.lit(-5.0) + (F.col("event_id") % 100) / 100.0, F.lit(48.0) + (F.col("event_id") % 97) / 97.0
+    e = table(spark, sf, "events").select("event_id", "ts", "event_type", lon.alias("lon"), lat.alias("lat"), (F.col("value") % 40).alias("speed"), F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(180.0).alias("heading"))
+    s = Stream(e, regions={"box": [(-4.905, 48.2), (-4.405, 48.2), (-4.405, 48.7), (-4.905, 48.7)]}).scope()
+    far = F.col("lat") + F.when(F.col("heading") == 0, 1).otherwise(-1) * F.degrees(F.col("speed") * 1.852 / 6371.0)
+    inside = (F.least("lat", far) > 48.2) & (F.greatest("lat", far) < 48.7)
+    return e.filter(~inside).select("event_id", build("HeadingTowardsPredicate", s, ["box"]).alias("meets"))

@@ -79,15 +79,18 @@ def d11_vote(spark: SparkSession, sf: str) -> DataFrame:
     return series.vote(d, "id", 4)
 
 
-@R.add("d12_fill", """WITH x AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: CASE WHEN (i * 7 + vec_id) % 5 <> 0 THEN embedding[i]::DOUBLE END) AS v FROM embeddings) SELECT id, len(list_filter(v, lambda z: z IS NULL)) AS gaps, 0 AS left_over FROM x""")
+@R.add("d12_fill", """WITH RECURSIVE x AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT id, i, CASE WHEN (i * 7 + id) % 5 <> 0 THEN v END AS v FROM x),
+n AS (SELECT *, first_value(v IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM g),
+f(id, i, v, filled) AS (SELECT id, i, v, coalesce(v, 0.0) FROM n WHERE i = 1 UNION ALL SELECT n.id, n.i, n.v, coalesce(n.v, CASE WHEN n.later IS NULL THEN f.filled ELSE (f.filled + n.later) / 2 END) FROM f JOIN n ON n.id = f.id AND n.i = f.i + 1)
+SELECT id, count(*) - count(v) AS gaps, round(sum(filled * i), 4) AS checksum FROM f GROUP BY 1""")
 def d12_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth value is taken out and filled again."""
     v = F.transform("vec", lambda x, i: F.when(((i + 1) * 7 + F.col("id")) % 5 != 0, x.cast("double")))
     d = _rows(spark, sf).select("id", v.alias("v")).withColumn("filled", series.fill_gaps(F.col("v")))
-    return d.select("id", F.size(F.filter("v", lambda x: x.isNull())).cast("long").alias("gaps"), F.size(F.filter("filled", lambda x: x.isNull())).alias("left_over"))
+    return d.select("id", F.size(F.filter("v", lambda x: x.isNull())).cast("long").alias("gaps"), F.round(F.aggregate(F.transform("filled", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4).alias("checksum"))
 
 
-@R.add("d14_folds")
+@R.add("d14_folds", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), f AS (SELECT unnest(range(10)) AS fold) SELECT label, CAST(fold AS INTEGER) AS fold, n // 10 + CASE WHEN fold < n % 10 THEN 1 ELSE 0 END AS n FROM c, f WHERE n // 10 + CASE WHEN fold < n % 10 THEN 1 ELSE 0 END > 0")
 def d14_folds(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten folds, each class spread over all of them."""
+    """Ten folds, each class spread over all of them as evenly as its number allows."""
     return forecast.stratified_folds(_rows(spark, sf), "id", 10, "label").groupBy("label", "fold").agg(F.count("*").alias("n"))

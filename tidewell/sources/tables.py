@@ -79,3 +79,15 @@ def jdbc_batches(url: str, table: str, **options: str):  # noqa: ANN201
         batch.withColumn("batch", F.lit(number)).write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 
     return put
+
+
+def write_windows(intervals: DataFrame, path: str, q: str = "q") -> None:
+    """Intervals of every query window as pipe-separated lines in a folder of its own (``q=<time>``). Written
+    through a rebalancing exchange, so a window is a few files of a fair size; a window that is
+    written again replaces itself only."""
+    spread = intervals.sparkSession.sql(f"SELECT /*+ REBALANCE({q}) */ * FROM {{rows}}", rows=intervals)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("sep", "|").option("header", True).partitionBy(q).csv(path)
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("sep", "|").option("header", True).option("inferSchema", True).csv(path)
