@@ -150,7 +150,7 @@ def s15_statistics(spark: SparkSession, sf: str) -> DataFrame:
 def s24_tsv(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled tweets written as tab-separated text and read back."""
     path = shared_dir(spark)
-    t = table(spark, sf, "train_df").filter("tweet_text IS NOT NULL AND event IS NOT NULL AND event RLIKE '^[A-Za-z]+$'")
+    t = table(spark, sf, "train_df").filter("tweet_text IS NOT NULL AND event IS NOT NULL AND event RLIKE '^[A-Za-z]+\\\\z'")
     tb.write_tsv(t.select("event", F.regexp_replace("tweet_text", r"[\s\"]+", " ").alias("tweet_text"), "tweet_language"), path)
     return tb.tweets_tsv(spark, path).groupBy(F.lower("event").alias("event")).agg(F.count("*").alias("n"))
 
@@ -221,7 +221,7 @@ def st_detections(spark: SparkSession, sf: str) -> DataFrame:
 def st_expire(spark: SparkSession, sf: str) -> DataFrame:
     """The same with a time after which an idle key is forgotten (A-39b); none is idle so long here."""
     p = ';(IsEventTypePredicate("view"),*(IsEventTypePredicate("error")),IsEventTypePredicate("click")){partitionBy:userId}'
-    return engine.run_to_end(engine.detections(Stream(_stream(spark, sf)), p, expire="3600"), f"st_{uuid.uuid4().hex}").select("user_id", "event_id")
+    return engine.run_to_end(engine.detections(Stream(_stream(spark, sf)), p, expire="3456000"), f"st_{uuid.uuid4().hex}").select("user_id", "event_id")
 
 
 @R.add("st_windows", "SELECT event_type, epoch_us(w) // 1000000 AS start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY 1, 2")

@@ -235,15 +235,16 @@ def a40_registry(spark: SparkSession, sf: str) -> DataFrame:
 BUILT_IN = frozenset(REGISTRY)
 
 
-def _registers(name: str, p: str, cond: str, more: str = "") -> None:
+def _registers(name: str, p: str, cond: str) -> None:
     """A pair of neighbours whose second event is compared with the first, held in a register."""
 
     @R.add(name, f"SELECT user_id, event_id AS id_1, n_id AS id_2 FROM (SELECT *, lead(event_type) OVER {W} AS n_type, lead(value) OVER {W} AS n_value, lead(event_id) OVER {W} AS n_id FROM events) WHERE event_type = 'view' AND {cond}")
     def q(spark: SparkSession, sf: str) -> DataFrame:
-        return detect(_events(spark, sf), f';({_t("view")}["x"],{p}){{partitionBy:userId}}').select("user_id", "id_1", "id_2")
+        s = Stream(table(spark, sf, "events").withColumn("level", F.floor(F.col("value") / 10)))
+        return detect(s, f';({_t("view")}["x"],{p}){{partitionBy:userId}}').select("user_id", "id_1", "id_2")
 
 
-_registers("a20_equal", 'EQAttr(value,"x")', "n_value = value")
+_registers("a20_equal", 'EQAttr(level,"x")', "floor(n_value / 10) = floor(value / 10)")
 _registers("a21_equal_text", 'EQAttrStr(eventType,"x")', "n_type = event_type")
 _registers("a23_less", 'LTAttr(value,"x")', "n_value < value")
 
@@ -252,13 +253,13 @@ AHEAD = "(value % 40) * 1.852 / 6371.0"
 
 @R.add("a18_project", f"""WITH p AS (SELECT event_id, -5 + (event_id % 100) / 100.0 AS lon, 48 + (event_id % 97) / 97.0 AS lat, {AHEAD} AS d, radians(value * 7 % 360) AS b FROM events),
 q AS (SELECT *, asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(b)) AS la2 FROM p)
-SELECT event_id, round(degrees(radians(lon) + atan2(sin(b) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(la2))), 4) AS lon, round(degrees(la2), 4) AS lat FROM q""")
+SELECT event_id, round(round(degrees(radians(lon) + atan2(sin(b) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(la2))), 6), 3) AS lon, round(round(degrees(la2), 6), 3) AS lat FROM q""")
 def a18_project(spark: SparkSession, sf: str) -> DataFrame:
     """Where each mover is after an hour (A-18)."""
     e = table(spark, sf, "events")
     lon, lat = F.lit(-5.0) + (F.col("event_id") % 100) / 100.0, F.lit(48.0) + (F.col("event_id") % 97) / 97.0
     x, y = geo.project_point(lon, lat, 3600, F.col("value") % 40, F.col("value") * 7 % 360)
-    return e.select("event_id", F.round(x, 4).alias("lon"), F.round(y, 4).alias("lat"))
+    return e.select("event_id", F.round(x, 3).alias("lon"), F.round(y, 3).alias("lat"))
 
 
 @R.add("a12_towards", """WITH p AS (SELECT event_id, -5 + (event_id % 100) / 100.0 AS x, 48 + (event_id % 97) / 97.0 AS y, value % 40 AS s, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 180 END AS h FROM events),

@@ -21,7 +21,8 @@ def detections(s: Stream, pattern: str, *, overlap: bool = False, expire: str |
     """The automaton of a pattern over a stream: keys, event id and time of each match's end.
 
     Events of one micro-batch are put in order of (time, id); the state of a key is one number. With
-    ``expire`` (a number of seconds as text) a key idle for that long of processing time is forgotten.
+    ``expire`` (a number of seconds as text) a key idle for that long of event time is forgotten, and
+    events that come so late are left out.
     """
     spec = parse(pattern)[0]
     comp = Compiler(rewrite(spec.formula))
@@ -31,6 +32,8 @@ def detections(s: Stream, pattern: str, *, overlap: bool = False, expire: str |
         raise ValueError("a streaming pattern needs partitionBy")
     types = dict(s.df.dtypes)
     d = s.df.select(*keys, F.col(s.id).cast("long").alias("event_id"), F.col(s.time).cast("timestamp").alias("at"), comp.mask_column(s.scope()).alias("mask"))
+    if expire:
+        d = d.withWatermark("at", f"{expire} seconds")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -45,12 +48,13 @@ def detections(s: Stream, pattern: str, *, overlap: bool = False, expire: str |
                 out.append((*key, i, at))
         state.update((int(q),))
         if expire:
-            state.setTimeoutDuration(int(float(expire) * 1000))
+            last = pd.Timestamp(rows["at"].max()).value // 1_000_000
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(float(expire) * 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=[*keys, "event_id", "at"])
 
     ddl = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", event_id long, at timestamp"
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout
     return d.groupBy(*keys).applyInPandasWithState(step, ddl, "state int", "append", timeout)
 
 
