@@ -163,6 +163,8 @@ def test_bm25_scores_match_the_formula(slim):
     for q in range(15):
         want = [sum(idf[t] * (c := (d == t).sum()) * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(d) / 7.0)) for t in set(docs[q].tolist())) if free[i] else 0 for i, d in enumerate(docs)]
         assert np.allclose(index.scores(q), want, rtol=1e-5)
+        sized = packing.Index(packing.Docs.of(docs), idf, 7.0, np.arange(15))
+        assert np.allclose(sized.scores(q, 6), [x if i <= 6 else 0 for i, x in enumerate(want)], rtol=1e-5) or slim
 
 
 # -- leakage -------------------------------------------------------------------------------------

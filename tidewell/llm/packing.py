@@ -36,7 +36,9 @@ BRANCHES, SAMPLE = 6, 4_096
 #: Levels that divide by content, enough for 6^12 shards; what is still too large is spread by hash.
 LEVELS = 12
 #: Slots that k-means looks at; documents of a cell inside a shard; cells a seed looks at.
-FEATURES, CELL_DOCS, PROBES = 2_048, 128, 6
+FEATURES, CELL_DOCS, PROBES = 2_048, 256, 6
+#: Sizes that a posting tells apart; larger ones count as this.
+SIZES = 1 << 20
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
 
@@ -141,12 +143,12 @@ class Cells:
 
 
 class Index:
-    """BM25 inverted index of one shard, in cells: postings by (cell, slot) with their weights.
-    ``slim`` drops the postings of used documents."""
+    """BM25 inverted index of one shard, in cells: postings by (cell, slot, size) with their weights, so
+    that a lookup reads only documents that fit. ``slim`` drops the postings of used documents."""
 
-    def __init__(self, docs: Docs, idf: np.ndarray, mean: float, cell_docs: int = CELL_DOCS, probes: int = PROBES) -> None:
+    def __init__(self, docs: Docs, idf: np.ndarray, mean: float, left: np.ndarray | None = None, cell_docs: int = CELL_DOCS, probes: int = PROBES) -> None:
         self.docs, w = docs, docs.weights(idf, mean)
-        n = len(docs)
+        n = self.held = len(docs)
         if n > cell_docs * probes:
             pick = np.linspace(0, n - 1, min(n, SAMPLE)).astype(int)
             rows = np.concatenate([np.arange(docs.ptr[i], docs.ptr[i + 1]) for i in pick])
@@ -154,16 +156,12 @@ class Index:
             self.near = Cells.fit(some, w[rows], -(-n // cell_docs)).nearest(docs, w, probes)
         else:
             self.near = np.zeros((n, 1), np.int64)
-        key = self.near[docs.doc, 0] * SLOTS + docs.slot
+        home = self.near[:, 0].copy()
+        self.near.sort(1)
+        size = np.minimum(left, SIZES - 1) if left is not None else np.zeros(n, np.int64)
+        key = (home[docs.doc] * SLOTS + docs.slot) * SIZES + size[docs.doc]
         o = np.argsort(key, kind="stable")
         self.key, self.post, self.weight = key[o], docs.doc[o], w[o]
-        self.held = n
-        self._heads()
-
-    def _heads(self) -> None:
-        head = np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1])) if len(self.key) else np.zeros(0, np.int64)
-        self.keys, self.begin = self.key[head], head
-        self.many = np.diff(np.append(head, len(self.key)))
 
     def slim(self, free: np.ndarray) -> None:
         """Drop postings of used documents once these are a third of those held."""
@@ -171,20 +169,20 @@ class Index:
         if left < self.held * 2 // 3:
             at = free[self.post]
             self.key, self.post, self.weight, self.held = self.key[at], self.post[at], self.weight[at], left
-            self._heads()
-
-    def scores(self, doc: int) -> np.ndarray:
-        """BM25 of the documents in the cells nearest to a document, for its words; elsewhere 0."""
-        words = self.docs.slot[self.docs.ptr[doc] : self.docs.ptr[doc + 1]]
-        ask = (np.sort(self.near[doc])[:, None] * SLOTS + words[None, :]).ravel()
-        if not len(ask) or not len(self.keys):
-            return np.zeros(len(self.docs))
-        k = np.minimum(np.searchsorted(self.keys, ask), len(self.keys) - 1)
-        k = k[self.keys[k] == ask]
-        a, size = self.begin[k], self.many[k]
+
+    def lookup(self, words: np.ndarray, cells: np.ndarray, room: int) -> np.ndarray:
+        """BM25 of the documents of some cells that are no larger than a room; elsewhere 0."""
+        ask = (cells[:, None] * SLOTS + words[None, :]).ravel() * SIZES
+        a, b = np.searchsorted(self.key, ask), np.searchsorted(self.key, ask + min(room, SIZES - 1), "right")
+        at = b > a
+        a, size = a[at], (b - a)[at]
         rows = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return np.bincount(self.post[rows], self.weight[rows], len(self.docs))
 
+    def scores(self, doc: int, room: int = 2**62) -> np.ndarray:
+        """BM25 of the documents in the cells nearest to a document, for its words."""
+        return self.lookup(self.docs.slot[self.docs.ptr[doc] : self.docs.ptr[doc + 1]].astype(np.int64), self.near[doc], room)
+
 
 class Largest:
     """The largest unused document that fits a room, by a list in order of size that skips used ones."""
@@ -225,7 +223,7 @@ def pack(size: np.ndarray, capacity: int, index: Index) -> np.ndarray:
         members, room = [seed], capacity - int(left[seed])
         if largest(room) >= 0:
             index.slim(free)
-            score = index.scores(seed)
+            score = index.scores(seed, room)
             near = np.flatnonzero(score)
             near = near[free[near] & (left[near] <= room)]
             near = near[np.argsort(-score[near], kind="stable")]
@@ -373,7 +371,7 @@ def packed(docs: DataFrame, jobs: DataFrame, doc: str = "doc_id", text: str = "t
         t = t.sort_by([("doc_id", "ascending"), ("size", "ascending")])
         ids, size = t.column("doc_id").to_numpy(), t.column("size").to_numpy()
         shard, job_id, cap = (k.as_py() for k in key)
-        index = Index(_docs(t), shared.value, mean)
+        index = Index(_docs(t), shared.value, mean, left_of(size, cap))
         del t
         got = pack(size, cap, index)
         n = len(got)
@@ -412,12 +410,7 @@ def neighbour_recall(docs: DataFrame, asked: DataFrame, k: int = 10, doc: str =
         for i, w in ask.items():
             here = np.flatnonzero(own == i)
             found = best(own, index.scores(int(here[0])), i) if len(here) else None
-            k_ = np.searchsorted(whole.keys, w)
-            k_ = np.minimum(k_, max(len(whole.keys) - 1, 0))
-            k_ = k_[whole.keys[k_] == w] if len(whole.keys) else k_[:0]
-            a, size = whole.begin[k_], whole.many[k_]
-            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            out.append((i, best(own, np.bincount(whole.post[at], whole.weight[at], len(d)), i), found))
+            out.append((i, best(own, whole.lookup(w.astype(np.int64), np.zeros(1, np.int64), SIZES), i), found))
         return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "score": pa.array([o[1] for o in out], pa.list_(pa.float64())), "found": pa.array([o[2] for o in out], pa.list_(pa.float64()))})
 
     got = rows.groupBy("shard").applyInArrow(scan, "doc_id long, score array<double>, found array<double>")
