@@ -36,8 +36,8 @@ def brute_windows(points, queries, memory):
     for q in queries:
         low = q - memory
         seen = [(t, up) for t, arrival, up in points if low < t <= q and arrival <= q]
-        carried = [(s - 1, True) for s, e in known if s <= low < e]
-        known = [(s, e) for s, e in inertia(seen + carried) if e > low]
+        carried = [(s - 1, True) for s, e in known if s <= low + 1 < e]
+        known = [(s, e) for s, e in inertia(seen + carried) if e > low + 1]
         out += [(q, s, e) for s, e in known]
     return out
 

@@ -8,6 +8,7 @@ import random
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,16 +45,25 @@ def bucket_starts(events: DataFrame, t: str, size: int) -> list[int]:
 
 
 def with_bucket(events: DataFrame, t: str, starts: list[int], out: str = "bucket") -> DataFrame:
-    """The bucket number of each record, by binary search over the starts; null before the first."""
+    """The bucket number of each record; null before the first.
+
+    The starts stand in a small table, each under the cells of the axis that its bucket touches up to
+    the next start; a record meets the starts of its own cell by an equality join, so the work does
+    not grow with their number.
+    """
     if not starts:
         return events.withColumn(out, F.lit(None).cast("int"))
     spark = events.sparkSession
     table = spark.createDataFrame([(i, s, starts[i + 1] if i + 1 < len(starts) else 2**63 - 1) for i, s in enumerate(starts)], "__b int, __s long, __e long")
-    if len(starts) <= 4096:  # a literal of bounded size stays inside generated code
-        edges = F.array(*[F.lit(s) for s in starts])
-        n = F.size(F.filter(edges, lambda s: s <= F.col(t).cast("long")))
-        return events.withColumn(out, F.when(n > 0, n - 1))
-    return events.join(table, (F.col(t) >= F.col("__s")) & (F.col(t) < F.col("__e")), "left").withColumn(out, F.col("__b")).drop("__b", "__s", "__e")
+    gaps = sorted(b - a for a, b in zip(starts, starts[1:], strict=False))
+    cell = max(gaps[len(gaps) // 2] if gaps else 1, (starts[-1] - starts[0]) // (8 * len(starts)), 1)
+    # from the last start on every cell is the same, so one number stands for all of them
+    top = starts[-1] // cell
+    at = lambda c: F.least(F.floor(c / F.lit(cell)).cast("long"), F.lit(top))
+    cells = table.withColumn("__c", F.explode(F.sequence(at(F.col("__s")), at(F.col("__e") - 1))))
+    d = events.withColumn("__c", at(F.col(t).cast("long")))
+    on = (F.col("l.__c") == F.col("r.__c")) & (F.col(f"l.`{t}`") >= F.col("r.__s")) & (F.col(f"l.`{t}`") < F.col("r.__e"))
+    return d.alias("l").join(cells.alias("r"), on, "left").select(*[F.col(f"l.`{c}`") for c in events.columns if c != out], F.col("r.__b").alias(out))
 
 
 def bucket_summary(bucketed: DataFrame, t: str, bucket: str = "bucket") -> DataFrame:
@@ -222,7 +232,63 @@ class Search:
         self.seen = kept
 
 
-def command_log(instruction: str, evaluate, search: Search, rounds: int, start_id: int = 0) -> list[dict]:  # noqa: ANN001
+class BayesSearch:
+    """Ask/tell minimisation over a box by a Gaussian process with expected improvement.
+
+    The first ``initial`` proposals are random; after that the candidate with the largest expected
+    improvement is asked for. ``keep`` bounds the evaluations carried into the next round: the oldest
+    are removed first, with ``removal="random"`` any, with ``"worst"`` the worst; the best one stays.
+    Evaluations are few by nature, so the model is solved on the driver.
+    """
+
+    def __init__(self, low: list[float], high: list[float], *, initial: int = 10, keep: int = 5, removal: str = "oldest", seed: int = 1, candidates: int = 2_000) -> None:
+        if removal not in ("oldest", "random", "worst"):
+            raise ValueError("removal is oldest, random or worst")
+        self.low, self.high = np.array(low, float), np.array(high, float)
+        self.initial, self.keep, self.removal, self.candidates = initial, keep, removal, candidates
+        self.rng = np.random.default_rng(seed)
+        self.seen: list[tuple[list[float], float]] = []
+        self.asked = 0
+
+    def _unit(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.low) / np.maximum(self.high - self.low, 1e-12)
+
+    def ask(self) -> list[float]:
+        self.asked += 1
+        c = self.rng.random((self.candidates, len(self.low)))
+        if self.asked <= self.initial or len(self.seen) < 2:
+            return (self.low + c[0] * (self.high - self.low)).tolist()
+        x = self._unit(np.array([s[0] for s in self.seen]))
+        y = np.array([s[1] for s in self.seen])
+        mean, std = y.mean(), y.std() or 1.0
+        y = (y - mean) / std
+        best = x[int(np.argmin(y))]
+        c[: self.candidates // 4] = np.clip(best + self.rng.normal(size=(self.candidates // 4, len(best))) * 0.05, 0, 1)
+        k = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) ** 2).sum(2) / 0.2**2)
+        inner = np.linalg.cholesky(k(x, x) + 1e-6 * np.eye(len(x)))
+        cross = np.linalg.solve(inner, k(x, c))
+        mu = cross.T @ np.linalg.solve(inner, y)
+        sd = np.sqrt(np.maximum(1 - (cross**2).sum(0), 1e-12))
+        z = (y.min() - mu) / sd
+        phi, cdf = np.exp(-0.5 * z**2) / math.sqrt(2 * math.pi), np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+        return (self.low + c[int(np.argmax(sd * (z * cdf + phi)))] * (self.high - self.low)).tolist()
+
+    def tell(self, x: list[float], y: float) -> None:
+        self.seen.append((list(x), float(y)))
+
+    def next_round(self) -> None:
+        """Remove evaluations down to ``keep``; the next round starts with random proposals again."""
+        self.asked = 0
+        while len(self.seen) > self.keep:
+            best = int(np.argmin([s[1] for s in self.seen]))
+            others = [i for i in range(len(self.seen)) if i != best]
+            if not others:
+                break
+            i = others[0] if self.removal == "oldest" else int(self.rng.choice(others)) if self.removal == "random" else max(others, key=lambda i: self.seen[i][1])
+            del self.seen[i]
+
+
+def command_log(instruction: str, evaluate, search: Search | BayesSearch, rounds: int, start_id: int = 0) -> list[dict]:  # noqa: ANN001
     """Commands that an instruction leads to: one train, or opt_initialise, opt_step … and
     opt_finalise with the number of the best evaluation."""
     if instruction == "train":

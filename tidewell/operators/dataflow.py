@@ -4,7 +4,6 @@ joins, moving statistics, smoothing, regressions, sketches, and the verbs of vis
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,16 +38,17 @@ def set_filter(df: DataFrame, column: str, members: DataFrame, member: str) -> D
     return df.join(m, F.col(column) == F.col("__m"), "left_semi")
 
 
-def bloom_filter(df: DataFrame, column: str, members: DataFrame, member: str, bits: int = 1 << 16, hashes: int = 3) -> DataFrame:
-    """The approximate filter: all members pass and few others. The filter has a fixed size, as a
-    table of its set bits."""
+def bloom_filter(df: DataFrame, column: str, members: DataFrame, member: str, bits: int | None = None, hashes: int = 3) -> DataFrame:
+    """The approximate filter: all members pass and few others. The filter is a table of its set bits;
+    without ``bits`` it has ten for each member, as an approximate count finds them, so that a few
+    percent of other values pass whatever the number of members is."""
+    if bits is None:
+        n = members.agg(F.approx_count_distinct(member)).first()[0]
+        bits = max(1 << 12, 1 << (10 * n).bit_length())
     pos = F.explode(F.array(*bloom_words(F.col(member), bits, hashes))).alias("bit")
-    on = members.filter(F.col(member).isNotNull()).select(pos).distinct().agg(F.collect_set("bit").alias("__on"))  # at most ``bits`` numbers
-    tests = [F.array_contains(on.select("__on").scalar(), b) for b in bloom_words(F.col(column), bits, hashes)] if bits <= 4096 else None
-    if tests:
-        return df.filter(reduce(lambda a, b: a & b, tests))
+    on = members.filter(F.col(member).isNotNull()).select(pos).distinct()
     d = df.withColumns({f"__h{i}": b for i, b in enumerate(bloom_words(F.col(column), bits, hashes))})
-    bitset = on.select(F.explode("__on").alias("__bit"))
+    bitset = on.withColumnRenamed("bit", "__bit")
     for i in range(hashes):
         d = d.join(bitset, F.col(f"__h{i}") == F.col("__bit"), "left_semi")
     return d.drop(*[f"__h{i}" for i in range(hashes)])

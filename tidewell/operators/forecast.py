@@ -285,10 +285,16 @@ def forecast_table(spark, waits: dict[int, np.ndarray], make, finals: set[int],
     return spark.createDataFrame(rows, "state int, f_start int, f_end int, f_prob double, f_positive boolean")
 
 
-def emit_forecasts(steps: DataFrame, table: DataFrame, position: str, state: str = "next_state") -> DataFrame:
+def emit_forecasts(steps: DataFrame, table: DataFrame, position: str, state: str = "next_state", distance: dict[int, int] | None = None, within: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """The forecast of each event's state, in positions of its key. The table has one row per state,
-    so the join ships it as far as Spark's own size check allows."""
+    so the join ships it as far as Spark's own size check allows.
+
+    With ``distance`` (events to the nearest final state, see ``distances``) only states forecast whose
+    share of the largest distance lies in ``within``, both ends included; unreachable ones never do."""
     t = table.withColumnRenamed("state", "__q")
+    if distance is not None:
+        far = max(distance.values(), default=0) or 1
+        t = t.filter(F.col("__q").isin([q for q, d in distance.items() if within[0] <= d / far <= within[1]]))
     return steps.join(t, F.col(state) == F.col("__q")).drop("__q").withColumns({"from_pos": F.col(position) + F.col("f_start"), "to_pos": F.col(position) + F.col("f_end")})
 
 

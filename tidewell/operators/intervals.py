@@ -8,10 +8,14 @@ null bound or an empty interval are ignored. ``width`` splits hot keys, see ``or
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as from_spark
 
 from tidewell.operators.ordered import last_known, running_sum
 
@@ -225,14 +229,58 @@ def greedy_starts(points: DataFrame, keys: list[str], span: int, t: str = "t", s
     p = points.filter(F.col(t).isNotNull()).select(*keys, F.col(t).cast("long").alias("t")).distinct()
     d = _islands(p, keys, "t", span, width)
 
-    def step(s: Column, x: Column) -> Column:
-        last = F.element_at(s, -1)
-        far = x - last > span if strict else x - last >= span
-        return F.when(far, F.concat(s, F.array(x))).otherwise(s)
-
-    runs = d.groupBy(*keys, "isle").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    taken = F.aggregate(F.slice("ts", 2, F.size("ts")), F.array(F.col("ts")[0]), step)
-    return runs.select(*keys, F.explode(taken).alias("t"))
+    def taken(t: np.ndarray, _: np.ndarray, state: tuple) -> tuple[list[int], tuple]:
+        out, i = [], 0
+        if state:
+            i = int(np.searchsorted(t, state[0] + span, "right" if strict else "left"))
+        while i < len(t):
+            out.append(int(t[i]))
+            state = (int(t[i]),)
+            i = int(np.searchsorted(t, t[i] + span, "right" if strict else "left"))
+        return out, state
+
+    return _folded(d.withColumn("up", F.lit(1)), keys, taken, lambda _: [])
+
+
+def _folded(d: DataFrame, keys: list[str], fold: Callable[[np.ndarray, np.ndarray, tuple], tuple[list[int], tuple]], close: Callable[[tuple], list[int]]) -> DataFrame:
+    """Fold the points (t, up) of every run ``isle`` in order: rows stream sorted through a task, which
+    holds one batch and the state of one run, and jumps from one point taken to the next."""
+    types = dict(d.dtypes)
+    d = d.select(*keys, "isle", "t", F.col("up").cast("int").alias("up")).repartition(*keys, "isle").sortWithinPartitions(*keys, "isle", "t")
+    n = len(keys)
+    schema = pa.schema([*[pa.field(k, from_spark(d.schema[k].dataType)) for k in keys], pa.field("t", pa.int64())])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        who, state, last = None, (), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, up = b.column(n + 1).to_numpy(False), b.column(n + 2).to_numpy(False)
+            ids = [c.dictionary_encode().indices.fill_null(-1).to_numpy(False) for c in b.columns[: n + 1]]
+            new = np.zeros(len(t), bool)
+            for c in ids:
+                new[1:] |= c[1:] != c[:-1]
+            heads = np.flatnonzero(np.append(True, new[1:]))
+            rows, out = [], []
+            for h, e in zip(heads.tolist(), np.append(heads[1:], len(t)).tolist(), strict=True):
+                me = tuple(c[h].as_py() for c in b.columns[: n + 1])
+                if me != who:
+                    if who is not None:
+                        end = close(state)
+                        out += end
+                        rows += [last] * len(end)
+                    who, state = me, ()
+                got, state = fold(t[h:e], up[h:e], state)
+                last = me[:n]
+                out += got
+                rows += [last] * len(got)
+            if out:
+                yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], schema.field(i).type) for i in range(n)], pa.array(out, pa.int64())], schema=schema)
+        end = close(state) if who is not None else []
+        if end:
+            yield pa.RecordBatch.from_arrays([*[pa.array([last[i]] * len(end), schema.field(i).type) for i in range(n)], pa.array(end, pa.int64())], schema=schema)
+
+    return d.mapInArrow(run, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "t long"]))
 
 
 def fixed_deadlines(initiations: DataFrame, terminations: DataFrame, keys: list[str], delay: int, t: str = "t", width: int | None = None) -> DataFrame:
@@ -244,20 +292,29 @@ def fixed_deadlines(initiations: DataFrame, terminations: DataFrame, keys: list[
     marks = initiations.select(*keys, F.col(t).cast("long").alias("t"), F.lit(1).alias("up")).unionByName(terminations.select(*keys, F.col(t).cast("long").alias("t"), F.lit(0).alias("up")))
     p = marks.filter("t IS NOT NULL").groupBy(*keys, "t").agg(F.min("up").alias("up"))
     d = _islands(p, keys, "t", delay, width)
-    runs = d.groupBy(*keys, "isle").agg(F.sort_array(F.collect_list(F.struct("t", "up"))).alias("ps"))
-    none = F.lit(None).cast("long")
-    zero = F.struct(none.alias("since"), F.array().cast("array<long>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        due = s["since"].isNotNull() & (x["t"] >= s["since"] + delay)
-        since = F.when(due, none).otherwise(s["since"])
-        out = F.when(due, F.concat(s["out"], F.array(s["since"] + delay))).otherwise(s["out"])
-        return F.struct(F.when(x["up"] == 0, none).otherwise(F.coalesce(since, x["t"])).alias("since"), out.alias("out"))
-
-    def finish(s: Column) -> Column:
-        return F.when(s["since"].isNotNull(), F.concat(s["out"], F.array(s["since"] + delay))).otherwise(s["out"])
 
-    return runs.select(*keys, F.explode(F.aggregate("ps", zero, step, finish)).alias("t"))
+    def due(t: np.ndarray, up: np.ndarray, state: tuple) -> tuple[list[int], tuple]:
+        out, i = [], 0
+        ups, downs = np.flatnonzero(up == 1), np.flatnonzero(up == 0)
+        since = state[0] if state else None
+        while True:
+            if since is None:  # the next initiation
+                k = int(np.searchsorted(ups, i))
+                if k == len(ups):
+                    return out, ()
+                i = int(ups[k])
+                since, i = int(t[i]), i + 1
+            end = int(np.searchsorted(t, since + delay))  # the first point at or after the deadline
+            k = int(np.searchsorted(downs, i))
+            if k < len(downs) and downs[k] < end:  # ended before it
+                since, i = None, int(downs[k]) + 1
+            elif end < len(t):
+                out.append(since + delay)
+                since, i = None, max(end, i)
+            else:
+                return out, (since,)
+
+    return _folded(d, keys, due, lambda s: [s[0] + delay] if s else [])
 
 
 # -- sliding query windows -----------------------------------------------------------------------
@@ -285,8 +342,8 @@ def _seen_by(lo: Column, hi: Column, first: int, last: int, step: int) -> Column
 def windowed_fluent(points: DataFrame, keys: list[str], first: int, last: int, step: int, memory: int, *, t: str = "t", arrival: str = "arrival", initiates: str = "initiates", keep: int = 0, width: int | None = None) -> DataFrame:
     """A fluent as it is known at each query time: keys, ``q``, ``start``, ``end``.
 
-    The window of a query is (q - memory, q] and sees what has arrived by q. An interval that reaches
-    over the window's begin is carried over with its start, so a fluent stays on although its
+    The window of a query is (q - memory, q] and sees what has arrived by q. An interval that holds at
+    the window's first point is carried over with its start, so a fluent stays on although its
     initiation is forgotten; a point that arrives after its time has left the window has no effect.
     Intervals that ended before the window are forgotten, with ``keep`` only that much later.
 
@@ -302,13 +359,13 @@ def windowed_fluent(points: DataFrame, keys: list[str], first: int, last: int, s
     counted = p.filter((seen <= last) & (F.col("t") > seen - memory))
     base = from_points(counted, keys, width=width)
     after = lambda c, d: F.when(c == INF, F.lit(last + 1)).otherwise(F.least(c + d, F.lit(last + 1)))
-    carried = base.withColumn("q", F.explode(_seen_by(F.col("start") + memory, after(F.col("end"), memory), first, last, step)))
+    carried = base.withColumn("q", F.explode(_seen_by(F.col("start") + memory - 1, after(F.col("end"), memory - 1), first, last, step)))
     carried = carried.select(*keys, "q", (F.col("start") - 1).alias("t"), F.lit(True).alias("initiates"))
     inside = query_windows(p, "t", "arrival", first, last, step, memory).select(*keys, "q", "t", "initiates")
     out = from_points(inside.unionByName(carried), [*keys, "q"], width=width)
     if keep:
         ended = base.filter(F.col("end") != INF)
-        ended = ended.withColumn("q", F.explode(_seen_by(F.col("end") + memory, F.col("end") + memory + keep, first, last, step)))
+        ended = ended.withColumn("q", F.explode(_seen_by(F.col("end") + memory - 1, F.col("end") + memory - 1 + keep, first, last, step)))
         out = out.unionByName(ended.select(out.columns))
     return out
 

@@ -19,9 +19,18 @@ from pyspark.sql import functions as F
 from tidewell.operators.skew import largest_key
 
 
+_LARGEST: dict[tuple, int] = {}
+
+
 def width_if_hot(df: DataFrame, keys: list[str], width: int, hot_rows: int = 2_000_000) -> int | None:
-    """The width if a key of ``df`` holds more rows than one task should scan, else None."""
-    return width if largest_key(df, keys) > hot_rows else None
+    """The width if a key of ``df`` holds more rows than one task should scan, else None. The count of a
+    plan is taken once per application: it only chooses between two plans with equal results."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys))
+    if key not in _LARGEST:
+        if len(_LARGEST) > 1_000:
+            _LARGEST.clear()
+        _LARGEST[key] = largest_key(df, keys)
+    return width if _LARGEST[key] > hot_rows else None
 
 
 def _block(t: str, width: int) -> Column:

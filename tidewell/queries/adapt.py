@@ -82,7 +82,7 @@ def c07_commands(spark: SparkSession, sf: str) -> DataFrame:
     """Commands of one optimisation over the model parameters on record (C-07, C-08)."""
     p = table(spark, sf, "model_versions").select(F.from_json("model_params", "order int, confidence double, gamma double").alias("p")).select("p.*")
     low, high = p.agg(F.min("confidence"), F.min("gamma")).first(), p.agg(F.max("confidence"), F.max("gamma")).first()
-    search = adapt.Search([low[0] or 0.0, low[1] or 0.0], [high[0] or 1.0, high[1] or 1.0])
+    search = adapt.BayesSearch([low[0] or 0.0, low[1] or 0.0], [high[0] or 1.0, high[1] or 1.0], initial=4)
     log = adapt.command_log("optimise", lambda x: (x[0] - 0.3) ** 2 + x[1], search, 10)
     return spark.createDataFrame([(c["id"], c["type"], json.dumps(c["params"]), c["best_i"]) for c in log], "id int, type string, params string, best_i int")
 

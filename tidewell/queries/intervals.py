@@ -215,7 +215,7 @@ def _known_sql(name: str, up: str, down: str, keep: int = 0) -> str:
     return f"""{name}_p AS (SELECT *, t + (event_id % 7) * 60000 AS arrival FROM ev WHERE event_type IN ('{up}', '{down}')), {name}_f AS (SELECT p.user_id, p.t, p.event_type, min(q) AS f FROM {name}_p p JOIN q ON q >= t AND q >= arrival GROUP BY p.event_id, p.user_id, p.t, p.event_type),
 {name}_s AS (SELECT q, user_id, t + 1 AS t, CASE WHEN bool_or(event_type = '{down}') THEN 0 ELSE 1 END AS s FROM {name}_f JOIN q ON f <= q WHERE t > f - {MEMORY} GROUP BY 1, 2, 3),
 {name}_c AS (SELECT *, lag(s, 1, 0) OVER (PARTITION BY q, user_id ORDER BY t) AS p FROM {name}_s),
-{name} AS (SELECT user_id, q, t AS "start", e AS "end" FROM (SELECT user_id, q, t, s, lead(t, 1, {iv.INF}) OVER (PARTITION BY q, user_id ORDER BY t) AS e FROM {name}_c WHERE s <> p) WHERE s = 1 AND e > q - {MEMORY + keep})"""
+{name} AS (SELECT user_id, q, t AS "start", e AS "end" FROM (SELECT user_id, q, t, s, lead(t, 1, {iv.INF}) OVER (PARTITION BY q, user_id ORDER BY t) AS e FROM {name}_c WHERE s <> p) WHERE s = 1 AND e > q - {MEMORY + keep} + 1)"""
 
 
 QUERIES = f"WITH {BASE}, q AS (SELECT unnest(range(min(t) // 86400 * 86400, max(t) + {MEMORY} + 1, {STEP})) AS q FROM ev)"
