@@ -80,6 +80,23 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf)
 
 
+@R.add("p6_pieces", "SELECT job_id, doc_id, greatest(1, CAST(ceil(strlen(text) / capacity) AS BIGINT)) AS pieces, strlen(text) AS tokens, 1 AS whole FROM packing_jobs, documents WHERE text IS NOT NULL")
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Per job and document its pieces and tokens; ``whole`` if the pieces join without gap or overlap."""
+    p = _packed(spark, sf).groupBy("job_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.min("start").alias("low"))
+    return p.select("job_id", "doc_id", "pieces", "tokens", ((F.col("end") == F.col("tokens")) & (F.col("low") == 0)).cast("int").alias("whole"))
+
+
+@R.add("p6_full", "SELECT job_id, CAST(sum(strlen(text)) AS BIGINT) AS tokens, 0 AS over, 1 AS tight FROM packing_jobs, documents WHERE text IS NOT NULL GROUP BY 1")
+def p6_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Per job its tokens, the containers above the capacity, and whether it took at most 3 percent and one
+    container per shard more than the least possible number."""
+    boxes = _packed(spark, sf).groupBy("job_id", "shard", "container").agg(F.sum("tokens").alias("tokens"))
+    jobs = table(spark, sf, "packing_jobs").select("job_id", "capacity")
+    b = boxes.join(jobs, "job_id").groupBy("job_id", "capacity").agg(F.sum("tokens").alias("tokens"), F.sum((F.col("tokens") > F.col("capacity")).cast("int")).alias("over"), F.count("*").alias("n"), F.countDistinct("shard").alias("shards"))
+    return b.select("job_id", "tokens", "over", (F.col("n") <= F.ceil(F.col("tokens") / F.col("capacity")) * 1.03 + F.col("shards")).cast("int").alias("tight"))
+
+
 @R.add("p6_unused")
 def p6_unused(spark: SparkSession, sf: str) -> DataFrame:
     """Per job: containers, tokens and the share of unused space."""
