@@ -36,7 +36,7 @@ BRANCHES, SAMPLE = 6, 4_096
 #: Levels that divide by content, enough for 6^12 shards; what is still too large is spread by hash.
 LEVELS = 12
 #: Slots that k-means looks at; documents of a cell inside a shard; cells a seed looks at.
-FEATURES, CELL_DOCS, PROBES = 2_048, 256, 16
+FEATURES, CELL_DOCS, PROBES = 2_048, 256, 10
 #: Sizes that a posting tells apart; larger ones count as this.
 SIZES = 1 << 20
 K1, B = 1.2, 0.75
