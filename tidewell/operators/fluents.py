@@ -36,14 +36,24 @@ class Program:
     width: int | None = None
     defs: dict[str, _Definition] = field(default_factory=dict)
     facts: dict[str, DataFrame] = field(default_factory=dict)
+    hooks: list[Callable[[str, DataFrame], DataFrame]] = field(default_factory=list)
+
+    def preprocess(self, rule: Callable[[str, DataFrame], DataFrame]) -> None:
+        """A hook over every input event and fluent before definitions read it: (name, rows) → rows."""
+        self.hooks.append(rule)
+
+    def _input(self, name: str, df: DataFrame) -> DataFrame:
+        for rule in self.hooks:
+            df = rule(name, df)
+        return df
 
     def event(self, name: str, df: DataFrame) -> None:
         """An input event: rows with the keys and ``t``."""
-        self._put(name, "event", [], lambda _: df)
+        self._put(name, "event", [], lambda _: self._input(name, df))
 
     def fluent(self, name: str, df: DataFrame) -> None:
         """An input fluent with intervals."""
-        self._put(name, "fluent", [], lambda _: iv.union_all([df], self.keys, self.width))
+        self._put(name, "fluent", [], lambda _: iv.union_all([self._input(name, df)], self.keys, self.width))
 
     def fact(self, name: str, df: DataFrame) -> None:
         """Static knowledge; rules join it like any table."""

@@ -442,3 +442,57 @@ def disambiguate(table: list[list[int]], finals: set[int], order: int) -> tuple[
             row.append(number[x])
         out.append(row)
     return out, {i for i, (q, _) in enumerate(labels) if q in finals}, labels
+
+
+@dataclass
+class HiddenMarkov:
+    """A hidden Markov model whose observations are the states of an automaton (A-49)."""
+
+    start: np.ndarray
+    move: np.ndarray
+    show: np.ndarray
+
+    @classmethod
+    def fit(cls, sequences: list[list[int]], observations: int, hidden: int, rounds: int = 20, seed: int = 1) -> HiddenMarkov:
+        """Expectation maximisation on a bounded sample of sequences, which the caller chooses."""
+        rng = np.random.default_rng(seed)
+        norm = lambda m: m / m.sum(-1, keepdims=True)
+        h = cls(norm(rng.random(hidden) + 1), norm(rng.random((hidden, hidden)) + 0.5), norm(rng.random((hidden, observations)) + 0.5))
+        for _ in range(rounds):
+            start, move, show = np.full(hidden, 1e-6), np.full((hidden, hidden), 1e-6), np.full((hidden, observations), 1e-6)
+            for s in sequences:
+                if not s:
+                    continue
+                a, scale = h._forward(s)
+                b = np.ones((len(s), hidden))
+                for i in range(len(s) - 2, -1, -1):
+                    b[i] = h.move @ (h.show[:, s[i + 1]] * b[i + 1]) / scale[i + 1]
+                g = norm(a * b)
+                start += g[0]
+                for i in range(len(s) - 1):
+                    move += a[i][:, None] * h.move * (h.show[:, s[i + 1]] * b[i + 1])[None] / scale[i + 1]
+                np.add.at(show.T, s, g)
+            h = cls(norm(start), norm(move), norm(show))
+        return h
+
+    def _forward(self, s: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        a, scale = np.zeros((len(s), len(self.start))), np.zeros(len(s))
+        now = self.start
+        for i, o in enumerate(s):
+            now = (now if i == 0 else now @ self.move) * self.show[:, o]
+            scale[i] = max(now.sum(), 1e-300)
+            now = a[i] = now / scale[i]
+        return a, scale
+
+    def log_likelihood(self, s: list[int]) -> float:
+        return float(np.log(self._forward(s)[1]).sum()) if s else 0.0
+
+    def waiting(self, seen: list[int], finals: set[int], horizon: int) -> np.ndarray:
+        """Probability that the next final observation comes after 1, 2, … steps, given what was seen."""
+        now = self._forward(seen)[0][-1] @ self.move if seen else self.start
+        hit = self.show[:, sorted(finals)].sum(1)
+        out = np.zeros(horizon)
+        for t in range(horizon):
+            out[t] = now @ hit
+            now = (now * (1 - hit)) @ self.move
+        return out

@@ -53,10 +53,15 @@ def d06_truncation(spark: SparkSession, sf: str) -> DataFrame:
     return _early(spark, sf, lambda x, y: series.Truncation.fit(x, y))
 
 
+@R.add("d07_economy")
+def d07_economy(spark: SparkSession, sf: str) -> DataFrame:
+    return _early(spark, sf, lambda x, y: series.Economy.fit(x, y))
+
+
 @R.add("d13_measures")
 def d13_measures(spark: SparkSession, sf: str) -> DataFrame:
     out = None
-    for name, q in (("ects", d02_ects), ("stopping", d05_stopping), ("truncation", d06_truncation)):
+    for name, q in (("ects", d02_ects), ("stopping", d05_stopping), ("truncation", d06_truncation), ("economy", d07_economy)):
         m = series.early_measures(q(spark, sf)).withColumn("method", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out

@@ -6,15 +6,16 @@ state number, or the open partial matches of a windowed pattern.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.operators.patterns import Stream
 from tidewell.plans.pattern import Compiler, parse, rewrite
+from tidewell.sources.events import DOMAINS
 
 
 def detections(s: Stream, pattern: str, *, overlap: bool = False, expire: str | None = None) -> DataFrame:
@@ -94,6 +95,42 @@ class ModelSwap:
         return d.select("batch", "model", *sums, *[F.sum(c).over(w).alias(f"{c}_so_far") for c in sums])
 
 
+def listen(df: DataFrame, listeners: list[Callable[[DataFrame, int], None]], checkpoint: str, *, to_end: bool = True):  # noqa: ANN201
+    """Run a stream and hand every micro-batch of its results to the listeners, in order: (rows, number of
+    the batch). A batch may come again after a failure, with the same number and rows."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for f in listeners:
+                f(batch, number)
+        finally:
+            batch.unpersist()
+
+    w = df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    q = (w.trigger(availableNow=True) if to_end else w).start()
+    if to_end:
+        q.awaitTermination()
+    return q
+
+
+def nest(source: DataFrame, steps: list[Callable[[DataFrame], DataFrame]], sink: str, checkpoint: str):  # noqa: ANN201
+    """A workflow of verbs over a streaming source into a folder of parquet files, exactly once: the
+    sink's log goes with the checkpoint."""
+    for step in steps:
+        source = step(source)
+    q = source.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def socket_lines(spark: SparkSession, host: str, port: int, kind: str | None = None) -> DataFrame:
+    """Lines from a live socket as a stream; with ``kind`` parsed as events of that domain. A socket can't
+    be read twice, so this is for trials; a topic survives failures."""
+    d = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return DOMAINS[kind](d) if kind else d
+
+
 def run_to_end(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is there now into a memory table, and return it: for tests and
     replays of files."""
