@@ -176,6 +176,7 @@ class MessageStore:
             history = self._read([x for p in affected for x in m.versions[p]], self._schema(m))
             # one pass over the affected partitions: rows to copy, and those of numbers the load has too
             flagged = history.join(names, "n", "left").select("n", "p", "row", F.col("home").isNotNull().alias("hit"), F.col("p").alias("part"))
+            flagged = spark.sql("SELECT /*+ REBALANCE(part) */ * FROM {rows}", rows=flagged)
             flagged.write.option("compression", "zstd").partitionBy("hit", "part").parquet(f"{at}/copied")
             hits = [*self._parts(f"{at}/copied/hit=true").values()]
             shared = self._read(hits, self._schema(m)).withColumns({"win": order, "copies": F.lit(1).cast("long")}).withColumn("home", F.col("p"))
