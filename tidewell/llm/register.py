@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import abuse, leakage, packing, sampling
 from tidewell.queries import Registry
-from tidewell.session import table
+from tidewell.session import table, written
 
 R = Registry()
 STRATA = ["event", "tweet_language"]
@@ -30,7 +30,8 @@ def _targets(spark: SparkSession, sf: str) -> DataFrame:
 def _sampled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf, "train_df")
     cand = sampling.candidates(rows, "tweet_id", {"event": sampling.clean_label("event"), "tweet_language": sampling.clean_language("tweet_language")})
-    return sampling.stratified_sample(cand, _targets(spark, sf), "tweet_id", STRATA)
+    # written once: counts, ranks and the report all read it, and it is a fraction of the table
+    return sampling.stratified_sample(written(cand), _targets(spark, sf), "tweet_id", STRATA)
 
 
 @R.add("p3_found", f"{HAVE} SELECT request_id, event, tweet_language FROM rep WHERE available < asked")
