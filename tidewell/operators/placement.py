@@ -102,8 +102,8 @@ def search(w: Workflow, net: Network, aggregate: str = "max", factor: float = 1.
 
 
 def replan(w: Workflow, net: Network, place: dict[int, str], changed: list[tuple[str, str, float]], aggregate: str = "max") -> tuple[dict[int, str], float, Network]:
-    """After latencies change: operators whose ways do not use a changed cost stay where they are, the
-    others are placed anew."""
+    """After latencies change: a plan that keeps operators whose ways do not use a changed cost and places
+    the others anew, unless a full search, which is run as well, finds a cheaper one."""
     links = {a: dict(b) for a, b in net.links.items()}
     for a, b, c in changed:
         links.setdefault(a, {})[b] = c
@@ -118,7 +118,7 @@ def replan(w: Workflow, net: Network, place: dict[int, str], changed: list[tuple
 
 
 def random_walk(w: Workflow, net: Network, seed: int = 1, aggregate: str = "max") -> tuple[dict[int, str], float]:
-    """Baseline: every free operator on a random site of the cheapest way between its fixed neighbours."""
+    """Baseline: every free operator on a site drawn at random from all."""
     rng, sites = random.Random(seed), sorted(net.links)
     place = {o: w.fixed.get(o) or rng.choice(sites) for o in w.operators}
     return place, plan_cost(w, net.all_costs(), place, aggregate)

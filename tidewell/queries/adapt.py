@@ -71,7 +71,13 @@ def c06_trend(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("method", "timestamp", "mcc", F.round("slope", 6).alias("slope"), F.round("change", 6).alias("change"))
 
 
-@R.add("c06_policy")
+@R.add("c06_policy", f"""WITH RECURSIVE s AS (SELECT DISTINCT "timestamp", model_version, lower(trim(creation_method)) AS method, batch_metrics, {MCC} AS mcc FROM model_runtime_scores),
+x AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY "timestamp", mcc) AS i FROM s WHERE mcc IS NOT NULL),
+t AS (SELECT method, "timestamp" AS ts, mcc, i, CASE WHEN count(*) OVER w >= 2 THEN regr_slope(mcc, i::DOUBLE) OVER w END AS slope, mcc - lag(mcc) OVER (PARTITION BY method ORDER BY i) AS change FROM x WINDOW w AS (PARTITION BY method ORDER BY i ROWS 2 PRECEDING)),
+f AS (SELECT *, coalesce(change < -0.05, false) OR coalesce(slope < -0.05, false) AS falls FROM t),
+p(method, i, ts, mcc, instruction, since) AS (SELECT DISTINCT method, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::VARCHAR, 3::BIGINT FROM f UNION ALL
+ SELECT f.method, f.i, f.ts, f.mcc, CASE WHEN f.mcc < 0.2 THEN 'optimise' WHEN f.falls THEN CASE WHEN p.since + 1 <= 2 THEN 'optimise' ELSE 'train' END ELSE 'none' END, CASE WHEN f.mcc < 0.2 OR f.falls THEN 0 ELSE p.since + 1 END FROM p JOIN f ON f.method IS NOT DISTINCT FROM p.method AND f.i = p.i + 1)
+SELECT method, ts AS "timestamp", mcc AS score, instruction FROM p WHERE i > 0""")
 def c06_policy(spark: SparkSession, sf: str) -> DataFrame:
     """The instructions of the hybrid policy, per way of creation."""
     return adapt.instructions(adapt.readable_scores(table(spark, sf, "model_runtime_scores")), adapt.Policy(), ["method"])
